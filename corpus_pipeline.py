@@ -1,15 +1,61 @@
-"""The corpus pipeline: stages over documents, each reading what the one before it wrote."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate removal, decontamination and mixing over documents.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; whoever runs the stages writes each result as Parquet and reads it
+again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dosewise.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
+from dosewise.llm.common import saved
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without any letter go."""
+    return language_id.identify(docs).where(F.col("predicted.lang") != "und").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the chunks of lines that stand elsewhere; n_chars follows the text. Texts that lose all of theirs go."""
+    kept = line_dedup.remove_repeated(docs).where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that n-gram links join, the one with the smallest doc_id; a null doc_id is in no group.
+
+    Five-word shingles and a Jaccard similarity of 0.8."""
+    groups = ngram_join.jaccard_groups(docs, n=5, percent=80)
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    first = docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, "doc_id", "left_anti")
+    return first.select(*docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no part of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaked = saved(decontaminate.leaks(docs, benchmark).select("doc_id").distinct(), "leaked")
+    return docs.join(F.broadcast(leaked) if leaked.count() <= 1_000_000 else leaked, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, numbered by `copy`."""
+    taken = mixing.mix(docs).where("copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+
 
-STAGES: list = []
+STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near), ("benchmark decontamination", clean), ("mixing sources", mixed)]
+#: SQL can express neither learned languages nor rolling hashes; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs

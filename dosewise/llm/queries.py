@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm import ngram_join, secret_scan, url_filter
+from dosewise.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, secret_scan, token_counts, url_filter, vp_search
+from dosewise.llm.common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +52,55 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vp_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = token_counts.TOKENIZER) -> DataFrame:
+    """Every document's tokens in the token files of `documents`: its file's number, its place there, where it begins and its count."""
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_counts.write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer=tokenizer)
+    found = token_counts.document_tokens(spark, path, pattern="part-*")
+    return found.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("file_no"), "ordinal", "start", "n_tokens", "closed")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs)
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), F.col("predicted.lang").alias("lang_pred"), F.col("predicted.score").alias("score"))
+
+
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan, "op2_url_filter": op2_url_filter, "op3_ngram_join": op3_ngram_join}
+    return {
+        "op1_secret_scan": op1_secret_scan,
+        "op2_url_filter": op2_url_filter,
+        "op3_ngram_join": op3_ngram_join,
+        "op4_vp_search": op4_vp_search,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_mixing": op6_mixing,
+        "op7_token_counts": op7_token_counts,
+        "op8_decontaminate": op8_decontaminate,
+        "op9_license_scan": op9_license_scan,
+        "op10_language_id": op10_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -110,7 +110,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     """
     spark = pages.sparkSession
     n = ranges or partitions(spark)
-    pages = pages.withColumns({"host": F.coalesce(host_of(url), F.lit("")), "path": F.coalesce(path_of(url), F.lit(""))}).drop("rule", "verdict")
+    row = F.struct(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
+    pages = pages.select(row.alias("row"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
     whole = pages.where("host <> ''").select("host", "path").distinct()
     labels = F.split("host", r"\.")
     levels = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.reverse(F.slice(labels, F.size(labels) - i + 1, i)), "."))
@@ -127,6 +128,4 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     dealt = keys.unionByName(opens).mapInArrow(_dealer(_bounds(keys, n)), "part int, key string, host string, path string, salt long, rule string, verdict string")
     swept = dealt.repartition(n, "part").sortWithinPartitions("part", "key", F.col("rule").isNull()).mapInArrow(_sweep, "host string, path string, rule string, verdict string")
     best = swept.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), F.length(F.substring_index("rule", "/", 1)), "rule", "verdict")).alias("best"))
-    return pages.join(best, ["host", "path"], "left").select(
-        *[c for c in pages.columns if c not in ("host", "path")], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    return pages.join(best, ["host", "path"], "left").select("row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
