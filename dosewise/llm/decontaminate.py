@@ -71,6 +71,9 @@ def _regions(bits: np.ndarray):
                     places.append(hit)
                     hashes.append(h[hit])
                 place, hash_ = np.concatenate(places), np.concatenate(hashes)
+                row += t.n
+                if not len(place):
+                    continue
                 order = np.argsort(place, kind="stable")
                 place, hash_ = place[order], hash_[order]
                 doc = np.searchsorted(first, place, "right") - 1
@@ -80,15 +83,13 @@ def _regions(bits: np.ndarray):
                 for a, b in zip(new, np.append(new[1:], len(place)), strict=True):
                     d = doc[a]
                     start, stop = max(first[d], place[a] - reach), min(first[d + 1], place[b - 1] + 2 * reach)
-                    out.append((row + d, int(start - first[d]), words[start:stop].view(np.int64), (place[a:b] - start).astype(np.int32), hash_[a:b].view(np.int64)))
-                row += t.n
-                if out:
-                    at = np.concatenate(([0], np.cumsum([len(o[3]) for o in out])))
-                    ends = np.concatenate(([0], np.cumsum([len(o[2]) for o in out])))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch["id"].take(pa.array([o[0] for o in out])), pa.array([o[1] for o in out], pa.int64()), listed(np.concatenate([o[2] for o in out]), ends, pa.int64()), listed(np.concatenate([o[3] for o in out]), at, pa.int32()), listed(np.concatenate([o[4] for o in out]), at, pa.int64())],
-                        ["id", "start", "words", "at", "hashes"],
-                    )
+                    out.append((row - t.n + d, int(start - first[d]), words[start:stop].view(np.int64), (place[a:b] - start).astype(np.int32), hash_[a:b].view(np.int64)))
+                at = np.concatenate(([0], np.cumsum([len(o[3]) for o in out])))
+                ends = np.concatenate(([0], np.cumsum([len(o[2]) for o in out])))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"].take(pa.array([o[0] for o in out])), pa.array([o[1] for o in out], pa.int64()), listed(np.concatenate([o[2] for o in out]), ends, pa.int64()), listed(np.concatenate([o[3] for o in out]), at, pa.int32()), listed(np.concatenate([o[4] for o in out]), at, pa.int64())],
+                    ["id", "start", "words", "at", "hashes"],
+                )
 
     return scan
 

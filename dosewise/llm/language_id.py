@@ -119,7 +119,7 @@ def prototypes(documents: DataFrame, text: str = "text", lang: str = "lang") ->
     if len(whole) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     found = sorted((k, v) for k, v in zip(whole["lang"].to_pylist(), whole["v"].to_pylist(), strict=True) if any(v))
-    return [k for k, _ in found], np.array([v for _, v in found], np.float64).reshape(len(found), -1)
+    return [k for k, _ in found], np.array([v for _, v in found], np.float64).reshape(len(found), DIMENSIONS)
 
 
 def predictor(langs: list[str], vectors: np.ndarray):

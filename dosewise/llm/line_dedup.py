@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 
 from dosewise.llm.common import BROADCAST_ROWS, hash_filter, may_hold, mix, saved, span_hashes, steps
 
-#: A chunk ends where the rolling hash of its last WINDOW lines is 0 modulo DIVISOR, and after MOST_LINES lines.
-WINDOW, DIVISOR, MOST_LINES = 2, 3, 64
+#: A chunk ends where the rolling hash of its last WINDOW lines is smaller than those one line before and behind, so that it has
+#: two lines or more (three on average), and after MOST_LINES lines.
+WINDOW, MOST_LINES = 2, 64
 #: A line of more words than this is a chunk by itself, and repeated it is removed as longer chunks are.
 LONG_WORDS = 50
 
 
-def chunks(texts: pa.Array, window: int = WINDOW, divisor: int = DIVISOR) -> Iterator[tuple[int, int, int, int, int, bool]]:
+def chunks(texts: pa.Array, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int, bool]]:
     """(row, chunk, start, end, hash, removable) in bytes of all chunks; together a row's chunks are its text."""
     for t in steps(texts):
         breaks = np.flatnonzero(t.buf == 10) + 1
@@ -39,10 +40,13 @@ def chunks(texts: pa.Array, window: int = WINDOW, divisor: int = DIVISOR) -> Ite
             back = np.zeros(len(lines), np.uint64)
             back[k:] = lines[: len(lines) - k]
             rolling += np.where(place >= k, back * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & ((1 << 64) - 1)), np.uint64(0))
-        cut = (mix(rolling) % np.uint64(divisor) == 0) & (place >= window - 1)
+        rolling = mix(rolling)
+        same = doc[1:] == doc[:-1]
+        cut = np.zeros(len(lines), bool)
+        cut[1:-1] = (rolling[1:-1] < rolling[:-2]) & (rolling[1:-1] <= rolling[2:]) & same[:-1] & same[1:]
         word_starts = t.words()[0]
         long = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts) > LONG_WORDS
-        cut |= long | np.append(long[1:] | (doc[1:] != doc[:-1]), True)
+        cut |= long | np.append(long[1:] | ~same, True)
         at = np.flatnonzero(cut)
         begin = np.concatenate(([0], at[:-1] + 1))
         number = dict.fromkeys(range(t.n), 0)
