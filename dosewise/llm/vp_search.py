@@ -24,21 +24,23 @@ FACTOR = 1.5
 
 
 class Tree:
-    """A vantage-point tree: rows in `order` by leaf; a node is (pivot row, low and high distance of both halves, halves).
+    """A vantage-point tree: a node is (pivot row, low and high distance of both halves, halves), a leaf the number of its rows in `leaves`.
 
     Inner products are distances here: with one more component, sqrt(top**2 - |x|**2) for rows and 0 for queries,
     |q - x|**2 = |q|**2 + top**2 - 2 q.x, and the triangle inequality holds.
     """
 
     def __init__(self, rows: np.ndarray, top: float, leaf: int = LEAF_ROWS):
-        self.rows = rows
+        self.rows, self.top = rows, top
         self.lifted = np.column_stack([rows, np.sqrt(np.maximum(top * top - (rows * rows).sum(axis=1), 0))])
         self.leaf, self.rng = leaf, np.random.default_rng(len(rows))
+        self.leaves: list[np.ndarray] = []
         self.root = self._grow(np.arange(len(rows)))
 
     def _grow(self, at: np.ndarray):
         if len(at) <= self.leaf:
-            return at
+            self.leaves.append(at)
+            return len(self.leaves) - 1
         pivot = at[self.rng.integers(len(at))]
         far = np.sqrt(np.maximum(((self.lifted[at] - self.lifted[pivot]) ** 2).sum(axis=1), 0))
         order = np.argsort(far, kind="stable")
@@ -48,30 +50,49 @@ class Tree:
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """For each query, k rows of largest inner product (fewer: row -1), found under the factor, and the products."""
-        lifted = np.column_stack([queries, np.zeros(len(queries))])
         score, row = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
-        base = (queries * queries).sum(axis=1) + float((self.lifted[0] ** 2).sum()) if len(self.rows) else 0
+        least = np.full(len(queries), -np.inf)  # the k-th product so far
+        # all rows are lifted to one length, so a distance needs a product alone; slack covers its rounding
+        base, slack = (queries * queries).sum(axis=1) + self.top * self.top, 1e-7 * self.top
+
+        home = np.full(len(queries), -1)  # the leaf that each query saw first
+
+        def take(leaf: int, some: np.ndarray) -> None:
+            at = self.leaves[leaf]
+            new = queries[some] @ self.rows[at].T
+            better = new.max(axis=1, initial=-np.inf) > least[some]
+            some, new = some[better], new[better]
+            s = np.concatenate([score[some], new], axis=1)
+            r = np.concatenate([row[some], np.broadcast_to(at, new.shape)], axis=1)
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            score[some], row[some] = np.take_along_axis(s, best, 1), np.take_along_axis(r, best, 1)
+            least[some] = score[some].min(axis=1)
+
+        def bounds(node, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Least distances to both halves."""
+            d = np.sqrt(np.maximum(base[some] - 2 * (queries[some] @ self.rows[node[0]]), 0))
+            return tuple(np.maximum(np.maximum(low - d, d - high), 0) for low, high in node[1:3])
+
+        def descend(node, some: np.ndarray) -> None:
+            """Every query to the leaf on its side of all pivots, which gives it a k-th product to prune by."""
+            if isinstance(node, int):
+                home[some] = node
+                take(node, some)
+            elif len(some):
+                near, far = bounds(node, some)
+                descend(node[3], some[near <= far])
+                descend(node[4], some[near > far])
 
         def visit(node, some: np.ndarray) -> None:
-            if not len(some):
-                return
-            if isinstance(node, np.ndarray):
-                s = np.concatenate([score[some], queries[some] @ self.rows[node].T], axis=1)
-                r = np.concatenate([row[some], np.broadcast_to(node, (len(some), len(node)))], axis=1)
-                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                score[some], row[some] = np.take_along_axis(s, best, 1), np.take_along_axis(r, best, 1)
-                return
-            pivot, inner, outer, left, right = node
-            d = np.sqrt(np.maximum(((lifted[some] - self.lifted[pivot]) ** 2).sum(axis=1), 0))
-            bounds = [np.maximum(np.maximum(low - d, d - high), 0) for low, high in (inner, outer)]
-            first = bounds[0] <= bounds[1]
-            first[bounds[0] == bounds[1]] = (d <= (inner[1] + outer[0]) / 2)[bounds[0] == bounds[1]]
-            for child, mine in ((left, first), (right, ~first)):
-                visit(child, some[mine])
-            for child, bound, mine in ((left, bounds[0], ~first), (right, bounds[1], first)):
-                reach = np.sqrt(np.maximum(base[some] - 2 * score[some].min(axis=1), 0))  # infinite until k rows are found
-                visit(child, some[mine & (factor * bound <= reach * (1 + 1e-12))])
-
+            """Each node once, with all queries that its bound leaves."""
+            if isinstance(node, int):
+                take(node, some[home[some] != node])
+            elif len(some):
+                for bound, child in zip(bounds(node, some), node[3:], strict=True):
+                    reach = np.sqrt(np.maximum(base[some] - 2 * least[some], 0))  # infinite until k rows are found
+                    visit(child, some[factor * (bound - slack) <= reach + slack])
+
+        descend(self.root, np.arange(len(queries)))
         visit(self.root, np.arange(len(queries)))
         return row, score
 
