@@ -1,6 +1,6 @@
 """License scans: a trained paragraph classifier over sparse word n-grams, its predictions confirmed against templates.
 
-DataFrame and SQL functions throughout; the classifier is fitted by Spark's own logistic regression.
+DataFrame operations of the JVM throughout; n-gram counts and the classifier are Spark's own models, fitted and applied to DataFrames.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ import functools
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Notices of each family, as their authors word them.
 TEMPLATES = {
     "apache": [
@@ -98,47 +98,38 @@ def _training(spark: SparkSession) -> DataFrame:
 
 @functools.lru_cache(maxsize=4)
 def _fit(spark: SparkSession):
-    """(classes, weights as (n-gram, class -> weight), intercepts, least probability): fitted on the training rows alone.
+    """(classes, n-gram model, classifier, least probability): fitted on the training rows alone.
 
     The L1 penalty leaves few n-grams with weights. Calibration sets the least probability: above what any paragraph of
     the unknown class is given for a family, and one half at least.
     """
     classes = [UNKNOWN, *TEMPLATES]
     labels = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
-    rows = _training(spark).select(labels[F.col("label")].alias("label"), ngrams(F.col("text")).alias("ngrams"), "part").cache()
-    counts = CountVectorizer(inputCol="ngrams", outputCol="features", vocabSize=VOCABULARY, binary=True).fit(rows)
-    model = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.7, maxIter=60, standardization=False).fit(counts.transform(rows.where("part = 0")))
-    matrix, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    weights = [(w, [float(x) for x in matrix[:, i]]) for i, w in enumerate(counts.vocabulary) if abs(matrix[:, i]).max() > 1e-6]
-    held = model.transform(counts.transform(rows)).where("label = 0").select("probability").collect()
-    least = max([0.5, *(1 - float(r["probability"][0]) + 0.01 for r in held)])
+    rows = _training(spark).select(labels[F.col("label")].alias("label"), ngrams(F.col("text")).alias("_ngrams"), "part").cache()
+    counts = CountVectorizer(inputCol="_ngrams", outputCol="_features", vocabSize=VOCABULARY, binary=True).fit(rows)
+    fit = LogisticRegression(family="multinomial", featuresCol="_features", rawPredictionCol="_raw", probabilityCol="_chances", predictionCol="_class", regParam=0.002, elasticNetParam=0.7, maxIter=60, standardization=False)
+    model = fit.fit(counts.transform(rows.where("part = 0")))
+    held = model.transform(counts.transform(rows)).where("label = 0").select("_chances").collect()
+    least = max([0.5, *(1 - float(r["_chances"][0]) + 0.01 for r in held)])
     rows.unpersist()
-    return classes, weights, [float(x) for x in intercepts], min(least, 0.95)
+    return classes, counts, model, min(least, 0.95)
 
 
 def license_paragraphs(documents: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """The `keys` columns with paragraph, family, probability, template and coverage of every paragraph that holds a licence notice.
 
-    Paragraphs are lines, counted from 0. A paragraph's n-grams (words and pairs of words) meet the few that have weights; the sums give each family's and
-    the unknown class's probability. A family is reported if it is the likeliest, its probability reaches the calibrated
+    Paragraphs are lines, counted from 0. Where they stand, a paragraph's n-grams (words and pairs of words) are counted and classified
+    by the fitted models, so that only the few that pass are shuffled. A family is reported if it is the likeliest, its probability reaches the calibrated
     least, and COVERAGE of the word pairs of one of its templates stands in the paragraph.
     Null and empty texts have no paragraphs; rows that are equal in keys and text give one result; an empty table an empty one.
     """
     spark = documents.sparkSession
-    classes, weights, intercepts, least = _fit(spark)
-    k = len(classes)
-    table = F.broadcast(spark.createDataFrame(weights, "ngram string, w array<double>"))  # VOCABULARY rows at most
-    key = F.struct(*keys)
-    lines = documents.where(F.col(text).isNotNull()).select(key.alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "line"))
-    terms = lines.select("key", "paragraph", "line", F.explode(ngrams(F.col("line"))).alias("ngram")).join(table, "ngram")
-    # each n-gram once a paragraph, as it was learned
-    once = terms.groupBy("key", "paragraph", "line", "ngram").agg(F.first("w").alias("w"))
-    scored = once.groupBy("key", "paragraph", "line").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)])
-    scores = F.array(*[F.col(f"s{i}") + intercepts[i] for i in range(k)])
-    scored = scored.select("key", "paragraph", "line", scores.alias("s")).withColumn("top", F.array_max("s"))
-    scored = scored.withColumn("probability", 1 / F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
-    family = F.element_at(F.array(*map(F.lit, classes)), F.array_position("s", F.col("top")).cast("int"))
-    likely = scored.withColumn("family", family).where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
+    classes, counts, model, least = _fit(spark)
+    lines = documents.where(F.col(text).isNotNull()).select(F.struct(*keys).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "line"))
+    scored = model.transform(counts.transform(lines.withColumn("_ngrams", ngrams(F.col("line")))))
+    family = F.element_at(F.array(*map(F.lit, classes)), F.col("_class").cast("int") + 1)
+    likely = scored.select("key", "paragraph", "line", family.alias("family"), F.array_max(vector_to_array("_chances")).alias("probability"))
+    likely = likely.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
     notices = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, template string")
     notices = F.broadcast(notices.withColumn("tp", F.array_distinct(pairs(F.filter(words(F.col("template")), lambda w: w != "")))))
     met = likely.join(notices, "family").withColumn("coverage", F.size(F.array_intersect("tp", pairs(words(F.col("line"))))) / F.size("tp"))
