@@ -79,7 +79,8 @@ def _sketch(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sketch_bits(size: int) -> int:
-    return 1 << max(9, int(size // 2).bit_length())
+    """From four to eight bits an n-gram: so few of the n-grams that differ cancel that hardly a pair beyond the limit passes."""
+    return 1 << max(9, int(4 * size).bit_length())
 
 
 def segment_keys(values: np.ndarray, percent: int) -> np.ndarray:
