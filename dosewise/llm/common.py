@@ -49,6 +49,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes too: a batch of 10,000 rows has no bound where texts are long. A smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most so many rows (of a few numbers); else left to a shuffle join."""
     return F.broadcast(df) if df.count() <= most else df

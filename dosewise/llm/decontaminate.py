@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import hash_filter, listed, may_hold, mix, saved, steps
+from dosewise.llm.common import bound_batches, hash_filter, listed, may_hold, mix, saved, steps
 
 #: Word positions that each mask reads. With WINDOW and SAME, any overlap that counts holds a clear hit of one of them.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 5, 6))
@@ -130,6 +130,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     repeated rows give one result; other columns are not read; with either table empty, so is the result.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null").distinct()
     items = saved(items.mapInArrow(_item_seeds, "item_id long, words array<long>, at array<int>, hashes array<long>").where(F.size("hashes") > 0).withColumn("item", F.xxhash64("item_id", "words")), "items")
     seeded = items.select("item", F.explode(F.arrays_zip("at", "hashes")).alias("s")).select("item", F.col("s.at").alias("item_at"), F.col("s.hashes").alias("hash"))

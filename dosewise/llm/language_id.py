@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import mix
+from dosewise.llm.common import bound_batches, mix
 
 DIMENSIONS = 512
 N = 3
@@ -157,6 +157,7 @@ def identify(documents: DataFrame, id: str = "doc_id", text: str = "text", lang:
     text alone. A null text, or one without a letter, is `und` with score 0, and so is all if there is nothing to learn from.
     Repeated rows are learned from and predicted each; ties go to the language first in order; an empty table gives an empty result.
     """
+    bound_batches(documents.sparkSession)
     if train is None:
         train = F.col(id).isNotNull() & ~held_out(id)
     predict = predictor(*prototypes(documents.where(train), text, lang))

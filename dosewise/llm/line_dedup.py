@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dosewise.llm.common import BROADCAST_ROWS, hash_filter, may_hold, mix, saved, span_hashes, steps
+from dosewise.llm.common import BROADCAST_ROWS, bound_batches, hash_filter, may_hold, mix, saved, span_hashes, steps
 
 #: A chunk ends where the rolling hash of its last WINDOW lines is smaller than those one line before and behind, so that it has
 #: two lines or more (three on average), and after MOST_LINES lines.
@@ -130,6 +130,7 @@ def remove_repeated(documents: DataFrame, id: str = "doc_id", text: str = "text"
     this, and both keep or lose a chunk; a null id comes first; a column named n_removed is replaced; an empty table gives an empty result.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     docs = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(id), F.col(text)).alias("row"), F.col(text).alias("text"))
     some = docs.where("text is not null and text <> ''")
     found = some.mapInArrow(_found, "id long, row long, chunk int, hash long")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dosewise.llm.common import saved, word_counts
+from dosewise.llm.common import bound_batches, saved, word_counts
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3.0
@@ -53,6 +53,7 @@ def mix(documents: DataFrame, id: str = "doc_id", text: str = "text", source: st
     Size is the number of words (null: 0). A null source is one of its own, the last. Rows that are equal in id and text share
     a rank and are taken together; columns with the added names are replaced; an empty table gives an empty result.
     """
+    bound_batches(documents.sparkSession)
     added = ("size", "source_size", "target", "copies", "taken")
     row = F.struct(*[c for c in documents.columns if c not in added])
     bits = F.shiftrightunsigned(F.xxhash64(F.col(id), F.col(text), F.lit(seed)), 11)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import connected_components, listed, mix, saved, small_or_shuffled, steps
+from dosewise.llm.common import bound_batches, connected_components, listed, mix, saved, small_or_shuffled, steps
 
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 8
@@ -247,6 +247,7 @@ def jaccard_groups(documents: DataFrame, id: str = "doc_id", text: str = "text",
     null, has none and links with nothing. Rows that repeat an id are one
     node; of several texts the smallest set stands for it beside near sets, while exact copies of any of them link with it. A null id takes no part: class and component are null. Other columns are not read. An empty table gives an empty result.
     """
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     prints = saved(docs.mapInArrow(_printer(n, percent), "id long, n long, sig_a long, sig_b long, keys array<long>, sketch binary"), "prints")
     real = prints.where("n > 0 and id is not null")

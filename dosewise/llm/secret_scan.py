@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import saved
+from dosewise.llm.common import bound_batches, saved
 
 LEDGER = "blob string, rules array<string>, spans array<struct<rule:string,start:int,end:int>>"
 
@@ -76,6 +76,7 @@ def scan_versions(versions: DataFrame, paths: list[str], text: str = "text", led
     repeated rows; other columns, whatever their names, are not read; an empty table gives an empty result.
     """
     spark = versions.sparkSession
+    bound_batches(spark)
     names = [r.name for r in rules]
     whole = versions.select(
         F.struct(*paths).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")
