@@ -261,8 +261,9 @@ def jaccard_groups(documents: DataFrame, id: str = "doc_id", text: str = "text",
     sizes = real.select("id", "n", "sig_a", "sketch").join(reps, "id", "left_semi")
     sizes = saved(sizes.groupBy("id").agg(F.min(F.struct("n", "sig_a", "sketch")).alias("s")).select("id", "s.*"), "sizes")
 
-    keyed = real.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    # one exchange serves both the keys that several ids have and the join with them: both read key and id
+    keyed = real.select("id", F.explode("keys").alias("key")).repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     held = keyed.join(shared.hint("shuffle_hash"), "key").join(reps, "id", "left_semi")
     held = saved(held, "held")
     first = held.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("members")).where("members > 1")
