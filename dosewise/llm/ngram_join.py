@@ -9,9 +9,12 @@ fragments, and with it each document's set into segments.
    by itself. Sizes are grouped in levels, so that two sets that can link meet in one level.
 2. Stars. Each document is held against one partner that shares most segments with it, always towards smaller
    ids. This joins dense groups without their quadratic number of pairs.
-3. Rest. Only keys whose documents are still in different components are looked at again: pairs across
-   components, in blocks, thinned by a parity sketch whose distance never exceeds that of the sets.
-4. Overlaps. For candidate pairs, the overlap is counted in each fragment separately and summed per pair.
+3. Hubs. While keys with many documents stay open, that is, hold several components, each document is held against the
+   nearest, by sketch, of the documents that come first in its open keys by an order drawn anew each round. So a dense group
+   whose smallest id is near to few others is joined without its pairs, too.
+4. Rest. Only keys that are still open are looked at again: all pairs across components, in blocks, thinned by a
+   parity sketch whose distance never exceeds that of the sets.
+5. Overlaps. For candidate pairs, the overlap is counted in each fragment separately and summed per pair.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ FRAGMENTS = 8
 #: Keys with so many documents at most are paired in a plain join, others in blocks.
 SMALL = 16
 BLOCK = 512
+#: Rounds of hubs at most, and the part of the squared key sizes that a round must leave at most for another to follow.
+ROUNDS, PAYS = 6, 0.9
 
 
 # ---------------------------------------------------------------- sets
@@ -183,7 +188,7 @@ def _near(percent: int):
             sa, sb = batch["sketch_a"].to_pylist(), batch["sketch_b"].to_pylist()
             apart = np.array([_apart(x, y) for x, y in zip(sa, sb, strict=True)], np.int64)
             ok = apart <= most_apart(batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            yield batch.select(["a", "b"]).append_column("apart", pa.array(apart)).filter(pa.array(ok))
 
     return keep
 
@@ -235,7 +240,31 @@ def _verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, n: int, perce
 def _sketch_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     a, b = (sizes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where((F.abs(F.col("n_a") - F.col("n_b")) * (100 + percent)) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    return near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near(percent), "a long, b long")
+    return near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near(percent), "a long, b long, apart long")
+
+
+def _open(marked: DataFrame) -> tuple[DataFrame, float, float]:
+    """Rows (key, id, comp, members) of the keys that hold several components; their number and that of their squares."""
+    keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    keys = saved(keys.select("key", "members"), "open")
+    rows, squares = keys.agg(F.sum("members"), F.sum(F.col("members").cast("double") * F.col("members"))).first()
+    return saved(marked.join(keys, "key"), "rest"), rows or 0, squares or 0
+
+
+def _hub_links(docs: DataFrame, rest: DataFrame, sizes: DataFrame, n: int, percent: int, turn: int) -> DataFrame:
+    """Links (a, b) of documents with the nearest hub of their keys; a key's hub is its first document in this turn's order."""
+    hubs = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("place"), "id", "comp")).alias("hub"))
+    faced = rest.join(hubs, "key").where("comp <> hub.comp").select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+    nearest = _sketch_filter(faced, sizes, percent).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
+    return saved(_verified(docs, saved(nearest, "faced"), sizes, n, percent), "links")
+
+
+def _merged(rest: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, comp) of rest, after the components that links join are one."""
+    named = rest.select("id", "comp").distinct()
+    ends = links.join(named.select(F.col("id").alias("a"), F.col("comp").alias("u")), "a").join(named.select(F.col("id").alias("b"), F.col("comp").alias("v")), "b")
+    new = connected_components(ends.select("u", "v"), "u", "v").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    return saved(rest.join(new, "comp", "left").select("key", "id", F.coalesce("to", "comp").alias("comp")), "marked")
 
 
 def jaccard_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -270,17 +299,25 @@ def jaccard_groups(documents: DataFrame, id: str = "doc_id", text: str = "text",
     stars = held.join(first, "key").where("id > b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("common"))
     stars = stars.groupBy("a").agg(F.max(F.struct("common", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b"))
     stars = saved(stars, "stars")
-    links = saved(_verified(docs, _sketch_filter(stars, sizes, percent), sizes, n, percent), "links")
+    links = saved(_verified(docs, _sketch_filter(stars, sizes, percent).select("a", "b"), sizes, n, percent), "links")
 
     comps = connected_components(links)
     marked = held.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     marked = saved(marked, "marked")
-    open_ = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    open_ = saved(open_.select("key", "members"), "open")
-    rest = saved(marked.join(open_, "key"), "rest")
+    rest, rows, squares = _open(marked)
+    for turn in range(ROUNDS):
+        if squares <= SMALL * rows:
+            break
+        found, before = _hub_links(docs, rest, sizes, n, percent, turn), squares
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        rest, rows, squares = _open(_merged(rest, found))
+        if squares > PAYS * before:
+            break
     few = rest.where(F.col("members") <= SMALL).select("key", "id", "comp")
     pairs = few.alias("x").join(few.alias("y"), "key").where("x.id > y.id and x.comp <> y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = _sketch_filter(pairs, sizes, percent)
+    pairs = _sketch_filter(pairs, sizes, percent).select("a", "b")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     many = rest.where(F.col("members") > SMALL).join(sizes, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "id", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))

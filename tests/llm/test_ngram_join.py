@@ -75,3 +75,21 @@ def test_messy(messy, none):
     assert by[1] == {(13, 1)} and by[2] == {(13, 1)} and by[3] == {(0, 3)} and by[4] == {(0, 4)} and by[5] == {(0, 5)}
     assert {c for _, c in by[None]} == {None} and {c for _, c in by[6]} == {6}
     assert ngram_join.jaccard_groups(none).count() == 0
+
+
+def test_dense_group_around_another_than_its_smallest_id(spark, monkeypatch):
+    """Copies near the limit from each other: the rounds of hubs join most, the blocks the rest."""
+    rng, seen = random.Random(7), []
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for k in range(120):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([2, 3, 4, 5, 6])):
+            words[at] = f"x{k}_{at}"
+        texts[k] = " ".join(words)
+    hubs = ngram_join._hub_links
+    monkeypatch.setattr(ngram_join, "_hub_links", lambda *a: seen.append(1) or hubs(*a))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for n, percent in ((5, 80), (3, 90)):
+        assert held(ngram_join.jaccard_groups(rows, n=n, percent=percent).collect()) == brute(texts, n, percent)
+    assert seen
