@@ -1,8 +1,10 @@
-"""Line dedup by content-defined chunks: rolling hashes over line hashes set the boundaries, so that equal passages fall into
-equal chunks wherever they stand, and multi-line chunks that are repeated anywhere are removed after a comparison of bytes."""
+"""Line dedup by content-defined chunks and windows of lines: rolling hashes over line hashes set the chunks' boundaries, so that equal passages
+fall into equal chunks wherever they stand, and multi-line chunks that are repeated anywhere are removed after a comparison of bytes. Windows, the
+shortest runs of more than LONG_WORDS words that begin or end at a line, find every longer repeated passage line by line."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dosewise.llm.common import BROADCAST_ROWS, bound_batches, hash_filter, may_hold, mix, saved, span_hashes, steps
+from dosewise.llm.common import BROADCAST_ROWS, Texts, bound_batches, hash_filter, may_hold, mix, saved, span_hashes, steps
 
 #: A chunk ends where the rolling hash of its last WINDOW lines is smaller than those one line before and behind, so that it has
 #: two lines or more (three on average), and after MOST_LINES lines.
@@ -23,16 +25,46 @@ LONG_WORDS = 50
 def chunks(texts: pa.Array, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int, bool]]:
     """(row, chunk, start, end, hash, removable) in bytes of all chunks; together a row's chunks are its text."""
     for t in steps(texts):
+        yield from _chunks(t, _Lines(t), window)
+
+
+class _Lines:
+    """The lines of a step of texts."""
+
+    def __init__(self, t: Texts):
         breaks = np.flatnonzero(t.buf == 10) + 1
         ends = np.union1d(breaks, t.offsets[1:])
-        ends = ends[ends > 0]
-        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-        if not len(ends):
-            continue
+        self.ends = ends[ends > 0]
+        self.starts = np.concatenate(([0], self.ends[:-1])).astype(np.int64)[: len(self.ends)]
         # without the line break, so that a text's last line equals the same line elsewhere
-        bare = ends - (t.buf[ends - 1] == 10)
+        self.bare = self.ends - (t.buf[self.ends - 1] == 10)
+        self.doc = np.searchsorted(t.offsets, self.starts, "right") - 1
+        word_starts = t.words()[0]
+        self.words = np.searchsorted(word_starts, self.ends) - np.searchsorted(word_starts, self.starts)
+
+
+def _windows(t: Texts, at: _Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, bare, hash) of each window of two lines or more: from each line, to it, the shortest run of more than LONG_WORDS words.
+
+    A run of lines with more words is made up of the windows within it, whatever stands around it. bare is the end without the line break.
+    """
+    n = len(at.ends)
+    total, line = np.concatenate(([0], np.cumsum(at.words))), np.arange(n)
+    ahead = np.searchsorted(total, total[:-1] + LONG_WORDS + 1) - 1
+    behind = np.searchsorted(total, total[1:] - LONG_WORDS - 1, "right") - 1
+    b, e = np.concatenate((line, behind)), np.concatenate((ahead, line))
+    ok = (b >= 0) & (e < n) & (b < e)
+    b, e = b[ok], e[ok]
+    inside = at.doc[b] == at.doc[e]
+    b, e = np.divmod(np.unique(b[inside] * n + e[inside]), max(n, 1))
+    row, first = at.doc[b], t.offsets[at.doc[b]]
+    return t.first + row, at.starts[b] - first, at.ends[e] - first, at.bare[e] - first, span_hashes(t.buf, at.starts[b], at.bare[e])
+
+
+def _chunks(t: Texts, at_: _Lines, window: int) -> Iterator[tuple[int, int, int, int, int, bool]]:
+    starts, ends, bare, doc = at_.starts, at_.ends, at_.bare, at_.doc
+    if len(ends):
         lines = span_hashes(t.buf, starts, bare)
-        doc = np.searchsorted(t.offsets, starts, "right") - 1
         first = np.searchsorted(doc, np.arange(t.n))
         place = np.arange(len(lines)) - first[doc]
         rolling = np.zeros(len(lines), np.uint64)
@@ -44,8 +76,7 @@ def chunks(texts: pa.Array, window: int = WINDOW) -> Iterator[tuple[int, int, in
         same = doc[1:] == doc[:-1]
         cut = np.zeros(len(lines), bool)
         cut[1:-1] = (rolling[1:-1] < rolling[:-2]) & (rolling[1:-1] <= rolling[2:]) & same[:-1] & same[1:]
-        word_starts = t.words()[0]
-        long = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts) > LONG_WORDS
+        long = at_.words > LONG_WORDS
         cut |= long | np.append(long[1:] | ~same, True)
         at = np.flatnonzero(cut)
         begin = np.concatenate(([0], at[:-1] + 1))
@@ -67,15 +98,19 @@ def sequence_hash(lines: np.ndarray) -> int:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The removable chunks of every row."""
+    """The removable chunks and the windows of every row."""
     for batch in batches:
-        rows = [(i, k, h) for i, k, _, _, h, ok in chunks(batch["text"]) if ok]
-        take = pa.array([r[0] for r in rows], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch["id"].take(take), batch["row"].take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["id", "row", "chunk", "hash"])
+        for t in steps(batch["text"]):
+            at = _Lines(t)
+            rows = np.array([(i, a, h) for i, _, a, _, h, ok in _chunks(t, at, WINDOW) if ok], np.int64).reshape(-1, 3)
+            row, start, _, _, hashes = _windows(t, at)
+            take = pa.array(np.concatenate((rows[:, 0], row)), pa.int64())
+            found = [pa.array(np.concatenate((rows[:, 1], start)), pa.int32()), pa.array(np.concatenate((rows[:, 2], hashes.view(np.int64))), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch["id"].take(take), batch["row"].take(take), *found], ["id", "row", "start", "hash"])
 
 
 def _bodies(bits):
-    """Bytes of the removable chunks whose hash may be repeated."""
+    """Bytes of the removable chunks whose hash may be repeated; of such windows, which overlap, a SHA-256 of the bytes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,19 +118,25 @@ def _bodies(bits):
 
             def out():
                 take = pa.array([r[0] for r in rows], pa.int64())
+                kinds = ((1, pa.int32()), (2, pa.int32()), (3, pa.bool_()), (4, pa.int64()), (5, pa.binary()))
                 return pa.RecordBatch.from_arrays(
-                    [batch["id"].take(take), batch["row"].take(take), *(pa.array([r[c] for r in rows], kind) for c, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.int64()), (5, pa.binary())))],
-                    ["id", "row", "chunk", "start", "stop", "hash", "body"],
+                    [batch["id"].take(take), batch["row"].take(take), *(pa.array([r[c] for r in rows], kind) for c, kind in kinds)],
+                    ["id", "row", "start", "stop", "chunk", "hash", "body"],
                 )
 
-            size, last, raw = 0, None, b""
-            for i, k, start, stop, h, ok in chunks(texts):
-                if ok and may_hold(bits.value, np.uint64(h & (1 << 64) - 1)):
+            size = 0
+            for t in steps(texts):
+                at, last, raw = _Lines(t), None, b""
+                row, start, stop, bare, hashes = _windows(t, at)
+                may = may_hold(bits.value, hashes)
+                found = zip(*(x[may].tolist() for x in (row, start, stop, bare, hashes.view(np.int64))), strict=True)
+                units = [(i, a, b, b, h, True) for i, _, a, b, h, ok in _chunks(t, at, WINDOW) if ok and may_hold(bits.value, np.uint64(h & (1 << 64) - 1))]
+                for i, a, b, end, h, chunk in sorted(units + [(*x, False) for x in found]):
                     if i != last:
-                        last, raw = i, texts[i].as_buffer()
-                    body = raw[start:stop].to_pybytes()
-                    rows.append((i, k, start, stop, h, body.removesuffix(b"\n")))
-                    size += stop - start
+                        last, raw = i, texts[i].as_buffer().to_pybytes()
+                    body = raw[a:b].removesuffix(b"\n") if chunk else hashlib.sha256(raw[a:end]).digest()
+                    rows.append((i, a, b, chunk, h, body))
+                    size += len(body) + 40
                     if size > 1 << 22:
                         yield out()
                         rows, size = [], 0
@@ -105,6 +146,34 @@ def _bodies(bits):
     return read
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
+def _apart(spans: pa.Array) -> pa.Array:
+    """Disjoint cuts in order: the chunks as they are, and what the windows, joined where they touch, cover besides."""
+    out = []
+    for cuts in spans.to_pylist():
+        chunks_ = sorted((c["start"], c["stop"]) for c in cuts if c["chunk"])
+        joined: list[list[int]] = []
+        for a, b in sorted((c["start"], c["stop"]) for c in cuts if not c["chunk"]):
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        found, k = list(chunks_), 0
+        for a, b in joined:
+            while k < len(chunks_) and chunks_[k][1] <= a:
+                k += 1
+            j = k
+            while j < len(chunks_) and chunks_[j][0] < b:
+                if a < chunks_[j][0]:
+                    found.append((a, chunks_[j][0]))
+                a = max(a, chunks_[j][1])
+                j += 1
+            if a < b:
+                found.append((a, b))
+        out.append([{"start": a, "stop": b} for a, b in sorted(found)])
+    return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+
+
 @F.arrow_udf(T.StringType())
 def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
@@ -121,11 +190,13 @@ def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def remove_repeated(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents, all columns and rows, with repeated chunks taken out of the text; added: n_removed, chunks taken from the row.
+    """documents, all columns and rows, with repeated chunks and passages taken out of the text; added: n_removed, chunks and
+    further pieces taken from the row.
 
     A chunk of several lines, or a line of more than LONG_WORDS words, that occurs elsewhere, in any row or in its own, stays where id, row and place
     come first and goes everywhere else, if its bytes (but for a line break at its end) are the same. Chunks are
-    cut by content, so a passage inserted before them does not move their bounds.
+    cut by content, so a passage inserted before them does not move their bounds. Besides, every line goes that stands in a run of lines with
+    more than LONG_WORDS words in all that occurs before; of runs that overlap their own first occurrence only what is behind it goes.
     Nulls stay null and empty texts empty; a text that is all repeats becomes empty; rows equal in id and text are one for
     this, and both keep or lose a chunk; a null id comes first; a column named n_removed is replaced; an empty table gives an empty result.
     """
@@ -133,17 +204,19 @@ def remove_repeated(documents: DataFrame, id: str = "doc_id", text: str = "text"
     bound_batches(spark)
     docs = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(id), F.col(text)).alias("row"), F.col(text).alias("text"))
     some = docs.where("text is not null and text <> ''")
-    found = some.mapInArrow(_found, "id long, row long, chunk int, hash long")
-    place = F.struct("id", "row", "chunk")
+    found = some.mapInArrow(_found, "id long, row long, start int, hash long")
+    place = F.struct("id", "row", "start")
     repeated = found.groupBy("hash").agg(F.min(place).alias("keep"), F.max(place).alias("last"), F.count("*").alias("n")).where("n > 1 and keep <> last")
     repeated = saved(repeated.select("hash", "keep", F.ceil(F.col("n") / 5000).cast("int").alias("salts")), "repeated")
     filter_ = spark.sparkContext.broadcast(hash_filter(repeated))
-    bodies = some.mapInArrow(_bodies(filter_), "id long, row long, chunk int, start int, stop int, hash long, body binary")
+    bodies = some.mapInArrow(_bodies(filter_), "id long, row long, start int, stop int, chunk boolean, hash long, body binary")
     bodies = saved(bodies.join(repeated, "hash"), "bodies")
-    kept = bodies.where(F.struct("id", "row", "chunk").eqNullSafe(F.col("keep"))).select("hash", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("body").alias("kept")).dropDuplicates(["hash", "salt"])
-    others = bodies.where(~F.struct("id", "row", "chunk").eqNullSafe(F.col("keep"))).withColumn("salt", F.pmod("row", "salts").cast("int"))
-    gone = others.join(kept, ["hash", "salt"]).where("body = kept").select("id", "row", "chunk", "start", "stop").distinct()
-    gone = gone.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))  # a text's own chunks
+    first = bodies.where(place.eqNullSafe(F.col("keep"))).select("hash", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("body").alias("kept"), F.col("stop").alias("until"))
+    first = first.dropDuplicates(["hash", "salt"])
+    others = bodies.where(~place.eqNullSafe(F.col("keep"))).withColumn("salt", F.pmod(F.xxhash64("row", "start"), "salts").cast("int"))
+    own = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("row") == F.col("keep.row"))
+    gone = others.join(first, ["hash", "salt"]).where("body = kept").select("id", "row", F.when(own, F.greatest("start", "until")).otherwise(F.col("start")).alias("start"), "stop", "chunk")
+    gone = gone.where("start < stop").distinct().groupBy("id", "row").agg(_apart(F.collect_list(F.struct("start", "stop", "chunk"))).alias("cuts"))  # a text's own cuts
     gone = saved(gone.select(F.col("id").alias("_i"), F.col("row").alias("_r"), "cuts"), "gone")
     if (gone.select(F.sum(F.size("cuts"))).first()[0] or 0) <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
