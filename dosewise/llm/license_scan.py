@@ -6,11 +6,14 @@ DataFrame operations of the JVM throughout; n-gram counts and the classifier are
 from __future__ import annotations
 
 import functools
+import math
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Notices of each family, as their authors word them.
@@ -115,25 +118,84 @@ def _fit(spark: SparkSession):
     return classes, counts, model, min(least, 0.95)
 
 
+def _template_pairs(text: str) -> list[str]:
+    w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+    return list(dict.fromkeys(map(" ".join, zip(w, w[1:], strict=False))))
+
+
+@functools.cache
+def _telling() -> str:
+    """A pattern that any text with COVERAGE of a template's pairs meets: of each template so many long words that their pairs cannot all be missing."""
+    found = set()
+    for text in (t for ts in TEMPLATES.values() for t in ts):
+        tp, some = _template_pairs(text), set()
+        spare = len(tp) - math.ceil(COVERAGE * len(tp) - 1e-9)
+        for w in sorted({w for p in tp for w in p.split()}, key=lambda w: (-len(w), w)):
+            if sum(not some.isdisjoint(p.split()) for p in tp) > spare:
+                break
+            some.add(w)
+        found |= some
+    return "|".join(sorted(found))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """The rows whose `text`, as a whole, has COVERAGE of the word pairs of any template."""
+    every = [_template_pairs(t) for ts in TEMPLATES.values() for t in ts]
+    known = F.array(*map(F.lit, dict.fromkeys(p for tp in every for p in tp)))
+    # bound as a lambda's variable, so that the text's pairs are formed once and not for each template
+    enough = lambda met: functools.reduce(lambda x, y: x | y, [F.size(F.array_intersect(F.array(*map(F.lit, tp)), met)) >= COVERAGE * len(tp) for tp in every])
+    return rows.where(F.lower("text").rlike(_telling())).where(F.exists(F.array(F.array_intersect(known, pairs(words(F.col("text"))))), enough))
+
+
+def _wrapped(rows: DataFrame) -> DataFrame:
+    """(key, version, paragraph, last, line): runs of two and more lines of the candidates among rows, joined; no line within is blank, or a comment mark alone.
+
+    A run goes on until the lines between its first and its last have as many words as the longest template.
+    """
+    longest = max(len(re.findall("[a-z0-9]+", t.lower())) for ts in TEMPLATES.values() for t in ts)
+    lines = _candidates(rows).select("key", "version", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    lines = lines.withColumn("line", F.regexp_replace("line", r"(?i)^\s*(rem|dnl)\s", "")).withColumn("n", F.size(F.filter(words(F.col("line")), lambda w: w != "")))
+    ahead = W.partitionBy("key", "version").orderBy("paragraph").rowsBetween(0, longest + 1)  # a line has a word at least
+    lines = lines.dropDuplicates(["key", "version", "paragraph"]).withColumn("run", F.collect_list(F.struct("line", "n")).over(ahead)).where("n > 0 and size(run) > 1")
+    runs = lines.select("key", "version", "paragraph", "n", "run", F.explode(F.sequence(F.lit(2), F.size("run"))).alias("k")).withColumn("run", F.slice("run", 1, F.col("k")))
+    total = F.aggregate("run", F.lit(0), lambda t, x: t + x["n"])
+    runs = runs.where(~F.exists("run", lambda x: x["n"] == 0) & (total - F.col("n") - F.element_at("run", -1)["n"] < longest))
+    return runs.select("key", "version", "paragraph", (F.col("paragraph") + F.col("k") - 1).alias("last"), F.array_join("run.line", "\n").alias("line"))
+
+
 def license_paragraphs(documents: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """The `keys` columns with paragraph, family, probability, template and coverage of every paragraph that holds a licence notice.
 
-    Paragraphs are lines, counted from 0. Where they stand, a paragraph's n-grams (words and pairs of words) are counted and classified
-    by the fitted models, so that only the few that pass are shuffled. A family is reported if it is the likeliest, its probability reaches the calibrated
+    Paragraphs are lines, counted from 0, and runs of lines without a blank one between them, as notices are wrapped, numbered by their first line;
+    of runs only the shortest that hold a notice of a family count, those that overlap as one, and none around a line that holds it alone. Where lines stand,
+    a paragraph's n-grams (words and pairs of words) are counted and classified by the fitted models, so that only the few that pass are shuffled; runs
+    are formed in texts that have COVERAGE of a template in all. A family is reported if it is the likeliest, its probability reaches the calibrated
     least, and COVERAGE of the word pairs of one of its templates stands in the paragraph.
     Null and empty texts have no paragraphs; rows that are equal in keys and text give one result; an empty table an empty one.
     """
     spark = documents.sparkSession
     classes, counts, model, least = _fit(spark)
-    lines = documents.where(F.col(text).isNotNull()).select(F.struct(*keys).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("paragraph", "line"))
-    scored = model.transform(counts.transform(lines.withColumn("_ngrams", ngrams(F.col("line")))))
+    rows = documents.where(F.col(text).isNotNull()).select(F.struct(*keys).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     family = F.element_at(F.array(*map(F.lit, classes)), F.col("_class").cast("int") + 1)
-    likely = scored.select("key", "paragraph", "line", family.alias("family"), F.array_max(vector_to_array("_chances")).alias("probability"))
-    likely = likely.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
     notices = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, template string")
     notices = F.broadcast(notices.withColumn("tp", F.array_distinct(pairs(F.filter(words(F.col("template")), lambda w: w != "")))))
-    met = likely.join(notices, "family").withColumn("coverage", F.size(F.array_intersect("tp", pairs(words(F.col("line"))))) / F.size("tp"))
-    best = met.where(F.col("coverage") >= COVERAGE).groupBy("key", "paragraph").agg(F.max(F.struct("coverage", F.length("template"), "template", "family", "probability")).alias("b"))
+
+    def confirmed(lines: DataFrame) -> DataFrame:
+        scored = model.transform(counts.transform(lines.withColumn("_ngrams", ngrams(F.col("line")))))
+        likely = scored.select("key", "version", "paragraph", "last", "line", family.alias("family"), F.array_max(vector_to_array("_chances")).alias("probability"))
+        likely = likely.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
+        met = likely.join(notices, "family").withColumn("coverage", F.size(F.array_intersect("tp", pairs(words(F.col("line"))))) / F.size("tp"))
+        return met.where(F.col("coverage") >= COVERAGE).select("key", "version", "paragraph", "last", "family", F.struct("coverage", F.length("template"), "template", "family", "probability").alias("b"))
+
+    lines = rows.select("key", "version", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).withColumn("last", F.col("paragraph"))
+    found = confirmed(lines).unionByName(confirmed(_wrapped(rows))).groupBy("key", "version", "family", "paragraph", "last").agg(F.max("b").alias("b"))
+    of = W.partitionBy("key", "version", "family")
+    within = F.min("last").over(of.orderBy(F.desc("paragraph"), "last").rowsBetween(W.unboundedPreceding, -1))
+    found = found.withColumn("within", within).where("within is null or within > last")
+    found = found.withColumn("new", F.coalesce(F.lag("last").over(of.orderBy("paragraph")) < F.col("paragraph"), F.lit(True)).cast("int"))
+    found = found.withColumn("notice", F.sum("new").over(of.orderBy("paragraph")))
+    found = found.groupBy("key", "version", "family", "notice").agg(F.min("paragraph").alias("paragraph"), F.max("b").alias("b"))
+    best = found.groupBy("key", "paragraph", "family").agg(F.max("b").alias("b"))
     return best.select("key.*", "paragraph", "b.family", "b.probability", "b.template", "b.coverage")
 
 
