@@ -36,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = set_dir.get() if set_dir.isDefined() else None
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="dosewise-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="dosewise-")  # driver and executors are one process
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -46,7 +48,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more, so that they do not hold disk until the session ends."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bytes of an Arrow batch between Spark and Python.
@@ -179,27 +191,29 @@ def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp) for every id in edges, comp the smallest id of its component.
 
-    Large-star and small-star steps by turns until nothing changes; each round is a saved table, and only
-    counts reach the driver. A hub costs pre-aggregated rows, for a step needs each node's smallest neighbour alone.
+    Large-star and small-star steps by turns until nothing changes; each round is a saved table that replaces the last, and only
+    counts reach the driver. A hub costs pre-aggregated rows in the groupings; in the joins, least neighbours are broadcast while
+    there are few, and else saved first, so that adaptive execution can split a hub's partition.
     Null ends, loops and repeated edges are ignored; without edges the result is empty.
     """
-    spark = edges.sparkSession
     now = saved(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges"
     )
-    before = None
+    few, before = now.count() <= BROADCAST_ROWS, None
     while True:
+        least = lambda links: F.broadcast(links) if few else saved(links, "least")
         both = now.union(now.select("v", "u"))  # large-star: larger neighbours link to the smallest around u
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))  # small-star: smaller neighbours and u link to the smallest
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("x"), "m").where("x <> m")
-        now = saved(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        around = least(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(around, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = large if few else saved(large, "large")
+        below = least(large.groupBy("u").agg(F.min("v").alias("m")))  # small-star: smaller neighbours and u link to the smallest
+        small = large.join(below, "u").select(F.explode(F.array("u", "v")).alias("x"), "m").where("x <> m")
+        after = saved(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        dropped(now, *(t for t in (around, large, below) if hasattr(t, "saved_at")))
+        now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     ids = now.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     return ids.union(now.select(F.col("v").alias("id"), F.col("v").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
-
-

@@ -1,25 +1,23 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The n-grams of all documents have one global order, that of their 64-bit hashes. Pivots cut that order into
-fragments, and with it each document's set into segments.
-
-1. Candidates. For sizes a and b and a threshold t, two sets that link differ in at most
-   d = (1 - t) / (1 + t) * (a + b) n-grams. Cut into d + 1 fragments, they agree in one whole segment at least, so
-   equal (fragment, segment) keys find every link, and a passage or word that many documents share makes no candidates
-   by itself. Sizes are grouped in levels, so that two sets that can link meet in one level.
-2. Stars. Each document is held against one partner that shares most segments with it, always towards smaller
-   ids. This joins dense groups without their quadratic number of pairs.
+The n-grams of all documents have one global order, rarest first: by their counts in a count sketch of a bounded size, then by hash.
+Any order is exact; this one keeps passages and words that many documents share out of the candidates.
+
+1. Candidates. A set that links shares percent of its n-grams at least with its partner, so both hold a common one among the first
+   n - ceil(percent * n) + 1 of their own in the global order. These are a document's keys.
+2. Stars. Each document is held against one partner, that with which it has most keys in common among the hubs of its keys. A key's hub
+   is the document whose n-grams are commonest on average: the one that copies were made from, or nearest to it. This joins dense groups
+   without their quadratic number of pairs.
 3. Hubs. While keys with many documents stay open, that is, hold several components, each document is held against the
-   nearest, by sketch, of the documents that come first in its open keys by an order drawn anew each round. So a dense group
-   whose smallest id is near to few others is joined without its pairs, too.
-4. Rest. Only keys that are still open are looked at again: all pairs across components, in blocks, thinned by a
-   parity sketch whose distance never exceeds that of the sets.
-5. Overlaps. For candidate pairs, the overlap is counted in each fragment separately and summed per pair.
+   nearest, by sketch, of the documents that come first in its open keys by an order drawn anew each round.
+4. Rest. Only keys that are still open are looked at again, across components and in blocks, thinned by a parity sketch whose
+   distance never exceeds that of the sets: first the nearest partner of each document, until no round finds a link, then all that remain.
+5. Overlaps. The global order of hashes is cut into fragments, and with it each set; for candidate pairs, the overlap is counted in
+   each fragment separately and summed per pair.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import bound_batches, connected_components, listed, mix, saved, small_or_shuffled, steps
+from dosewise.llm.common import bound_batches, connected_components, dropped, listed, mix, saved, small_or_shuffled, steps
 
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 8
+#: log2 of the cells of the count sketch: as many as documents, within these bounds (one byte a cell is sent to all tasks).
+LEAST_CELLS, MOST_CELLS = 18, 22
+#: Partners of one document that are verified in one task.
+CELL_ROWS = 2000
 #: Keys with so many documents at most are paired in a plain join, others in blocks.
 SMALL = 16
 BLOCK = 512
@@ -60,20 +62,6 @@ def _sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield shingles(hashes[first[i] : first[i + 1]], n)
 
 
-def level_tops(most: int, percent: int) -> list[int]:
-    """Largest size of each level: sets that link are in one level or in two adjacent ones."""
-    tops, top = [], 0
-    while top < most:
-        top = (top + 1) * 100 // percent
-        tops.append(top)
-    return tops
-
-
-@functools.cache
-def _tops(percent: int) -> np.ndarray:
-    return np.array(level_tops(1 << 40, percent))
-
-
 def signature(values: np.ndarray, salt: int = 0x1234567) -> int:
     return int(mix(values ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) if len(values) else 0
 
@@ -88,63 +76,111 @@ def sketch_bits(size: int) -> int:
     return 1 << max(9, int(4 * size).bit_length())
 
 
-def segment_keys(values: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the segments of one set, in its own level and the next."""
-    tops = _tops(percent)
-    own = int(np.searchsorted(tops, len(values)))
-    hashed = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=hashed[1:])
-    high, keys = values >> np.uint64(32), []
-    for level in (own, own + 1):
-        # the level's sets are those of this size range and the one below
-        fragments = int(2 * tops[level]) * (100 - percent) // (100 + percent) + 1
-        pivots = ((np.arange(fragments + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(fragments - 1)) // np.uint64(fragments)
-        cut = np.searchsorted(high, pivots)
-        tag = np.arange(fragments, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
-        keys.append(mix((hashed[cut[1:]] - hashed[cut[:-1]]) ^ mix(tag)))
-    return np.concatenate(keys)
-
-
-def _printer(n: int, percent: int):
+def least_common(n: int, percent: int) -> int:
+    """N-grams that a set of n shares with any partner at least."""
+    return -(-percent * n // 100)
+
+
+def _cells(values: np.ndarray, cells: int) -> np.ndarray:
+    return (values & np.uint64(cells - 1)).astype(np.int64)
+
+
+#: Cells of a row in which the count sketch travels.
+ROW_CELLS = 4096
+
+
+def _counted(n: int, cells: int):
+    """(row, counts): each task's count sketch of its sets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            some, held = [], 0
+            for values in _sets(batch["text"], n):
+                some.append(values)
+                held += len(values)
+                if held > cells:
+                    total += np.bincount(_cells(np.concatenate(some), cells), minlength=cells)
+                    some, held = [], 0
+            if some:
+                total += np.bincount(_cells(np.concatenate(some), cells), minlength=cells)
+        yield from _rows(total)
+
+    return count
+
+
+def _rows(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rows = np.flatnonzero(total.reshape(-1, ROW_CELLS).any(axis=1))
+    ends = np.arange(len(rows) + 1) * ROW_CELLS
+    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), listed(total.reshape(-1, ROW_CELLS)[rows].ravel(), ends, pa.int64())], ["row", "counts"])
+
+
+def _added(cells: int):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((cells // ROW_CELLS, ROW_CELLS), np.int64)
+        for batch in batches:
+            for row, counts in zip(batch["row"].to_pylist(), batch["counts"], strict=True):
+                total[row] += counts.values.to_numpy()
+        yield from _rows(total.ravel())
+
+    return add
+
+
+def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
+    """A byte for each cell of the count sketch: its count on a logarithmic scale. Its size is bounded, so it may go to the driver and all tasks."""
+    cells = 1 << min(MOST_CELLS, max(LEAST_CELLS, docs.count().bit_length()))
+    parts = docs.select("text").mapInArrow(_counted(n, cells), "row int, counts array<long>")
+    found = parts.repartition(cells // ROW_CELLS, "row").mapInArrow(_added(cells), "row int, counts array<long>").toArrow()
+    total = np.zeros((cells // ROW_CELLS, ROW_CELLS), np.int64)
+    for row, counts in zip(found["row"].to_pylist(), found["counts"], strict=True):
+        total[row] += counts.values.to_numpy()
+    return (4 * np.log2(np.maximum(total.ravel(), 1))).astype(np.uint8)
+
+
+def prefix(values: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The keys of a set, in no order, and how common its n-grams are on average."""
+    if not len(values):
+        return values, 0
+    level = levels[_cells(values, len(levels))]
+    return values[np.argsort(level, kind="stable")[: len(values) - least_common(len(values), percent) + 1]], int(16 * level.mean(dtype=np.float64))
+
+
+def _printer(n: int, percent: int, levels):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids, sizes, high, low, keys, sketches):
+        def out(ids, sizes, high, low, common, keys, sketches):
             at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             flat = (np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64)
-            cols = [ids, pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), listed(flat, at, pa.int64()), pa.array(sketches, pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["id", "n", "sig_a", "sig_b", "keys", "sketch"])
+            cols = [ids, *(pa.array(x, pa.int64()) for x in (sizes, high, low, common)), listed(flat, at, pa.int64()), pa.array(sketches, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["id", "n", "sig_a", "sig_b", "common", "keys", "sketch"])
 
         for batch in batches:
-            sizes, high, low, keys, sketches, start, held = [], [], [], [], [], 0, 0
+            rows, start, held = [], 0, 0
             for i, values in enumerate(_sets(batch["text"], n)):
-                sizes.append(len(values))
-                high.append(signature(values))
-                low.append(signature(values, 0x89ABCDE))
-                keys.append(segment_keys(values, percent) if len(values) else np.zeros(0, np.uint64))
-                sketches.append(_sketch(values, sketch_bits(len(values))).tobytes())
-                held += len(keys[-1])
+                keys, common = prefix(values, levels.value, percent)
+                rows.append((len(values), signature(values), signature(values, 0x89ABCDE), common, keys, _sketch(values, sketch_bits(len(values))).tobytes()))
+                held += len(keys)
                 if held > 1 << 19:  # no larger batches than that
-                    yield out(batch["id"].slice(start, i + 1 - start), sizes, high, low, keys, sketches)
-                    sizes, high, low, keys, sketches, start, held = [], [], [], [], [], i + 1, 0
-            if sizes:
-                yield out(batch["id"].slice(start), sizes, high, low, keys, sketches)
+                    yield out(batch["id"].slice(start, i + 1 - start), *map(list, zip(*rows, strict=True)))
+                    rows, start, held = [], i + 1, 0
+            if rows:
+                yield out(batch["id"].slice(start), *map(list, zip(*rows, strict=True)))
 
     return prints
 
 
 def _segments(n: int):
-    """(cell, id, fragment, hashes) of the rows whose set has the signature that stands for their id."""
+    """(id, part, hashes) of the rows whose set has the signature that stands for their id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = np.arange(FRAGMENTS + 1, dtype=object) * (1 << 64) // FRAGMENTS
-        pivots = np.array([int(p) for p in pivots[:-1]], np.uint64)
+        pivots = np.array([(k << 64) // FRAGMENTS for k in range(FRAGMENTS)], np.uint64)
         for batch in batches:
-            flat, ends, cells, ids, parts = [], [0], [], [], []
+            flat, ends, ids, parts = [], [0], [], []
 
             def out():
                 values = np.concatenate(flat).view(np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), listed(values, np.array(ends), pa.int64())], ["cell", "id", "part", "hashes"])
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), listed(values, np.array(ends), pa.int64())], ["id", "part", "hashes"])
 
-            for cell, id_, sig, values in zip(batch["cell"].to_pylist(), batch["id"].to_pylist(), batch["sig_a"].to_pylist(), _sets(batch["text"], n), strict=True):
+            for id_, sig, values in zip(batch["id"].to_pylist(), batch["sig_a"].to_pylist(), _sets(batch["text"], n), strict=True):
                 if signature(values) != sig:
                     continue
                 at = np.append(np.searchsorted(values, pivots), len(values))
@@ -152,13 +188,12 @@ def _segments(n: int):
                     if at[f + 1] > at[f]:
                         flat.append(values[at[f] : at[f + 1]])
                         ends.append(ends[-1] + int(at[f + 1] - at[f]))
-                        cells.append(cell)
                         ids.append(id_)
                         parts.append(f)
                 if ends[-1] > 1 << 19:
                     yield out()
-                    flat, ends, cells, ids, parts = [], [0], [], [], []
-            if cells:
+                    flat, ends, ids, parts = [], [0], [], []
+            if ids:
                 yield out()
 
     return cut
@@ -188,7 +223,7 @@ def _near(percent: int):
             sa, sb = batch["sketch_a"].to_pylist(), batch["sketch_b"].to_pylist()
             apart = np.array([_apart(x, y) for x, y in zip(sa, sb, strict=True)], np.int64)
             ok = apart <= most_apart(batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), percent)
-            yield batch.select(["a", "b"]).append_column("apart", pa.array(apart)).filter(pa.array(ok))
+            yield batch.select(["a", "b", "n_a", "n_b"]).append_column("apart", pa.array(apart)).filter(pa.array(ok))
 
     return keep
 
@@ -198,8 +233,8 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(np.frombuffer(_fold(x, m), np.uint8) ^ np.frombuffer(_fold(y, m), np.uint8)).sum())
 
 
-def _blocks(percent: int):
-    """Near pairs across components among the documents of one cell, rows of block i against those of block j."""
+def _blocks(percent: int, nearest: bool):
+    """Near pairs across components among the documents of one key, rows of block i against those of block j; of each row all or the nearest."""
 
     def pairs(table: pa.Table) -> pa.Table:
         ids, comp, n, block = (table[c].to_numpy() for c in ("id", "comp", "n", "block"))
@@ -208,39 +243,45 @@ def _blocks(percent: int):
         bits = np.frombuffer(b"".join(_fold(s, m) for s in sketches), np.uint64).reshape(len(ids), -1)
         i0, j0 = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(block == i0), np.flatnonzero(block == j0)
-        out_a, out_b = [], []
+        out = []
         for i in left:
-            js = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (i0 != j0))]
+            js = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (i0 != j0) | nearest)]
             limit = most_apart(n[js], n[i], percent)
             js, limit = js[np.abs(n[js] - n[i]) <= limit], limit[np.abs(n[js] - n[i]) <= limit]
-            js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1) <= limit]
-            out_a.append(np.maximum(ids[js], ids[i]))
-            out_b.append(np.minimum(ids[js], ids[i]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+            apart = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1)
+            js, apart = js[apart <= limit], apart[apart <= limit]
+            if nearest and len(js):
+                js, apart = js[(k := int(apart.argmin())) : k + 1], apart[k : k + 1]
+            out += [(ids[i], n[i], ids[j], n[j], d) for j, d in zip(js, apart, strict=True)]
+        cols = np.array(out, np.int64).reshape(-1, 5)
+        if not nearest:  # the larger id first, so that a pair is one row
+            cols = np.where((cols[:, 0] < cols[:, 2])[:, None], cols[:, [2, 3, 0, 1, 4]], cols)
+        return pa.table(dict(zip(("a", "n_a", "b", "n_b", "apart"), cols.T.copy(), strict=True)))
 
     return pairs
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) that link: overlaps counted by fragment and summed. b's cell holds b and all its partners."""
-    cells = pairs.select(F.col("a").alias("id"), F.col("b").alias("cell")).union(pairs.select(F.col("b").alias("id"), F.col("b").alias("cell"))).distinct()
-    cells = cells.join(sizes.select("id", "sig_a"), "id")
-    segments = docs.join(small_or_shuffled(saved(cells, "cells")), "id").select("cell", "id", "sig_a", "text").mapInArrow(_segments(n), "cell long, id long, part int, hashes array<long>")
-    segments = saved(segments, "segments")
-    b = segments.where("id = cell").select("cell", "part", F.col("hashes").alias("h"))
-    a = segments.where("id <> cell")
-    counts = a.join(b, ["cell", "part"]).select(F.col("id").alias("a"), F.col("cell").alias("b"), "part", F.size(F.array_intersect("hashes", "h")).cast("long").alias("c"))
-    counts = counts.groupBy("a", "b", "part").agg(F.max("c").alias("c"))  # repeated rows count once
-    both = counts.groupBy("a", "b").agg(F.sum("c").alias("c"))
-    both = both.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-    return both.where((100 * F.col("c")) >= percent * (F.col("n_a") + F.col("n_b") - F.col("c"))).select("a", "b")
+def _verified(segments: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b, n_a, n_b) that link: overlaps counted by fragment and summed. b's cells hold b and some of its partners each."""
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("salts"))
+    pairs = saved(pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")), "cells")
+    total = percent * (F.col("n_a") + F.col("n_b"))
+    a = segments.join(small_or_shuffled(pairs.select(F.col("a").alias("id"), F.col("b").alias("cell"), "salt", total.alias("total"))), "id")
+    b = segments.join(small_or_shuffled(pairs.select(F.col("b").alias("id"), "salt").distinct()), "id").select(F.col("id").alias("cell"), "salt", "part", F.col("hashes").alias("h"))
+    counts = a.join(b, ["cell", "salt", "part"]).select(F.col("id").alias("a"), F.col("cell").alias("b"), "part", "total", F.size(F.array_intersect("hashes", "h")).cast("long").alias("c"))
+    counts = counts.groupBy("a", "b", "total", "part").agg(F.max("c").alias("c"))  # repeated rows count once
+    return counts.groupBy("a", "b", "total").agg(F.sum("c").alias("c")).where((100 + percent) * F.col("c") >= F.col("total")).select("a", "b")
 
 
 def _sketch_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     a, b = (sizes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where((F.abs(F.col("n_a") - F.col("n_b")) * (100 + percent)) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-    return near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near(percent), "a long, b long, apart long")
+    return near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near(percent), "a long, b long, n_a long, n_b long, apart long")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of each a the pair with the nearest b."""
+    return pairs.groupBy("a").agg(F.min(F.struct("apart", "b", "n_a", "n_b")).alias("best")).select("a", "best.b", "best.n_a", "best.n_b")
 
 
 def _open(marked: DataFrame) -> tuple[DataFrame, float, float]:
@@ -248,15 +289,14 @@ def _open(marked: DataFrame) -> tuple[DataFrame, float, float]:
     keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     keys = saved(keys.select("key", "members"), "open")
     rows, squares = keys.agg(F.sum("members"), F.sum(F.col("members").cast("double") * F.col("members"))).first()
-    return saved(marked.join(keys, "key"), "rest"), rows or 0, squares or 0
+    return saved(marked.join(small_or_shuffled(keys), "key"), "rest"), rows or 0, squares or 0
 
 
-def _hub_links(docs: DataFrame, rest: DataFrame, sizes: DataFrame, n: int, percent: int, turn: int) -> DataFrame:
+def _hub_links(segments: DataFrame, rest: DataFrame, sizes: DataFrame, percent: int, turn: int) -> DataFrame:
     """Links (a, b) of documents with the nearest hub of their keys; a key's hub is its first document in this turn's order."""
     hubs = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("place"), "id", "comp")).alias("hub"))
-    faced = rest.join(hubs, "key").where("comp <> hub.comp").select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
-    nearest = _sketch_filter(faced, sizes, percent).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
-    return saved(_verified(docs, saved(nearest, "faced"), sizes, n, percent), "links")
+    faced = rest.join(small_or_shuffled(saved(hubs, "hubs")), "key").where("comp <> hub.comp").select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+    return saved(_verified(segments, saved(_nearest(_sketch_filter(faced, sizes, percent)), "faced"), percent), "links")
 
 
 def _merged(rest: DataFrame, links: DataFrame) -> DataFrame:
@@ -264,69 +304,88 @@ def _merged(rest: DataFrame, links: DataFrame) -> DataFrame:
     named = rest.select("id", "comp").distinct()
     ends = links.join(named.select(F.col("id").alias("a"), F.col("comp").alias("u")), "a").join(named.select(F.col("id").alias("b"), F.col("comp").alias("v")), "b")
     new = connected_components(ends.select("u", "v"), "u", "v").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-    return saved(rest.join(new, "comp", "left").select("key", "id", F.coalesce("to", "comp").alias("comp")), "marked")
+    return saved(rest.join(small_or_shuffled(saved(new, "joined")), "comp", "left").select("key", "id", F.coalesce("to", "comp").alias("comp")), "marked")
+
+
+def _across(rest: DataFrame, sizes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b, n_a, n_b) of the pairs across components that share an open key and whose sketches allow a link; of each a all or the nearest."""
+    few = rest.where(F.col("members") <= SMALL).select("key", "id", "comp")
+    pairs = few.alias("x").join(few.alias("y"), "key").where("x.id > y.id and x.comp <> y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = _sketch_filter(pairs, sizes, percent).select("a", "n_a", "b", "n_b", "apart")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    many = rest.where(F.col("members") > SMALL).join(sizes, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "id", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    pairs = pairs.union(many.groupBy("key", "i", "j").applyInArrow(_blocks(percent, nearest), "a long, n_a long, b long, n_b long, apart long"))
+    return _nearest(pairs) if nearest else pairs.select("a", "b", "n_a", "n_b").distinct()
 
 
 def jaccard_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """(id, n_shingles, class_id, component_id) of every row: sizes, the smallest id with the same set, and the smallest id
     reachable by links.
 
-    Two sets of n-word shingles link when 100 * |intersection| >= percent * |union|; percent is at least 50. Words
+    Two sets of n-word shingles link when 100 * |intersection| >= percent * |union|. Words
     are runs without space or \\t-\\r, A-Z lower-cased; fewer than n words make one shingle; a text without words, or
     null, has none and links with nothing. Rows that repeat an id are one
     node; of several texts the smallest set stands for it beside near sets, while exact copies of any of them link with it. A null id takes no part: class and component are null. Other columns are not read. An empty table gives an empty result.
     """
-    bound_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    bound_batches(spark)
     docs = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    prints = saved(docs.mapInArrow(_printer(n, percent), "id long, n long, sig_a long, sig_b long, keys array<long>, sketch binary"), "prints")
+    levels = spark.sparkContext.broadcast(frequency_levels(docs, n))
+    prints = saved(docs.mapInArrow(_printer(n, percent, levels), "id long, n long, sig_a long, sig_b long, common long, keys array<long>, sketch binary"), "prints")
     real = prints.where("n > 0 and id is not null")
-    classes = real.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"))
-    member = prints.select("id", "n", "sig_a", "sig_b").join(classes, ["sig_a", "sig_b"], "left")
-    member = saved(member.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")), "members")
+    # saved, so that adaptive execution can split a class that very many rows are in
+    classes = real.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last")
+    classes = saved(classes, "classes")
+    real = real.join(small_or_shuffled(classes), ["sig_a", "sig_b"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    member = prints.where("n = 0 or id is null").select("id", "n", F.lit(None).cast("long").alias("rep")).union(real.select("id", "n", "rep"))
+    member = saved(member, "members")
     # ids with several texts: their classes belong together
     same = member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("id")
     same = member.join(same, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = member.where("id = rep").select("id").distinct()
-    sizes = real.select("id", "n", "sig_a", "sketch").join(reps, "id", "left_semi")
-    sizes = saved(sizes.groupBy("id").agg(F.min(F.struct("n", "sig_a", "sketch")).alias("s")).select("id", "s.*"), "sizes")
-
-    # one exchange serves both the keys that several ids have and the join with them: both read key and id
-    keyed = real.select("id", F.explode("keys").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    held = keyed.join(shared.hint("shuffle_hash"), "key").join(reps, "id", "left_semi")
-    held = saved(held, "held")
-    first = held.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("members")).where("members > 1")
-    stars = held.join(first, "key").where("id > b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("common"))
-    stars = stars.groupBy("a").agg(F.max(F.struct("common", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b"))
-    stars = saved(stars, "stars")
-    links = saved(_verified(docs, _sketch_filter(stars, sizes, percent).select("a", "b"), sizes, n, percent), "links")
-
-    comps = connected_components(links)
-    marked = held.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    marked = saved(marked, "marked")
+    # and ids that stand for several sets: the smallest is kept
+    reps = real.where("id = rep")
+    several = reps.groupBy("id").agg(F.min(F.struct("n", "sig_a")).alias("s"), F.count("*").alias("rows")).where("rows > 1").select("id", F.col("s.sig_a").alias("only"))
+    if not (several := saved(several, "several")).isEmpty():
+        reps = reps.join(small_or_shuffled(several), "id", "left").where("only is null or only = sig_a")
+
+    # one exchange serves both the keys that several ids have and the join with them: both read key, id and common
+    keyed = reps.select("id", "common", F.explode("keys").alias("key")).repartition("key")
+    hub = F.max(F.struct("common", (-F.col("id")).alias("id")))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), hub.alias("hub")).where("lo < hi").select("key", (-F.col("hub.id")).alias("b"))
+    held = saved(keyed.select("key", "id").join(shared.hint("merge"), "key").distinct(), "held")
+    sizes = saved(reps.select("id", "n", "sig_a", "sketch").join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "sizes")
+    segments = docs.join(small_or_shuffled(sizes.select("id", "sig_a")), "id").select("id", "sig_a", "text").mapInArrow(_segments(n), "id long, part int, hashes array<long>")
+    segments = saved(segments, "segments")
+    dropped(prints)
+
+    stars = held.where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("keys"))
+    stars = stars.groupBy("a").agg(F.max(F.struct("keys", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
+    links = saved(_verified(segments, saved(_sketch_filter(stars, sizes, percent), "stars"), percent), "links")
+
+    comps = saved(connected_components(links), "comps")
+    marked = held.select("key", "id").join(small_or_shuffled(comps), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     rest, rows, squares = _open(marked)
     for turn in range(ROUNDS):
         if squares <= SMALL * rows:
             break
-        found, before = _hub_links(docs, rest, sizes, n, percent, turn), squares
+        found, before = _hub_links(segments, rest, sizes, percent, turn), squares
         if found.isEmpty():
             break
         links = links.union(found)
         rest, rows, squares = _open(_merged(rest, found))
         if squares > PAYS * before:
             break
-    few = rest.where(F.col("members") <= SMALL).select("key", "id", "comp")
-    pairs = few.alias("x").join(few.alias("y"), "key").where("x.id > y.id and x.comp <> y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = _sketch_filter(pairs, sizes, percent).select("a", "b")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    many = rest.where(F.col("members") > SMALL).join(sizes, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "id", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pairs = pairs.union(many.groupBy("key", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct())
-    pairs = pairs.join(stars, ["a", "b"], "left_anti").distinct()
-    more = _verified(docs, saved(pairs, "pairs"), sizes, n, percent)
+    while squares > SMALL * rows:
+        found = saved(_verified(segments, saved(_across(rest, sizes, percent, nearest=True), "nearest"), percent), "links")
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        rest, rows, squares = _open(_merged(rest, found))
+    if rows:
+        links = links.union(saved(_verified(segments, saved(_across(rest, sizes, percent, nearest=False), "pairs"), percent), "links"))
 
-    comps = connected_components(links.union(more).union(same))
-    comps = comps.select(F.col("id").alias("rep"), "comp")
+    comps = connected_components(links.union(same)).select(F.col("id").alias("rep"), "comp")
     return member.join(comps, "rep", "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("class_id"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id")).alias("component_id")
     )
