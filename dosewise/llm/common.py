@@ -163,25 +163,27 @@ def listed(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-# ---------------------------------------------------------------- filters of a fixed size
+# ---------------------------------------------------------------- filters of a bounded size
 
-#: log2 of the bits of a filter that is sent to all tasks: 1 MB, however many hashes it stands for.
-FILTER_BITS = 23
+#: log2 of the bits of a filter that is sent to all tasks: from 1 to 8 MB, eight bits a hash while they suffice.
+FILTER_BITS = (23, 26)
 
 
 def hash_filter(hashes: DataFrame) -> np.ndarray:
     """The bits, by the low bits of each, of the hashes in the column `hash`; false hits are left to a join on whole hashes."""
-    cell = f"hash & {(1 << FILTER_BITS) - 1}"
-    # one row a byte: at most 2**FILTER_BITS / 8 come to the driver
+    least, most = FILTER_BITS
+    size = min(most, max(least, (8 * hashes.count()).bit_length()))
+    cell = f"hash & {(1 << size) - 1}"
+    # one row a byte: at most 2**size / 8 come to the driver
     bytes_ = hashes.selectExpr(f"cast(shiftright({cell}, 3) as int) AS byte", f"shiftleft(1, cast({cell} & 7 as int)) AS bit").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    bits = np.zeros(1 << (size - 3), np.uint8)
     bits[bytes_["byte"].to_numpy()] = bytes_["bits"].to_numpy()
     return bits
 
 
 def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Where uint64 hashes may be among those of the filter."""
-    cell = hashes & np.uint64((1 << FILTER_BITS) - 1)
+    cell = hashes & np.uint64(8 * len(bits) - 1)
     return (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 

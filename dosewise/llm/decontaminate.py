@@ -9,21 +9,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import bound_batches, hash_filter, listed, may_hold, mix, saved, steps
+from dosewise.llm.common import bound_batches, hash_filter, listed, may_hold, mix, saved, small_or_shuffled, steps
 
 #: Word positions that each mask reads. With WINDOW and SAME, any overlap that counts holds a clear hit of one of them.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 5, 6))
 #: An overlap counts if this share of the words of a window is the same; a shorter item is one window.
 WINDOW, SAME = 20, 0.85
-#: Items with fewer words are too common to tell anything and match nothing.
+#: Items with fewer words match only as a whole, word for word: one seed reads them all.
 LEAST_WORDS = 10
+#: Of a run of equal seeds, which a repeated word makes, so many places at both ends propose all shifts that an overlap can have.
+RUN_ENDS = 4
+
+
+def _ends_of_runs(h: np.ndarray, cuts: np.ndarray | None = None) -> np.ndarray:
+    """Where a seed is one of the first or last RUN_ENDS of its run of equal ones; no run goes across the cuts."""
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    if cuts is not None:
+        first[cuts[(cuts >= 0) & (cuts < len(h))]] = True
+    new = np.flatnonzero(first)
+    start = np.repeat(new, np.diff(np.append(new, len(h))))
+    stop = np.repeat(np.append(new[1:], len(h)), np.diff(np.append(new, len(h))))
+    at = np.arange(len(h))
+    return (at - start < RUN_ENDS) | (stop - at <= RUN_ENDS)
+
+
+def whole_masks(lengths: list[int]) -> tuple[tuple[int, ...], ...]:
+    return tuple(tuple(range(n)) for n in lengths)
 
 
 def seeds(words: np.ndarray, masks=MASKS) -> Iterator[np.ndarray]:
     """For each mask, a hash at every position where it fits."""
-    for k, mask in enumerate(masks):
+    for mask in masks:
         n = max(0, len(words) - mask[-1])
-        h = np.full(n, k + 1, np.uint64)
+        h = np.full(n, sum(1 << p for p in mask), np.uint64)
         for p in mask:
             h = h * np.uint64(0x9FB21C651E98DF25) + words[p : p + n]
             h ^= h >> np.uint64(29)
@@ -31,8 +50,8 @@ def seeds(words: np.ndarray, masks=MASKS) -> Iterator[np.ndarray]:
 
 
 def least_same(n: int | np.ndarray, window: int = WINDOW, same: float = SAME):
-    """Words that must be the same in a window of an item of n words."""
-    return np.ceil(np.minimum(n, window) * same - 1e-9).astype(np.int64)
+    """Words that must be the same in a window of an item of n words: all of a short item's."""
+    return np.where(np.asarray(n) < LEAST_WORDS, n, np.ceil(np.minimum(n, window) * same - 1e-9)).astype(np.int64)
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,9 +64,10 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mine = w[first[k] : first[k + 1]]
                 ids.append(batch["item_id"][i].as_py())
                 words.append(mine.view(np.int64))
-                found = list(seeds(mine)) if len(mine) >= LEAST_WORDS else []
-                hashes.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
-                at.append(np.concatenate([np.arange(len(f)) for f in found]) if found else np.zeros(0, np.int64))
+                found = list(seeds(mine) if len(mine) >= LEAST_WORDS else seeds(mine, whole_masks([len(mine)]))) if len(mine) else []
+                kept = [np.flatnonzero(_ends_of_runs(f)) for f in found]
+                hashes.append(np.concatenate([f[k] for f, k in zip(found, kept, strict=True)]).view(np.int64) if found else np.zeros(0, np.int64))
+                at.append(np.concatenate(kept) if found else np.zeros(0, np.int64))
         ends = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
         none = np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -56,18 +76,20 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _regions(bits: np.ndarray):
+def _regions(bits: np.ndarray, masks: tuple[tuple[int, ...], ...]):
     """Stretches of documents around possible hits: words with a window on both sides, and each hit's place and hash."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = WINDOW + max(m[-1] for m in MASKS)
+        reach = WINDOW + max(m[-1] for m in masks)
         for batch in batches:
             row = 0
             for t in steps(batch["text"]):
                 words, first = t.word_hashes()
                 places, hashes = [], []
-                for h in seeds(words):
+                for mask, h in zip(masks, seeds(words, masks), strict=True):
                     hit = np.flatnonzero(may_hold(bits, h))
+                    if len(hit):  # a text's own seeds begin with it and end a mask before the next
+                        hit = hit[_ends_of_runs(h, np.concatenate((first, first - mask[-1])))[hit]]
                     places.append(hit)
                     hashes.append(h[hit])
                 place, hash_ = np.concatenate(places), np.concatenate(hashes)
@@ -126,7 +148,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     without a common seed. Benchmark seeds set bits in a filter of a fixed size, documents are scanned once against it, and only
     stretches around hits go on to the join on seeds and to the check of all places that hits propose.
 
-    Items of fewer than LEAST_WORDS words match nothing. Null and empty texts have no words; rows without an id take no part;
+    An item of fewer than LEAST_WORDS words must stand in the document whole, word for word. Null and empty texts have no words; rows without an id take no part;
     repeated rows give one result; other columns are not read; with either table empty, so is the result.
     """
     spark = documents.sparkSession
@@ -135,12 +157,16 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     items = saved(items.mapInArrow(_item_seeds, "item_id long, words array<long>, at array<int>, hashes array<long>").where(F.size("hashes") > 0).withColumn("item", F.xxhash64("item_id", "words")), "items")
     seeded = items.select("item", F.explode(F.arrays_zip("at", "hashes")).alias("s")).select("item", F.col("s.at").alias("item_at"), F.col("s.hashes").alias("hash"))
     filter_ = spark.sparkContext.broadcast(hash_filter(seeded))
+    # at most LEAST_WORDS - 1 numbers
+    short = [r[0] for r in items.select(F.size("words").alias("n")).where(F.col("n") < LEAST_WORDS).distinct().orderBy("n").collect()]
+    masks = MASKS + whole_masks(short)
 
     docs = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    regions = docs.mapInArrow(lambda batches: _regions(filter_.value)(batches), "id long, start long, words array<long>, at array<int>, hashes array<long>")
+    regions = docs.mapInArrow(lambda batches: _regions(filter_.value, masks)(batches), "id long, start long, words array<long>, at array<int>, hashes array<long>")
     regions = saved(regions.withColumn("region", F.xxhash64("id", "start", "words")), "regions")
     hits = regions.select("region", F.explode(F.arrays_zip("at", "hashes")).alias("s")).select("region", F.col("s.at").alias("at"), F.col("s.hashes").alias("hash"))
-    pairs = hits.join(seeded, "hash").select("region", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    # broadcast, or split by adaptive execution, for both sides are read from files: a seed that very many documents hold is no one task's
+    pairs = hits.join(small_or_shuffled(seeded), "hash").select("region", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     pairs = pairs.groupBy("region", "item").agg(F.collect_list("shift").alias("shifts"))  # at most a region's words and the item's
     laid = pairs.join(regions.select("region", "id", "start", "words").dropDuplicates(["region"]), "region").join(items.select("item", "item_id", F.col("words").alias("item_words")).dropDuplicates(["item"]), "item")
     laid = laid.select("id", "start", "words", "item_id", F.col("item_words").alias("item"), "shifts")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import bound_batches, mix
+from dosewise.llm.common import bound_batches, mix, saved
 
 DIMENSIONS = 512
 N = 3
@@ -23,7 +23,8 @@ N = 3
 SYMBOLS = 128
 #: Texts that are counted in one matrix, and characters after which a new one is begun.
 STEP_TEXTS, STEP_CHARS = 256, 1 << 18
-MOST_LANGUAGES = 5000
+#: Prototypes of one piece on average: 1 MB of 512 numbers each; more languages are compared in several pieces.
+PIECE_LANGUAGES = 512
 
 
 @functools.cache
@@ -110,18 +111,39 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def prototypes(documents: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The languages in order and their bundled vectors, from all rows with a text and a language."""
+def bundled(documents: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, v): each language's bundled vector, from all rows with a text and a language."""
     rows = documents.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     parts = rows.mapInArrow(_bundle, "lang string, v array<double>").select("lang", F.posexplode("v").alias("k", "x"))
     total = parts.groupBy("lang", "k").agg(F.sum(F.round("x", 3).cast("decimal(38,3)")).cast("double").alias("x"))  # decimals: the same sum in any order
-    whole = total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x")))["x"].alias("v")).limit(MOST_LANGUAGES + 1).toArrow()
-    if len(whole) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    found = sorted((k, v) for k, v in zip(whole["lang"].to_pylist(), whole["v"].to_pylist(), strict=True) if any(v))
+    whole = total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x")))["x"].alias("v"))
+    return whole.where(F.exists("v", lambda x: x != 0))
+
+
+def _fetched(piece: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The languages of one piece in order and their vectors."""
+    whole = piece.toArrow()
+    found = sorted(zip(whole["lang"].to_pylist(), whole["v"].to_pylist(), strict=True))
     return [k for k, _ in found], np.array([v for _, v in found], np.float64).reshape(len(found), DIMENSIONS)
 
 
+def prototypes(documents: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[list[str], np.ndarray]]:
+    """The languages and their bundled vectors, from all rows with a text and a language, in pieces of PIECE_LANGUAGES on average.
+
+    One piece is fetched at a time; its languages are those of one hash class, and there are as many classes as the count asks for.
+    """
+    whole = saved(bundled(documents, text, lang), "prototypes")
+    pieces = -(-whole.count() // PIECE_LANGUAGES) or 1
+    return [_fetched(whole if pieces == 1 else whole.where(F.pmod(F.xxhash64("lang"), F.lit(pieces)) == k)) for k in range(pieces)]
+
+
+def best_of(predicted: list[Column]) -> Column:
+    """Of predictions from several pieces that with the largest score, ties to the language first in order; `und` gives way to any other."""
+    order = lambda p: F.struct((p["lang"] == "und").alias("none"), (-p["score"]).alias("back"), p["lang"].alias("lang"), p["score"].alias("score"))
+    first = F.array_min(F.array(*map(order, predicted)))
+    return F.struct(first["lang"].alias("lang"), first["score"].alias("score"))
+
+
 def predictor(langs: list[str], vectors: np.ndarray):
     """A function of a text column: struct (lang, score), score the cosine, from 0 to 1; `und` and 0 without letters or languages."""
     weights = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32) if len(langs) else vectors
@@ -160,5 +182,35 @@ def identify(documents: DataFrame, id: str = "doc_id", text: str = "text", lang:
     bound_batches(documents.sparkSession)
     if train is None:
         train = F.col(id).isNotNull() & ~held_out(id)
-    predict = predictor(*prototypes(documents.where(train), text, lang))
-    return documents.drop("predicted").withColumn("predicted", predict(F.col(text)))
+    found = [predictor(*piece)(F.col(text)) for piece in prototypes(documents.where(train), text, lang)]
+    return documents.drop("predicted").withColumn("predicted", found[0] if len(found) == 1 else best_of(found))
+
+
+#: A text is taken for one of no learned language below this part of the least score that a learning text of like length has.
+SLACK = 0.5
+
+
+def length_class(text: Column) -> Column:
+    """The binary logarithm of a text's length, rounded down; null texts are of class 0."""
+    return F.floor(F.log2(F.coalesce(F.length(text), F.lit(0)) + 1)).cast("int")
+
+
+def judged(documents: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None) -> DataFrame:
+    """All columns of documents, `predicted` as identify() gives it, and `fits`: whether the text is in any learned language.
+
+    A text fits unless it is `und` or its score is below SLACK times the least that a learning text with a letter, of its class of lengths, has.
+    Long texts of a language have high scores with it, so each class has a bound of its own, learned from all learning rows; classes
+    without one take that of the next shorter one that has. Everything else is as in identify().
+    """
+    if train is None:
+        train = F.col(id).isNotNull() & ~held_out(id)
+    found = identify(documents, id, text, lang, train).withColumn("_class", length_class(F.col(text)))
+    learned = found.where(train & F.col(lang).isNotNull() & (F.col("predicted.lang") != "und"))
+    # at most 32 classes
+    least = {r["_class"]: r["least"] for r in learned.groupBy("_class").agg((SLACK * F.min("predicted.score")).alias("least")).collect()}
+    bounds, last = [], 0.0
+    for k in range(32):
+        last = least.get(k, last)
+        bounds.append(F.lit(last))
+    fits = (F.col("predicted.lang") != "und") & (F.col("predicted.score") >= F.get(F.array(*bounds), F.col("_class")))
+    return found.withColumn("fits", fits).drop("_class")

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dosewise.llm.common import saved
+
 #: Notices of each family, as their authors word them.
 TEMPLATES = {
     "apache": [
@@ -103,8 +105,8 @@ def _training(spark: SparkSession) -> DataFrame:
 def _fit(spark: SparkSession):
     """(classes, n-gram model, classifier, least probability): fitted on the training rows alone.
 
-    The L1 penalty leaves few n-grams with weights. Calibration sets the least probability: above what any paragraph of
-    the unknown class is given for a family, and one half at least.
+    The L1 penalty leaves few n-grams with weights. Calibration sets the least probability, on rows that are kept out of the fit: above
+    what any of the unknown class among them is given for a family.
     """
     classes = [UNKNOWN, *TEMPLATES]
     labels = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
@@ -112,10 +114,11 @@ def _fit(spark: SparkSession):
     counts = CountVectorizer(inputCol="_ngrams", outputCol="_features", vocabSize=VOCABULARY, binary=True).fit(rows)
     fit = LogisticRegression(family="multinomial", featuresCol="_features", rawPredictionCol="_raw", probabilityCol="_chances", predictionCol="_class", regParam=0.002, elasticNetParam=0.7, maxIter=60, standardization=False)
     model = fit.fit(counts.transform(rows.where("part = 0")))
-    held = model.transform(counts.transform(rows)).where("label = 0").select("_chances").collect()
-    least = max([0.5, *(1 - float(r["_chances"][0]) + 0.01 for r in held)])
+    # some dozens of rows of this module
+    held = model.transform(counts.transform(rows.where("part = 1"))).where("label = 0").select("_chances").collect()
+    least = max(max(map(float, r["_chances"][1:])) for r in held)
     rows.unpersist()
-    return classes, counts, model, min(least, 0.95)
+    return classes, counts, model, math.nextafter(least, 1)
 
 
 def _template_pairs(text: str) -> list[str]:
@@ -148,12 +151,12 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def _wrapped(rows: DataFrame) -> DataFrame:
-    """(key, version, paragraph, last, line): runs of two and more lines of the candidates among rows, joined; no line within is blank, or a comment mark alone.
+    """(key, version, paragraph, last, line): runs of two and more lines of the rows, joined; no line within is blank, or a comment mark alone.
 
     A run goes on until the lines between its first and its last have as many words as the longest template.
     """
     longest = max(len(re.findall("[a-z0-9]+", t.lower())) for ts in TEMPLATES.values() for t in ts)
-    lines = _candidates(rows).select("key", "version", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    lines = rows.select("key", "version", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     lines = lines.withColumn("line", F.regexp_replace("line", r"(?i)^\s*(rem|dnl)\s", "")).withColumn("n", F.size(F.filter(words(F.col("line")), lambda w: w != "")))
     ahead = W.partitionBy("key", "version").orderBy("paragraph").rowsBetween(0, longest + 1)  # a line has a word at least
     lines = lines.dropDuplicates(["key", "version", "paragraph"]).withColumn("run", F.collect_list(F.struct("line", "n")).over(ahead)).where("n > 0 and size(run) > 1")
@@ -167,15 +170,16 @@ def license_paragraphs(documents: DataFrame, keys: list[str], text: str = "text"
     """The `keys` columns with paragraph, family, probability, template and coverage of every paragraph that holds a licence notice.
 
     Paragraphs are lines, counted from 0, and runs of lines without a blank one between them, as notices are wrapped, numbered by their first line;
-    of runs only the shortest that hold a notice of a family count, those that overlap as one, and none around a line that holds it alone. Where lines stand,
-    a paragraph's n-grams (words and pairs of words) are counted and classified by the fitted models, so that only the few that pass are shuffled; runs
-    are formed in texts that have COVERAGE of a template in all. A family is reported if it is the likeliest, its probability reaches the calibrated
+    of runs only the shortest that hold a notice of a family count, those that overlap as one, and none around a line that holds it alone. Only texts
+    that have COVERAGE of a template in all are cut into paragraphs, for no paragraph of another can have it; where they stand, a paragraph's n-grams
+    (words and pairs of words) are counted and classified by the fitted models. A family is reported if it is the likeliest, its probability reaches the calibrated
     least, and COVERAGE of the word pairs of one of its templates stands in the paragraph.
     Null and empty texts have no paragraphs; rows that are equal in keys and text give one result; an empty table an empty one.
     """
     spark = documents.sparkSession
     classes, counts, model, least = _fit(spark)
     rows = documents.where(F.col(text).isNotNull()).select(F.struct(*keys).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
+    rows = saved(_candidates(rows), "candidates")
     family = F.element_at(F.array(*map(F.lit, classes)), F.col("_class").cast("int") + 1)
     notices = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, template string")
     notices = F.broadcast(notices.withColumn("tp", F.array_distinct(pairs(F.filter(words(F.col("template")), lambda w: w != "")))))

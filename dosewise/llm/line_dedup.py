@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dosewise.llm.common import BROADCAST_ROWS, Texts, bound_batches, hash_filter, may_hold, mix, saved, span_hashes, steps
+from dosewise.llm.common import BROADCAST_ROWS, Texts, bound_batches, hash_filter, may_hold, mix, saved, small_or_shuffled, span_hashes, steps
 
 #: A chunk ends where the rolling hash of its last WINDOW lines is smaller than those one line before and behind, so that it has
-#: two lines or more (three on average), and after MOST_LINES lines.
-WINDOW, MOST_LINES = 2, 64
+#: two lines or more (three on average); nothing but content bounds it, so a run of equal lines is one chunk.
+WINDOW = 2
 #: A line of more words than this is a chunk by itself, and repeated it is removed as longer chunks are.
 LONG_WORDS = 50
 
@@ -81,13 +81,11 @@ def _chunks(t: Texts, at_: _Lines, window: int) -> Iterator[tuple[int, int, int,
         at = np.flatnonzero(cut)
         begin = np.concatenate(([0], at[:-1] + 1))
         number = dict.fromkeys(range(t.n), 0)
-        for b, e in zip(begin.tolist(), at.tolist(), strict=True):
-            for lo in range(b, e + 1, MOST_LINES):
-                hi = min(e, lo + MOST_LINES - 1)
-                d = int(doc[lo])
-                h = sequence_hash(lines[lo : hi + 1]) if hi > lo else int(lines[lo].view(np.int64))
-                yield t.first + d, number[d], int(starts[lo] - t.offsets[d]), int(ends[hi] - t.offsets[d]), h, hi > lo or bool(long[lo])
-                number[d] += 1
+        for lo, hi in zip(begin.tolist(), at.tolist(), strict=True):
+            d = int(doc[lo])
+            h = sequence_hash(lines[lo : hi + 1]) if hi > lo else int(lines[lo].view(np.int64))
+            yield t.first + d, number[d], int(starts[lo] - t.offsets[d]), int(ends[hi] - t.offsets[d]), h, hi > lo or bool(long[lo])
+            number[d] += 1
 
 
 def sequence_hash(lines: np.ndarray) -> int:
@@ -210,7 +208,8 @@ def remove_repeated(documents: DataFrame, id: str = "doc_id", text: str = "text"
     repeated = saved(repeated.select("hash", "keep", F.ceil(F.col("n") / 5000).cast("int").alias("salts")), "repeated")
     filter_ = spark.sparkContext.broadcast(hash_filter(repeated))
     bodies = some.mapInArrow(_bodies(filter_), "id long, row long, start int, stop int, chunk boolean, hash long, body binary")
-    bodies = saved(bodies.join(repeated, "hash"), "bodies")
+    # broadcast or split by adaptive execution, for both sides are read from files: a hash that very many rows hold is no one task's
+    bodies = saved(bodies.join(small_or_shuffled(repeated), "hash"), "bodies")
     first = bodies.where(place.eqNullSafe(F.col("keep"))).select("hash", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("body").alias("kept"), F.col("stop").alias("until"))
     first = first.dropDuplicates(["hash", "salt"])
     others = bodies.where(~place.eqNullSafe(F.col("keep"))).withColumn("salt", F.pmod(F.xxhash64("row", "start"), "salts").cast("int"))

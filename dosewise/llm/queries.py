@@ -16,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan_versions(_table(spark, sf_dir, "documents"), ["doc_id"])
+    ledger = f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}"  # a run of its own: nothing is known before
+    found = secret_scan.scan_versions(_table(spark, sf_dir, "documents"), ["doc_id"], ledger=ledger)
     return found.select(
         "doc_id",
         *[secret_scan.counted(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
@@ -63,7 +64,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.mix(docs, tilt=F.sqrt).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = token_counts.TOKENIZER) -> DataFrame:

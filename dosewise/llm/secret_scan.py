@@ -72,7 +72,8 @@ def scan_versions(versions: DataFrame, paths: list[str], text: str = "text", led
 
     A version is any row; its content address is the SHA-256 of its text. Pairs of blob and rule version that the
     ledger (a Parquet folder, appended to; none: everything is unseen) lacks are scanned, each on one copy of the
-    text, and findings are joined back to all rows with that blob. A null text counts as empty; repeated rows give
+    text, and findings are joined back to all rows with that blob. Pairs that the ledger holds more than once, as two runs at
+    once leave them, count once. A null text counts as empty; repeated rows give
     repeated rows; other columns, whatever their names, are not read; an empty table gives an empty result.
     """
     spark = versions.sparkSession
@@ -93,8 +94,9 @@ def scan_versions(versions: DataFrame, paths: list[str], text: str = "text", led
         todo = todo.where(F.size("todo") > 0).drop("r")
     else:
         todo = todo.withColumn("todo", every)
-    unseen = whole.select("blob", F.xxhash64("path").alias("pick"), "text").join(todo.hint("shuffle_hash"), ["blob", "pick"])
-    found = unseen.select("blob", "text", "todo").mapInArrow(_scanner(rules), LEDGER).dropDuplicates(["blob"])
+    # sorted by both, so that of rows with one path and text only the first is scanned
+    unseen = whole.select("blob", F.xxhash64("path").alias("pick"), "text").join(todo.hint("merge"), ["blob", "pick"]).dropDuplicates(["blob", "pick"])
+    found = unseen.select("blob", "text", "todo").mapInArrow(_scanner(rules), LEDGER)
     if ledger is not None:
         found.write.mode("append").parquet(ledger)
         found = spark.read.schema(LEDGER).parquet(ledger)
@@ -104,7 +106,7 @@ def scan_versions(versions: DataFrame, paths: list[str], text: str = "text", led
     hits = (
         found.where(F.size("spans") > 0)
         .groupBy("blob")  # as many rows a blob as there were scans of it
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
         .select("blob", F.filter("spans", lambda s: F.array_contains(rank, s["rule"])).alias("spans"))
     )
     ordered = F.array_sort(

@@ -114,7 +114,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     pages = pages.select(row.alias("row"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
     whole = pages.where("host <> ''").select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    levels = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.reverse(F.slice(labels, F.size(labels) - i + 1, i)), "."))
+    # no rule lies under more labels than the deepest has, so longer hosts need no further keys
+    deepest = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    levels = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda i: F.array_join(F.reverse(F.slice(labels, F.size(labels) - i + 1, i)), "."))
     keys = whole.select("host", "path", F.explode(levels).alias("level")).select(
         F.concat("level", F.when(F.col("path") == "", "/").otherwise(F.col("path"))).alias("key"), "host", "path"
     ).withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(1 << 30))).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import saved
+from dosewise.llm.common import saved, small_or_shuffled
 
 #: Vectors of a shard, of a leaf, and of a block of queries.
 SHARD_ROWS = 16384
@@ -30,8 +30,9 @@ class Tree:
     |q - x|**2 = |q|**2 + top**2 - 2 q.x, and the triangle inequality holds.
     """
 
-    def __init__(self, rows: np.ndarray, top: float, leaf: int = LEAF_ROWS):
+    def __init__(self, rows: np.ndarray, top: float, leaf: int = LEAF_ROWS, ids: np.ndarray | None = None):
         self.rows, self.top = rows, top
+        self.ids = np.arange(len(rows)) if ids is None else ids
         self.lifted = np.column_stack([rows, np.sqrt(np.maximum(top * top - (rows * rows).sum(axis=1), 0))])
         self.leaf, self.rng = leaf, np.random.default_rng(len(rows))
         self.leaves: list[np.ndarray] = []
@@ -49,22 +50,24 @@ class Tree:
         return pivot, (far[near[0]], far[near[-1]]), (far[rest[0]], far[rest[-1]]), self._grow(at[near]), self._grow(at[rest])
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query, k rows of largest inner product (fewer: row -1), found under the factor, and the products."""
+        """For each query, k rows of largest inner product (fewer: row -1), found under the factor, and the products; ties to smaller ids."""
         score, row = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
         least = np.full(len(queries), -np.inf)  # the k-th product so far
         # all rows are lifted to one length, so a distance needs a product alone; slack covers its rounding
         base, slack = (queries * queries).sum(axis=1) + self.top * self.top, 1e-7 * self.top
+        # products that differ by rounding alone are ties
+        unit = np.maximum(1e-14 * self.top * np.sqrt((queries * queries).sum(axis=1)), 1e-300)
 
         home = np.full(len(queries), -1)  # the leaf that each query saw first
 
         def take(leaf: int, some: np.ndarray) -> None:
             at = self.leaves[leaf]
             new = queries[some] @ self.rows[at].T
-            better = new.max(axis=1, initial=-np.inf) > least[some]
+            better = new.max(axis=1, initial=-np.inf) >= least[some] - unit[some]
             some, new = some[better], new[better]
             s = np.concatenate([score[some], new], axis=1)
             r = np.concatenate([row[some], np.broadcast_to(at, new.shape)], axis=1)
-            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            best = np.lexsort((self.ids[r], -np.rint(s / unit[some, None])), axis=1)[:, :k]
             score[some], row[some] = np.take_along_axis(s, best, 1), np.take_along_axis(r, best, 1)
             least[some] = score[some].min(axis=1)
 
@@ -112,19 +115,19 @@ def _packed(column: pa.Array) -> np.ndarray:
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    """One row of a block or shard: ids (a list a vector) and all vectors as bytes."""
+    """One row of a block or shard: ids (a list a vector), all vectors as bytes, and how many shards and what greatest length all of this dimension have."""
     ids = table["ids"].combine_chunks()
-    return pa.table({"dim": table["dim"][:1], "part": table["part"][:1], "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64()))), "v": pa.array([_packed(table["v"]).tobytes()], pa.binary())})
+    return pa.table({**{c: table[c][:1] for c in ("dim", "part", "shards", "top")}, "ids": pa.array([ids.to_pylist()], pa.list_(pa.list_(pa.int64()))), "v": pa.array([_packed(table["v"]).tobytes()], pa.binary())})
 
 
-def _searcher(k: int, factor: float, tops: dict[int, float]):
+def _searcher(k: int, factor: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, tree = None, None
         for batch in batches:
-            for dim, part, ids, v, query_ids, q in zip(*(batch[c].to_pylist() for c in ("dim", "part", "ids", "v", "query_ids", "q")), strict=True):
+            for dim, part, top, ids, v, query_ids, q in zip(*(batch[c].to_pylist() for c in ("dim", "part", "top", "ids", "v", "query_ids", "q")), strict=True):
                 if kept != (dim, part):
                     rows = np.frombuffer(v).reshape(-1, dim)
-                    kept, tree = (dim, part), Tree(rows, tops[dim])
+                    kept, tree = (dim, part), Tree(rows, top, ids=np.array([x[0] for x in ids]))
                 queries = np.frombuffer(q).reshape(-1, dim)
                 found, _ = tree.search(queries, min(k + 5, len(tree.rows)), factor)  # some to spare, for ties among rounded products
                 out_q, out_v, out_s = [], [], []
@@ -154,22 +157,19 @@ def nearest(vectors: DataFrame, is_query, id: str = "vec_id", vector: str = "emb
     """
     rows = vectors.where(is_query.isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("ask"))
     rows = saved(rows.where(F.col("id").isNotNull() & _usable(F.col("v"))).withColumn("dim", F.size("v")), "vectors")
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("ask").cast("int")).alias("asked"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).collect()
-    if len(sizes) > 10_000:
-        raise ValueError("vectors have more than 10,000 different lengths")
-    tops = {r["dim"]: float(np.sqrt(r["top"])) * (1 + 1e-9) for r in sizes}
-    shards = F.create_map(*[F.lit(x) for r in sizes for x in (r["dim"], -(-r["n"] // shard_rows))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    blocks = F.create_map(*[F.lit(x) for r in sizes for x in (r["dim"], -(-(r["asked"] or 0) // BLOCK_ROWS) or 1)]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    longest = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"), F.greatest(F.ceil(F.sum(F.col("ask").cast("int")) / BLOCK_ROWS), F.lit(1)).cast("int").alias("blocks"), (F.sqrt(longest) * (1 + 1e-9)).alias("top"))
+    sizes = small_or_shuffled(saved(sizes, "dims"))
 
     smallest = W.partitionBy("v").orderBy("id")
     distinct = rows.select("dim", "v", "id").withColumn("r", F.dense_rank().over(smallest)).where(F.col("r") <= k + 1)
     distinct = distinct.groupBy("dim", "v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    packed = "dim int, part int, ids array<array<bigint>>, v binary"
-    index = distinct.withColumn("part", F.pmod(F.xxhash64("v"), shards[F.col("dim")]).cast("int")).groupBy("dim", "part").applyInArrow(_pack, packed)
+    packed = "dim int, part int, shards int, top double, ids array<array<bigint>>, v binary"
+    index = distinct.join(sizes, "dim").withColumn("part", F.pmod(F.xxhash64("v"), "shards").cast("int")).groupBy("dim", "part").applyInArrow(_pack, packed)
     asked = rows.where("ask").select("dim", "v", F.array("id").alias("ids")).distinct()
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("ids", "v"), blocks[F.col("dim")]).cast("int")).groupBy("dim", "part").applyInArrow(_pack, packed)
-    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), shards[F.col("dim")].cast("int") - 1)).alias("part"), F.col("ids").alias("query_ids"), F.col("v").alias("q"))
+    asked = asked.join(sizes, "dim").withColumn("part", F.pmod(F.xxhash64("ids", "v"), "blocks").cast("int")).groupBy("dim", "part").applyInArrow(_pack, packed)
+    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("part"), F.col("ids").alias("query_ids"), F.col("v").alias("q"))
     both = saved(index, "index").join(asked.hint("merge"), ["dim", "part"])
-    lists = both.mapInArrow(_searcher(k, factor, tops), "query_id long, vec_id long, score double").distinct()
+    lists = both.mapInArrow(_searcher(k, factor), "query_id long, vec_id long, score double").distinct()
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

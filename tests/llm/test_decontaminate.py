@@ -22,9 +22,10 @@ def brute(docs, items):
         for j, x in items:
             w = words(x)
             n = min(len(w), decontaminate.WINDOW)
-            if len(w) < decontaminate.LEAST_WORDS:
+            if not w:
                 continue
-            need = math.ceil(n * decontaminate.SAME - 1e-9)
+            # a short item must stand there as a whole
+            need = n if n < decontaminate.LEAST_WORDS else math.ceil(n * decontaminate.SAME - 1e-9)
             known = [x in seen for x in w]
             if not any(sum(known[k : k + n]) >= need for k in range(len(w) - n + 1)):
                 continue
@@ -75,3 +76,32 @@ def test_messy(messy, none, spark):
     b = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs")], "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(messy, b).collect()) == [(1, 1), (2, 1)]
     assert decontaminate.leaks(none, b).count() == 0 and decontaminate.leaks(messy, b.limit(0)).count() == 0
+
+
+def found_in(spark, docs, items):
+    rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {(r["doc_id"], r["item_id"]) for r in rows}
+
+
+def test_short_items_match_as_a_whole(spark):
+    rng = random.Random(5)
+    fresh = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    items = [(n, " ".join(fresh(n))) for n in range(1, 14)]
+    docs = []
+    for n, text in items:
+        w = text.split()
+        docs += [(10 * n, " ".join([*fresh(5), *w, *fresh(5)])), (10 * n + 1, text), (10 * n + 2, " ".join([*fresh(9), *w[:-1], "other"])), (10 * n + 3, " ".join([*w[:-1], "x", *w[-1:]]))]
+    want = brute(docs, items)
+    assert found_in(spark, docs, items) == want and {(10 * n, n) for n, _ in items} | {(10 * n + 1, n) for n, _ in items} <= want
+    assert not {(10 * n + 2, n) for n in range(1, 10)} & want
+
+
+def test_long_runs_of_one_word(spark):
+    rng = random.Random(6)
+    fresh = lambda k: [f"w{rng.randrange(30)}" for _ in range(k)]
+    runs = [[*fresh(rng.randrange(9)), *["la"] * rng.randrange(1, 40), *fresh(rng.randrange(12))] for _ in range(60)]
+    items = [(i, " ".join(w)) for i, w in enumerate(runs[:20])]
+    docs = [(i, " ".join(w)) for i, w in enumerate(runs)] + [(100 + i, " ".join(["la", *w[1:], "la", "la"])) for i, w in enumerate(runs)]
+    docs.append((999, "la " * 50_000))
+    small = [d for d in docs if d[0] != 999]
+    assert {x for x in found_in(spark, docs, items) if x[0] != 999} == brute(small, items)

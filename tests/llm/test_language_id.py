@@ -52,3 +52,24 @@ def test_messy(messy, none):
         assert (r["predicted"]["lang"] == "und") == (not any(c.isalpha() for c in r["text"] or ""))
     assert language_id.identify(none).count() == 0
     assert {r["predicted"]["lang"] for r in language_id.identify(messy.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_pieces_of_languages_predict_as_one(spark, documents, monkeypatch):
+    held = lambda: {r["doc_id"]: r["predicted"] for r in language_id.identify(documents).collect()}
+    whole = held()
+    monkeypatch.setattr(language_id, "PIECE_LANGUAGES", 1)
+    pieces = language_id.prototypes(documents)
+    assert len(pieces) == 4 and sum(len(langs) for langs, _ in pieces) == 4
+    found = held()
+    assert {i: p["lang"] for i, p in found.items()} == {i: p["lang"] for i, p in whole.items()}
+    assert all(abs(p["score"] - whole[i]["score"]) < 1e-4 for i, p in found.items())
+
+
+def test_texts_in_no_learned_language_do_not_fit(spark, documents):
+    rng = np.random.default_rng(1)
+    odd = [(10**6 + i, " ".join("".join(rng.choice(list("qxzkvjw"), 7)) for _ in range(200)), None) for i in range(40)]
+    rows = documents.select("doc_id", "text", "lang").union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    fits = {r["doc_id"]: r["fits"] for r in language_id.judged(rows).collect()}
+    letters = {r["doc_id"] for r in documents.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert not any(fits[i] for i, _, _ in odd)
+    assert all(fits[i] == (i in letters) for i in fits if i < 10**6)

@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from dosewise.llm import mixing, queries
 
@@ -41,12 +42,10 @@ def test_query_meets_targets_and_reruns_agree(spark, tiny, documents):
     rows = queries.op6_mixing(spark, tiny).collect()
     assert len(rows) == len(texts)
     check(rows, texts)
-    assert sorted(rows) == sorted(mixing.mix(documents.repartition(7, "n_chars")).select(*rows[0].__fields__).collect())
+    assert sorted(rows) == sorted(mixing.mix(documents.repartition(7, "n_chars"), tilt=F.sqrt).select(*rows[0].__fields__).collect())
 
 
 def test_ranks_are_pareto_order(spark):
-    from pyspark.sql import functions as F
-
     docs = spark.createDataFrame([(i, "w " * (1 + i * 7 % 13), "abc"[i % 3] if i % 11 else None) for i in range(900)], "doc_id long, text string, source string")
     rows = mixing.mix(docs).withColumn("u", (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(7)), 11) + 0.5) * 2.0**-53).collect()
     check(rows, {(r["doc_id"], r["source"]): r["text"] for r in docs.collect()})
@@ -70,6 +69,27 @@ def test_tilt(spark):
     assert sum(r["copies"] for r in rows if r["quality"] > 1) > 1.5 * sum(r["copies"] for r in rows if r["quality"] == 1)
 
 
+def test_rows_that_repeat_reach_the_target(spark):
+    rows = [(1, "w " * 10, "a")] * 100 + [(i, "w " * 10, "b") for i in range(2, 302)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    out = mixing.mix(docs).collect()
+    for s in "ab":
+        mine = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 5, s
+    assert len(out) == len(rows)
+
+
+def test_chances_by_size_have_certain_documents(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 50 + 5000 * (i % 97 == 0)), "ab"[i % 2]) for i in range(2000)], "doc_id long, text string, source string")
+    out = mixing.mix(docs, tilt=F.sqrt).collect()
+    check(out, {(r["doc_id"], r["source"]): r["text"] for r in docs.collect()})
+    for s in "ab":
+        mine = [r for r in out if r["source"] == s]
+        whole = min(r["copies"] for r in mine)
+        share = lambda some: sum(r["copies"] - whole for r in some) / max(len(some), 1)
+        assert share([r for r in mine if r["size"] > 4000]) >= share([r for r in mine if r["size"] > 25]) >= share([r for r in mine if r["size"] <= 25])
+
+
 def test_messy(messy, none):
     rows = mixing.mix(messy).collect()
     assert len(rows) == messy.count() and all(r["copies"] <= 3 for r in rows)

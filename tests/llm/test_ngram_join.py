@@ -93,3 +93,15 @@ def test_dense_group_around_another_than_its_smallest_id(spark, monkeypatch):
     for n, percent in ((5, 80), (3, 90)):
         assert held(ngram_join.jaccard_groups(rows, n=n, percent=percent).collect()) == brute(texts, n, percent)
     assert seen
+
+
+def test_unrelated_sets_share_no_candidates_at_80_percent(spark):
+    rng = random.Random(11)
+    texts = {i: " ".join(f"w{rng.randrange(10**5)}" for _ in range(304)) for i in range(300)}
+    shared = " ".join(f"s{i}" for i in range(100))  # a passage that all have
+    rows = spark.createDataFrame([(i, f"{t} {shared}") for i, t in texts.items()], "id long, text string")
+    levels = ngram_join.frequency_levels(rows, 5)
+    import pyarrow as pa
+
+    keys = Counter(k for s in ngram_join._sets(pa.array([f"{t} {shared}" for t in texts.values()]), 5) for k in ngram_join.prefix(s, levels, 80)[0].tolist())
+    assert max(keys.values()) == 1

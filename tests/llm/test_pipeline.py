@@ -26,9 +26,10 @@ def test_stages_equal_brute_force(spark, tiny, documents):
     assert held(docs) == rows
 
     docs = corpus_pipeline.saved(stages["line dedup"](spark, docs, tiny), "t")
-    want = [x for x in lines([(r["doc_id"], r["text"]) for r in rows]) if x[2] == 0 or x[1].strip(" ")]
+    whole = {r["doc_id"]: r["text"] for r in rows}
+    want = [x for x in lines([(r["doc_id"], r["text"]) for r in rows]) if x[1] == whole[x[0]] or x[1].strip(" ")]
     rows = held(docs)
-    assert docs.columns == documents.columns and [(r["doc_id"], r["text"]) for r in rows] == [x[:2] for x in want]
+    assert docs.columns == documents.columns and [(r["doc_id"], r["text"]) for r in rows] == want
 
     docs = corpus_pipeline.saved(stages["n-gram Jaccard join"](spark, docs, tiny), "t")
     group = near({r["doc_id"]: r["text"] for r in rows}, 5, 80)
@@ -61,3 +62,26 @@ def test_messy(spark, tiny, messy, none, k):
     ids = {r["doc_id"] for r in out.select("doc_id").collect()}
     assert {10, 13} <= ids or name == "mixing sources"
     assert stage(spark, none, tiny).count() == 0
+
+
+def test_columns_named_as_the_operators_name_theirs(spark, tiny, messy):
+    from pyspark.sql import functions as F
+
+    docs = messy.withColumns({c: F.lit(c) for c in ("copy", "fits", "n_removed", "source_size", "_id", "_key")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.saved(stage(spark, docs, tiny), "clash")
+        columns = docs.columns if name != "mixing sources" else [*(c for c in docs.columns if c != "copy"), "copy"]
+        assert out.columns == columns, name
+        assert {r["source_size"] for r in out.select("source_size").collect()} == {"source_size"}, name
+
+
+def test_repeated_and_missing_ids(spark, tiny):
+    item = spark.read.parquet(f"{tiny}/benchmark.parquet").first()["text"]
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (None, "a b c d e f g h"), (None, "p q r s t u v w"), (None, "p q r s t u v w"), (2, "k l m n"), (2, "other words here"), (None, item), (3, None), (None, None), (4, f"x y {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    near = [(r["doc_id"], r["text"]) for r in stages["n-gram Jaccard join"](spark, docs, tiny).collect()]
+    assert len(near) == len(set(near)) and {(1, "a b c d e f g h"), (None, "p q r s t u v w"), (3, None), (None, None)} <= set(near)
+    assert (None, "a b c d e f g h") not in near and sum(i == 2 for i, _ in near) == 1
+    clean = [(r["doc_id"], r["text"]) for r in stages["benchmark decontamination"](spark, docs, tiny).collect()]
+    assert not any(item in (t or "") for _, t in clean) and len(clean) == len(rows) - 2

@@ -61,6 +61,15 @@ def test_ledger_scans_only_what_it_has_not_seen(spark, tmp_path):
     assert not [r for r in third if r["spans"]]  # all shorter than 12
 
 
+def test_a_ledger_that_holds_a_pair_twice_finds_it_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'password = "abcdefgh12"')], "doc_id long, text string")
+    ledger = f"file://{tmp_path}/twice"
+    once = secret_scan.scan_versions(rows, ["doc_id"], ledger=ledger).collect()
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-copy")
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-copy")
+    assert secret_scan.scan_versions(rows, ["doc_id"], ledger=ledger + "-copy").collect() == once and len(once[0]["spans"]) == 1
+
+
 def test_messy(messy, none):
     out = secret_scan.scan_versions(messy, ["doc_id"]).collect()
     assert len(out) == messy.count()

@@ -50,3 +50,22 @@ def test_messy(spark):
     found = sorted(tuple(r) for r in vp_search.nearest(df, F.col("vec_id") % 20 == 0).collect())
     assert found == [(0, 1, 20, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 0.5), (20, 1, 0, 2.0), (20, 2, 1, 2.0), (20, 3, 2, 1.0)]
     assert vp_search.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_ties_of_different_vectors_go_to_smaller_ids(spark):
+    """400 binary vectors with one product: at factor 1 the smallest ids are found, as brute force has them."""
+    rng = np.random.default_rng(3)
+    rows = np.zeros((401, 24))
+    rows[0, 0] = 1
+    for i in range(1, 401):
+        rows[i, 0] = 1
+        rows[i, 1 + rng.permutation(23)[:8]] = 1
+    order = rng.permutation(400) + 1
+    df = spark.createDataFrame([(0, rows[0].tolist())] + [(int(i), rows[i].tolist()) for i in order], "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in vp_search.nearest(df, F.col("vec_id") == 0, k=25, factor=1.0, shard_rows=150).orderBy("rank").collect()]
+    assert [v for _, _, v, _ in found] == list(range(1, 26))
+    binary = rng.integers(0, 2, (300, 12)).astype(float)
+    binary[:, 0] = 1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(binary)], "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in vp_search.nearest(df, F.col("vec_id") % 3 == 0, k=20, factor=1.0, shard_rows=70).collect())
+    assert found == sorted(brute(list(range(300)), binary, np.arange(300) % 3 == 0, 20))
