@@ -44,7 +44,7 @@ def chi2_tail(x: str | Column) -> Column:
 
 def chi2_critical(alpha: float) -> float:
     """The x with chi2_tail(x) = alpha."""
-    return NormalDist().inv_cdf(1 - alpha / 2) ** 2 if alpha > 1e-15 else float("inf")
+    return NormalDist().inv_cdf(alpha / 2) ** 2
 
 
 def ks_tail(lam: str | Column) -> Column:

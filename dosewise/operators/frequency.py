@@ -22,17 +22,21 @@ def locus_counts(geno: DataFrame, samples: DataFrame, group: str = "population")
     )
 
 
-def locus_stats(geno: DataFrame, samples: DataFrame, loci: DataFrame, group: str = "population", order: str | None = None) -> DataFrame:
+def locus_stats(geno: DataFrame, samples: DataFrame, loci: DataFrame, group: str = "population", order: str | None = None, stored: bool = False) -> DataFrame:
     """(group, ord, locus_idx, n, alt, het, p, ho, he_hw, he_unb, b, c) of every group and locus, one row each.
 
+    With `stored`, only of groups and loci that have a stored cell: elsewhere all samples are called with dose 0, and every statistic is 0.
     n counts called samples; a locus nobody is called at has null statistics, as unbiased ones have below two samples.
     b and c are the within-group components: F_IS is sum(b) / sum(b + c).
     """
     sizes = group_sizes(samples, group, order)
-    names = sizes.agg(F.collect_list(group)).scalar()
-    grid = loci.select("locus_idx", F.explode(names).alias(group)).join(sizes, group)
     counts = locus_counts(geno, samples, group)
-    stats = grid.join(counts, [group, "locus_idx"], "left").fillna(0, ["alt", "het", "hom", "missing"])
+    if stored:
+        stats = counts.join(sizes, group)
+    else:
+        names = sizes.agg(F.collect_list(group)).scalar()
+        grid = loci.select("locus_idx", F.explode(names).alias(group)).join(sizes, group)
+        stats = grid.join(counts, [group, "locus_idx"], "left").fillna(0, ["alt", "het", "hom", "missing"])
     stats = stats.withColumn("n", F.col("size") - F.col("missing")).withColumn("p", ratio("alt", 2 * F.col("n")))
     n, p = F.col("n"), F.col("p")
     stats = stats.withColumn("ho", ratio("het", n)).withColumn("he_hw", 2 * p * (1 - p))

@@ -19,8 +19,8 @@ def in_ring(x: Column, y: Column, points: Column) -> Column:
 
 
 def in_rings(x: Column, y: Column, rings: Column) -> Column:
-    """Even-odd rule over several rings, so that a ring within another is a hole."""
-    return F.aggregate(rings, F.lit(False), lambda acc, r: acc != in_ring(x, y, r))
+    """Whether a point is in any of several rings."""
+    return F.exists(rings, lambda r: in_ring(x, y, r))
 
 
 def boxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -29,9 +29,12 @@ def boxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def thinned(points: Column, least: float) -> Column:
-    """A ring's vertices without those nearer than `least` (sum of both coordinates' differences) to the last one kept; the first and last stay."""
+    """A ring's vertices without those nearer than `least` (sum of both coordinates' differences) to the last one kept; the first and last stay.
+
+    A ring of fewer than four vertices is left as it is, and so is one of which fewer than three would stay."""
     first = F.slice(points, 1, 1)
     far = lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"]) >= least
     kept = F.aggregate(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), first, lambda acc, v: F.when(far(F.element_at(acc, -1), v), F.concat(acc, F.array(v))).otherwise(acc))
     last = F.element_at(points, -1)
-    return F.when(F.size(points) < 2, points).when(F.element_at(kept, -1) == last, kept).otherwise(F.concat(kept, F.array(last)))
+    whole = F.when(F.element_at(kept, -1) == last, kept).otherwise(F.concat(kept, F.array(last)))
+    return F.when((F.size(points) < 4) | (F.size(whole) < 3), points).otherwise(whole)

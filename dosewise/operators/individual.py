@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dosewise.functions.expressions import ratio
 from dosewise.operators.frequency import polymorphic
+from dosewise.operators.resample import weighted_sums
 
 
 def frame_of(stats: DataFrame, group: str) -> DataFrame:
@@ -58,17 +60,14 @@ def individual_f(geno: DataFrame, samples: DataFrame, frame: DataFrame) -> DataF
 def f_uni_bootstrap(geno: DataFrame, samples: DataFrame, frame: DataFrame, weights: DataFrame, reps: int, alpha: float = 0.05) -> DataFrame:
     """(frame, sample_idx, lo, hi) of F_UNI over replicates of loci; weights as bootstrap_weights gives them."""
     t = _terms()
-    weighed = frame.join(weights, "locus_idx")
-    w = lambda r: F.col("w")[r]
-    zero = weighed.groupBy("frame").agg(F.array(*[F.sum(t["uni0"] * w(r)) for r in range(reps)]).alias("z"), F.array(*[F.sum(w(r)) for r in range(reps)]).alias("m"))
+    zero = weighted_sums(frame, weights, [t["uni0"], F.lit(1)], ["frame"], reps).select("frame", "rep", F.col("s0").alias("z"), F.col("s1").alias("m"))
     members = samples.select("sample_idx", "frame")
-    cells = geno.join(members, "sample_idx").join(weighed, ["frame", "locus_idx"])
+    cells = geno.join(members, "sample_idx").join(frame, ["frame", "locus_idx"])
     d, missing = F.coalesce(t["uni"] - t["uni0"], -t["uni0"]), F.col("dose").isNull().cast("int")
-    sums = cells.groupBy("frame", "sample_idx").agg(F.array(*[F.sum(d * w(r)) for r in range(reps)]).alias("d"), F.array(*[F.sum(missing * w(r)) for r in range(reps)]).alias("x"))
-    out = members.join(sums, ["frame", "sample_idx"], "left").join(zero, "frame")
-    theta = F.array(*[ratio(F.col("z")[r] + F.coalesce(F.col("d")[r], F.lit(0.0)), F.col("m")[r] - F.coalesce(F.col("x")[r], F.lit(0))) for r in range(reps)])
-    out = out.select("frame", "sample_idx", F.explode(theta).alias("theta"))
-    return out.groupBy("frame", "sample_idx").agg(F.percentile("theta", alpha / 2).alias("lo"), F.percentile("theta", 1 - alpha / 2).alias("hi"))
+    sums = weighted_sums(cells, weights, [d, missing], ["frame", "sample_idx"], reps)
+    every = members.join(zero, "frame").join(sums, ["frame", "sample_idx", "rep"], "left")
+    theta = ratio(F.col("z") + F.coalesce("s0", F.lit(0.0)), F.col("m") - F.coalesce("s1", F.lit(0.0)))
+    return every.select("frame", "sample_idx", theta.alias("theta")).groupBy("frame", "sample_idx").agg(F.percentile("theta", alpha / 2).alias("lo"), F.percentile("theta", 1 - alpha / 2).alias("hi"))
 
 
 def kinship_pairs(geno: DataFrame, samples: DataFrame, frame: DataFrame) -> DataFrame:
@@ -109,3 +108,28 @@ def null_percentiles(values: DataFrame, value: str, by: list[str] | None = None)
     points = (0.05, 0.5, 0.95, 0.99, 0.999)
     aggregates = [F.count(value).alias("n"), *[F.percentile(value, q).alias("p" + f"{q * 100:g}".replace(".", "_")) for q in points], F.max(value).alias("most")]
     return values.groupBy(*by).agg(*aggregates) if by else values.agg(*aggregates)
+
+
+def against_null(focal: DataFrame, null: DataFrame, value: str) -> DataFrame:
+    """(n, mean, null_mean, p, n_above_p95, n_above_p99): focal values against those of the draws' null: how many draws reach the focal mean,
+    and how many focal values are above the null's percentiles. null has (draw, value)."""
+    mean = focal.agg(F.avg(value)).scalar()
+    by_draw = null.groupBy("draw").agg(F.avg(value).alias("x"))
+    p = by_draw.agg(F.avg((F.round("x", 9) >= F.round(mean, 9)).cast("int"))).scalar()
+    p95, p99, centre = (null.agg(a).scalar() for a in (F.percentile(value, 0.95), F.percentile(value, 0.99), F.avg(value)))
+    x = F.round(F.col(value), 9)
+    return focal.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.count_if(x > F.round(p95, 9)).alias("n_above_p95"), F.count_if(x > F.round(p99, 9)).alias("n_above_p99")).withColumns({"null_mean": centre, "p": p})
+
+
+def percentile_ranks(values: DataFrame, value: str, focal: Column) -> DataFrame:
+    """values of the focal rows with `pct_rank`, the share of all other rows that are below, and `n_reaching`, how many of those reach it.
+
+    Equal values are counted once with their number, so that ranks need one row a distinct value."""
+    x = F.round(F.col(value), 9)
+    others = values.where(~focal & F.col(value).isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("k"))
+    mine = values.where(focal & F.col(value).isNotNull()).select(x.alias("x")).distinct().withColumn("k", F.lit(0))
+    steps = others.union(mine).groupBy("x").agg(F.sum("k").alias("k"))
+    total = others.agg(F.coalesce(F.sum("k"), F.lit(0))).scalar()
+    below = steps.withColumn("below", F.coalesce(F.sum("k").over(W.partitionBy(F.lit(1)).orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ranks = below.select(F.col("x").alias("_x"), ratio("below", total).alias("pct_rank"), (total - F.col("below")).alias("n_reaching"))
+    return values.where(focal).withColumn("_x", x).join(ranks, "_x", "left").drop("_x")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dosewise.functions.expressions import hashed, ratio
+from dosewise.functions.expressions import hashed, rarefied_richness, ratio
+from dosewise.operators.frequency import folded, polymorphic
 
 SEED = 42
 
@@ -19,23 +24,70 @@ def dense_index(df: DataFrame, key: str) -> DataFrame:
 
 
 def bootstrap_weights(loci: DataFrame, reps: int, seed: int = SEED) -> DataFrame:
-    """(locus_idx, w): how often each replicate draws a locus, as many draws as there are loci; w is an array by replicate.
+    """(locus_idx, picks): the replicates that draw a locus, as often as they draw it; each draws as many loci as there are.
 
     A locus that no replicate draws has no row. All groups share these weights.
     """
     index = dense_index(loci, "locus_idx")
     n = index.count()
     draws = loci.sparkSession.range(reps * n).select(F.floor(F.col("id") / max(n, 1)).alias("rep"), (F.col("id") % max(n, 1)).alias("k"))
-    draws = draws.select("rep", (hashed(seed, F.col("rep"), F.col("k")) % max(n, 1)).alias("ord"))
-    columns = [F.count_if(F.col("rep") == r) for r in range(reps)]
-    return draws.groupBy("ord").agg(F.array(*columns).alias("w")).join(index, "ord").select("locus_idx", "w")
+    draws = draws.select(F.col("rep").cast("int").alias("rep"), (hashed(seed, F.col("rep"), F.col("k")) % max(n, 1)).alias("ord"))
+    return draws.groupBy("ord").agg(F.collect_list("rep").alias("picks")).join(index, "ord").select("locus_idx", "picks")
+
+
+#: Rows of weights that are multiplied at once, and groups whose sums a task holds.
+WEIGHT_ROWS, HELD_GROUPS = 512, 2000
+
+
+def _summed(reps: int, n_values: int):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def out():
+            flat = np.concatenate([s.ravel() for s in sums.values()])
+            keys = pa.array(list(sums), pa.string())
+            return pa.RecordBatch.from_arrays([keys, pa.FixedSizeListArray.from_arrays(pa.array(flat), reps * n_values).cast(pa.list_(pa.float64()))], ["key", "sums"])
+
+        for batch in batches:
+            keys = np.array(batch["key"].to_pylist(), object)
+            values = np.column_stack([batch[f"v{i}"].to_numpy(zero_copy_only=False).astype(float) for i in range(n_values)])
+            values = np.where(np.isnan(values), 0.0, values)
+            for at in range(0, len(keys), WEIGHT_ROWS):
+                picks = batch["picks"].slice(at, WEIGHT_ROWS)
+                rows = np.repeat(np.arange(len(picks)), picks.value_lengths().to_numpy())
+                w = np.bincount(rows * reps + picks.flatten().to_numpy(), minlength=len(picks) * reps).reshape(len(picks), reps)
+                names, code = np.unique(keys[at : at + WEIGHT_ROWS].astype(str), return_inverse=True)
+                each = np.zeros((len(names), len(picks)))
+                for i in range(n_values):
+                    each[:] = 0
+                    each[code, np.arange(len(picks))] = values[at : at + WEIGHT_ROWS, i]
+                    for name, s in zip(names.tolist(), each @ w, strict=True):
+                        sums.setdefault(name, np.zeros((n_values, reps)))[i] += s
+            if len(sums) > HELD_GROUPS:
+                yield out()
+                sums.clear()
+        if sums:
+            yield out()
+
+    return add
+
+
+def weighted_sums(rows: DataFrame, weights: DataFrame, values: list[Column], by: list[str], reps: int) -> DataFrame:
+    """(by, rep, s0, s1, ...): sums of each value over loci, weighted by how often each replicate draws them.
+
+    Every task multiplies its rows with the replicates' weights as matrices and sends on one array a group; a null adds nothing.
+    """
+    joined = rows.select(F.to_json(F.struct(*by)).alias("key"), "locus_idx", *[v.cast("double").alias(f"v{i}") for i, v in enumerate(values)]).join(weights, "locus_idx")
+    parts = joined.select("key", "picks", *[f"v{i}" for i in range(len(values))]).mapInArrow(_summed(reps, len(values)), "key string, sums array<double>")
+    long = parts.select("key", F.posexplode("sums").alias("at", "x"))
+    total = long.groupBy("key", (F.col("at") % reps).alias("rep")).agg(*[F.sum(F.when(F.floor(F.col("at") / reps) == i, F.col("x"))).alias(f"s{i}") for i in range(len(values))])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by)
+    return total.withColumn("k", F.from_json("key", kinds)).select(*[F.col(f"k.`{c}`").alias(c) for c in by], "rep", *[f"s{i}" for i in range(len(values))])
 
 
 def bootstrap_ratio(rows: DataFrame, weights: DataFrame, num: Column, den: Column, by: list[str], reps: int, alpha: float = 0.05) -> DataFrame:
-    """(by, lo, hi): percentiles over replicates of a ratio of weighted sums over loci; one pass, no row for each replicate."""
-    joined = rows.select(*by, "locus_idx", num.alias("num"), den.alias("den")).join(weights, "locus_idx")
-    sums = joined.groupBy(*by).agg(F.array(*[ratio(F.sum(F.col("num") * F.col("w")[r]), F.sum(F.col("den") * F.col("w")[r])) for r in range(reps)]).alias("t"))
-    theta = sums.select(*by, F.explode("t").alias("theta"))
+    """(by, lo, hi): percentiles over replicates of a ratio of weighted sums over loci."""
+    theta = weighted_sums(rows, weights, [num, den], by, reps).select(*by, ratio("s0", "s1").alias("theta"))
     return theta.groupBy(*by).agg(F.percentile("theta", alpha / 2).alias("lo"), F.percentile("theta", 1 - alpha / 2).alias("hi"))
 
 
@@ -58,3 +110,22 @@ def drawn(picks: DataFrame, group: str = "population") -> DataFrame:
 def empirical_p(replicates: DataFrame, value: str, observed: Column, by: list[str]) -> DataFrame:
     """(by, p): share of replicates that reach what was observed."""
     return replicates.groupBy(*by).agg(F.avg((F.col(value) >= observed).cast("int")).alias("p"))
+
+
+def draw_summary(stored: DataFrame, picks: DataFrame, loci: DataFrame, k: int, g: int = 8) -> DataFrame:
+    """(population, draw, ho, he_unbiased, fis_wc, n_polymorphic, ar, mean_maf) of every draw of k samples.
+
+    stored are the statistics of the loci at which a draw has stored cells; everywhere else all k samples are called with dose 0, so those
+    loci add zeros, and one allele to the richness among g genes.
+    """
+    size = loci.agg(F.count("*")).scalar()
+    ar = rarefied_richness(2 * F.col("n"), "alt", g)
+    maf = F.when(polymorphic(), folded())
+    sums = stored.groupBy("draw").agg(
+        F.count("*").alias("stored"), F.sum("ho").alias("ho"), F.count("ho").alias("n_ho"), F.sum("he_unb").alias("he"), F.count("he_unb").alias("n_he"), F.sum("b").alias("b"), F.sum(F.col("b") + F.col("c")).alias("bc"),
+        F.count_if(polymorphic()).alias("n_polymorphic"), F.avg(maf).alias("mean_maf"), F.sum(ar).alias("ar"), F.count(ar).alias("n_ar"),
+    )
+    every = picks.select("population", "draw").distinct().join(sums, "draw", "left").fillna(0, ["stored", "ho", "n_ho", "he", "n_he", "n_polymorphic", "ar", "n_ar"]).withColumn("rest", size - F.col("stored"))
+    mean = lambda s, n: ratio(F.col(s), F.col("rest") + F.col(n))
+    rich = ratio(F.col("ar") + F.col("rest"), F.col("rest") + F.col("n_ar")) if 2 * k >= g else F.lit(None).cast("double")
+    return every.select("population", "draw", mean("ho", "n_ho").alias("ho"), mean("he", "n_he").alias("he_unbiased"), ratio("b", "bc").alias("fis_wc"), "n_polymorphic", rich.alias("ar"), "mean_maf")

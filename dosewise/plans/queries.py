@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.operators import checks, differentiation, diversity, geometry, individual, ordination, quality, resample, sensitivity, spectrum
-from dosewise.operators.frequency import genotype_counts, locus_stats, whole
+from dosewise.functions.expressions import chi2_tail
+from dosewise.operators import checks, differentiation, diversity, geometry, individual, ordination, quality, resample, sensitivity, spectrum, tables
+from dosewise.operators.frequency import genotype_counts, locus_stats, polymorphic, whole
 from dosewise.sources import sinks
 from dosewise.sources.star import Panel, panel, table
 
 FOCAL, FOCAL_REGION, N_FOCAL = "NATION_0", "AFRICA", 8
-REPS, F_REPS, DRAWS = 20, 10, 3
+#: The published counts of bootstrap replicates and of draws, and the levels of rarefaction.
+REPS, F_REPS, DRAWS, LEVELS = 1000, 1000, 200, (5, 8, 10, 15, 20)
 SEX, UNPLACED = ["PROMO"], "S"
 LEAST_REP, LEAST_ALN, LEAST_CALL = 920.0, 5, 0.999
 MEASURES = ["ho", "he_unbiased", "fis_wc", "mean_folded_maf"]
@@ -63,9 +65,11 @@ def call_rate(spark, sf_dir):
 
 @query
 def encoding_check(spark, sf_dir):
-    calls = genotype_counts(*panel(spark, sf_dir))
-    other = calls.select("locus_idx", ((F.col("n1") + 2 * F.col("n2")) / (2 * F.col("called"))).alias("p"), ((F.col("n0") + F.col("n1") + F.col("n2")) / F.col("called")).alias("call_rate"))
-    return checks.worst_difference(calls.select("locus_idx", "p", F.lit(1.0).alias("call_rate")), other, ["locus_idx"], ["p", "call_rate"])
+    """The panel's frequencies and call rates from genotype counts against the same from the statistics of all populations."""
+    p = panel(spark, sf_dir)
+    size = p.samples.agg(F.count("*")).scalar()
+    other = stats_of(p).groupBy("locus_idx").agg((F.sum("alt") / (2 * F.sum("n"))).alias("p"), (F.sum("n") / F.first(size)).alias("call_rate"))
+    return checks.worst_difference(genotype_counts(*p).select("locus_idx", "p", "call_rate"), other, ["locus_idx"], ["p", "call_rate"])
 
 
 @query
@@ -289,7 +293,7 @@ def empirical_null(spark, sf_dir):
 
 def draw_stats(p: Panel, k: int) -> tuple[DataFrame, DataFrame]:
     picks = resample.drawn(resample.draws(p.samples, k, DRAWS))
-    stats = locus_stats(p.geno, picks, p.loci, "draw")
+    stats = locus_stats(p.geno, picks, p.loci, "draw", stored=True)
     return picks, stats.withColumn("population", F.substring_index("draw", ":", 1))
 
 
@@ -307,21 +311,25 @@ def matched_n_null(spark, sf_dir):
 
 @query
 def rarefaction(spark, sf_dir):
+    """Means and deviations over draws at each level, and the mean of polymorphic loci in per cent of the whole group's."""
     p = panel(spark, sf_dir)
+    full = spectrum.spectrum_summary(stats_of(p)).select("population", F.col("n_polymorphic").alias("full"))
+    measures = ("ho", "he_unbiased", "fis_wc", "n_polymorphic", "ar")
     parts = []
-    for k in (5, 10):
-        _, stats = draw_stats(p, k)
-        by_draw = diversity.diversity(stats.drop("population"), "draw").withColumn("population", F.substring_index("draw", ":", 1))
-        ar = diversity.allelic_richness(stats.drop("population"), 8, "draw").select("draw", "ar")
-        values = by_draw.join(ar, "draw").groupBy("population").agg(*[f(m).alias(f"{m}_{n}") for m in ("ho", "he_unbiased", "fis_wc", "n_polymorphic", "ar") for f, n in ((F.avg, "mean"), (F.stddev_samp, "sd"))])
+    for k in LEVELS:
+        picks, stats = draw_stats(p, k)
+        values = resample.draw_summary(stats.drop("population"), picks, p.loci, k).groupBy("population").agg(*[f(m).alias(f"{m}_{n}") for m in measures for f, n in ((F.avg, "mean"), (F.stddev_samp, "sd"))])
         parts.append(values.withColumn("level", F.lit(k)))
-    return parts[0].union(parts[1])
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.join(full, "population").withColumn("pct_of_full", 100 * F.col("n_polymorphic_mean") / F.nullif("full", F.lit(0))).drop("full")
 
 
 def matched(p: Panel, k: int = N_FOCAL) -> DataFrame:
     """(draw, population, n_polymorphic, mean_maf) of every draw."""
-    _, stats = draw_stats(p, k)
-    return spectrum.spectrum_summary(stats.drop("population"), "draw").select("draw", F.substring_index("draw", ":", 1).alias("population"), "n_polymorphic", "mean_maf")
+    picks, stats = draw_stats(p, k)
+    return resample.draw_summary(stats.drop("population"), picks, p.loci, k).select("draw", "population", "n_polymorphic", "mean_maf")
 
 
 @query
@@ -344,8 +352,10 @@ def sfs_summary(spark, sf_dir):
 
 @query
 def rarefied_sfs(spark, sf_dir):
-    _, stats = draw_stats(panel(spark, sf_dir), N_FOCAL)
-    classes = spectrum.folded_spectrum(stats.drop("population"), "draw").withColumn("population", F.substring_index("draw", ":", 1))
+    picks, stats = draw_stats(panel(spark, sf_dir), N_FOCAL)
+    counts = stats.where(polymorphic()).groupBy("draw", F.least(F.col("alt"), 2 * F.col("n") - F.col("alt")).alias("mac")).agg(F.count("*").alias("n_loci"))
+    classes = picks.select("population", "draw").distinct().withColumn("mac", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(N_FOCAL).cast("long"))))
+    classes = classes.join(counts, ["draw", "mac"], "left").fillna(0, ["n_loci"])
     return classes.groupBy("population", "mac").agg(F.avg("n_loci").alias("mean"), F.percentile("n_loci", 0.025).alias("lo"), F.percentile("n_loci", 0.975).alias("hi"))
 
 
@@ -495,3 +505,162 @@ def assertion_ledger(spark, sf_dir):
         ("populations", p.samples, F.count_distinct("population"), "25", v == 25), ("loci are unique", p.loci, F.count("*") - F.count_distinct("locus_idx"), "0", v == 0),
         ("no call is missing", p.geno, F.count_if(F.col("dose").isNull()), "0", v == 0),
     ])
+
+
+# ---------------------------------------------------------------- the focal group against its null, individuals in their ranks
+
+
+@query
+def focal_kinship_null(spark, sf_dir):
+    """Kinship of the focal group's pairs against that of draws of as many samples from the other groups together."""
+    p = panel(spark, sf_dir)
+    focal = individual.kinship_pairs(p.geno, *own_frame(p)).where(F.col("frame") == FOCAL)
+    others = p.samples.where(F.col("population") != FOCAL).select("sample_idx", F.lit("others").alias("population"))
+    picks = resample.drawn(resample.draws(others, N_FOCAL, DRAWS))
+    members = picks.select("sample_idx", F.col("draw").alias("frame"))
+    frame = individual.frame_of(locus_stats(p.geno, picks, p.loci, "draw", stored=True), "draw")
+    null = individual.kinship_pairs(p.geno, members, frame).select(F.col("frame").alias("draw"), "kinship")
+    return individual.against_null(focal, null, "kinship")
+
+
+@query
+def individual_summary(spark, sf_dir):
+    """Focal individuals: their estimates, and where they stand among all others."""
+    p = panel(spark, sf_dir)
+    values = individual.individual_f(p.geno, *pooled_frame(p)).join(p.samples.select("sample_idx", "population"), "sample_idx")
+    return individual.percentile_ranks(values, "f_uni", F.col("population") == FOCAL).select("sample_idx", "f_hom", "f_uni", "pct_rank", "n_reaching")
+
+
+# ---------------------------------------------------------------- the cascade in its modes
+
+
+def flags_of(p: Panel, call: float = LEAST_CALL, hwe_mode: str = "each") -> DataFrame:
+    """Flags with two more columns: whether the scaffold is anchored, and the Hardy-Weinberg test by group or of all samples at once."""
+    each, once = quality.hwe_failures(stats_of(p)), quality.hwe_failures(joint(p), "panel")
+    once = once.select("locus_idx", "tests", (2 * F.col("failures")).alias("failures"))  # one failure of the single test is enough
+    out = quality.quality_flags(placed(p), genotype_counts(*p), each if hwe_mode == "each" else once, LEAST_REP, LEAST_ALN, call)
+    return out.withColumn("pass_anchored", ~F.col("class").isin("unanchored", "unaligned"))
+
+
+@query
+def cascade_modes(spark, sf_dir):
+    """The cascade with unanchored loci kept and dropped, and with both forms of the Hardy-Weinberg test."""
+    p = panel(spark, sf_dir)
+    parts = []
+    for mode in ("each", "joint"):
+        f = flags_of(p, hwe_mode=mode)
+        for name, steps in (("keep", STEPS), ("drop", [*STEPS[:2], "pass_anchored", *STEPS[2:]])):
+            parts.append(quality.cascade(f, steps).select(F.lit(mode).alias("hwe_mode"), F.lit(name).alias("unanchored"), "step", "name", "standalone", "cumulative"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+@query
+def callrate_cascade(spark, sf_dir):
+    """What is left of the whole cascade, one locus a clone, and the focal group's diversity over it, at each call rate."""
+    p = panel(spark, sf_dir)
+    f = flags_of(p)
+    levels = F.explode(F.array(*map(F.lit, CALL_RATES)))
+    steps = [s for s in STEPS if s != "pass_call_rate"]
+    ok = f.where(" and ".join(steps)).select("locus_idx", "clone_id", "call_rate", "rep_score", levels.alias("threshold")).where("call_rate >= threshold")
+    ok = ok.withColumn("clone_id", F.struct("threshold", "clone_id"))
+    kept = quality.one_per_clone(ok, [F.desc("call_rate"), F.desc("rep_score")]).select("threshold", "locus_idx")
+    focal = stats_of(p).where(F.col("population") == FOCAL)
+    out = kept.join(focal, "locus_idx").groupBy("threshold").agg(F.count("*").alias("n_loci"), F.avg("ho").alias("ho"), F.avg("he_unb").alias("he_unbiased"), F.count_if(polymorphic()).alias("n_polymorphic"))
+    every = spark.createDataFrame([(x,) for x in CALL_RATES], "threshold double")
+    return every.join(out, "threshold", "left").fillna(0, ["n_loci", "n_polymorphic"])
+
+
+@query
+def hwe_form_shift(spark, sf_dir):
+    """Loci left under each form of the Hardy-Weinberg test, and the largest change of a group's expected heterozygosity between them."""
+    p = panel(spark, sf_dir)
+    stats, parts = stats_of(p), []
+    for mode in ("each", "joint"):
+        left = flags_of(p, hwe_mode=mode).where(" and ".join(STEPS)).select("locus_idx")
+        parts.append(stats.join(left, "locus_idx").groupBy("population").agg(F.count("*").alias(f"n_{mode}"), F.avg("he_unb").alias(f"he_{mode}")))
+    both = parts[0].join(parts[1], "population", "full")
+    return both.agg(F.max("n_each").alias("n_each"), F.max("n_joint").alias("n_joint"), F.max(F.abs(F.col("he_each") - F.col("he_joint"))).alias("largest_shift"))
+
+
+@query
+def chi2_levels(spark, sf_dir):
+    """Levels of the goodness-of-fit statistics of all samples at once."""
+    return joint(panel(spark, sf_dir)).select("locus_idx", quality.hwe_chi2().alias("chi2"), chi2_tail(F.least(quality.hwe_chi2(), F.lit(50.0))).alias("level"))
+
+
+# ---------------------------------------------------------------- result tables
+
+FST_STEPS = [(0.005, "none"), (0.015, "slight"), (0.03, "moderate")]
+
+
+def rounded_fst(spark, sf_dir) -> DataFrame:
+    return differentiation.fst_pairwise(stats_of(panel(spark, sf_dir))).select("population_i", "population_j", F.round("fst_wc", 9).alias("fst"))
+
+
+@query
+def fst_ranked(spark, sf_dir):
+    """Pairs by F_ST, the largest first, with a label."""
+    out = tables.ranked(rounded_fst(spark, sf_dir), [F.desc("fst"), F.col("population_i"), F.col("population_j")])
+    return out.withColumn("label", tables.labelled(F.col("fst"), FST_STEPS, "great"))
+
+
+@query
+def fst_above_p95(spark, sf_dir):
+    return tables.above_quantile(rounded_fst(spark, sf_dir), "fst", 0.95, [F.desc("fst"), F.col("population_i"), F.col("population_j")])
+
+
+@query
+def pair_keys(spark, sf_dir):
+    """Pairs of the F_ST table against those of the samples, written the other way round and without one population."""
+    p = panel(spark, sf_dir)
+    names = p.samples.select("population").distinct()
+    other = names.select(F.col("population").alias("population_j")).join(names.select(F.col("population").alias("population_i")), F.col("population_j") < F.col("population_i"))
+    return tables.unmatched_pairs(rounded_fst(spark, sf_dir), other.where(F.col("population_i") != FOCAL), "population_i", "population_j")
+
+
+@query
+def populations_ordered(spark, sf_dir):
+    """Populations by the number in their names."""
+    sizes = panel(spark, sf_dir).samples.groupBy("population").agg(F.count("*").alias("n"))
+    return tables.ranked(sizes, [tables.digits("population"), F.col("population")])
+
+
+@query
+def region_lists(spark, sf_dir):
+    """Each region's populations, the first three by size named."""
+    sizes = panel(spark, sf_dir).samples.groupBy("region", "population").agg(F.count("*").alias("n"))
+    return tables.truncated(sizes.drop("n").join(sizes.select("population", "n"), "population"), ["region"], "population", [F.desc("n"), F.col("population")], 3)
+
+
+@query
+def anchor_slice(spark, sf_dir):
+    """The anchors in places 11 to 20 of their order."""
+    rows = anchors(panel(spark, sf_dir))
+    return tables.sliced(rows, [F.col("refseq"), F.desc("locus_idx")], 11, 20)
+
+
+@query
+def score_histogram(spark, sf_dir):
+    return tables.fixed_histogram(panel(spark, sf_dir).loci, "rep_score", 900.0, 50.0, 24)
+
+
+@query
+def score_ranges(spark, sf_dir):
+    """Range of the reproducibility score by reference, with a row for all loci."""
+    return tables.range_summary(panel(spark, sf_dir).loci, "refseq", "rep_score")
+
+
+@query
+def point_override(spark, sf_dir):
+    """Sizes of segments after one sample is moved."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.trim("c_mktsegment").alias("segment"))
+    moved = tables.overridden(customers, F.col("c_custkey") == 1, "segment", "MOVED")
+    return moved.groupBy("segment").agg(F.count("*").alias("n"))
+
+
+@query
+def widest_distance(spark, sf_dir):
+    return ordination.widest_pair(points(spark, sf_dir))

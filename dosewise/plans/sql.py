@@ -173,7 +173,7 @@ SQL: dict[str, str] = {
     "diversity_by_population": made(POP, f"SELECT population, {DIVERSITY} FROM st GROUP BY 1", DIV_COLUMNS),
     "locus_statistics": made(POP, "FROM st", "population locus_idx:i n:i alt:i het:i p:d ho:d he_hw:d he_unb:d b:d c:d"),
     "call_rate": made([*PANEL, CALLS], "FROM calls", "locus_idx:i n0:i n1:i n2:i called:i call_rate:d p:d"),
-    "encoding_check": made([*PANEL, CALLS], "SELECT 'p' AS measure, max(abs(p - (n1 + 2 * n2) / (2.0::DOUBLE * called))) AS worst, 0 AS unmatched FROM calls UNION ALL SELECT 'call_rate', max(abs(1 - (n0 + n1 + n2) / called::DOUBLE)), 0 FROM calls", "measure worst:d unmatched:i"),
+    "encoding_check": made([*POP, CALLS], "SELECT measure, max(abs(d)) AS worst, 0 AS unmatched FROM (SELECT unnest(['p', 'call_rate']) AS measure, unnest([p - q, call_rate - r]) AS d FROM calls JOIN (SELECT locus_idx, sum(alt) / (2.0::DOUBLE * sum(n)) AS q, sum(n) / (SELECT count(*) FROM samples)::DOUBLE AS r FROM st GROUP BY 1) USING (locus_idx)) GROUP BY 1", "measure worst:d unmatched:i"),
     "fis_jackknife": made(POP, "SELECT population, max(bs) / max(ds) AS fis_wc, sqrt((count(theta) - 1) * var_pop(theta)) AS fis_jack_se FROM (SELECT population, bs, ds, (bs - b) / nullif(ds - b - c, 0) AS theta FROM (SELECT population, b, c, sum(b) OVER w AS bs, sum(b + c) OVER w AS ds FROM st WINDOW w AS (PARTITION BY population))) GROUP BY 1", "population fis_wc:d fis_jack_se:d"),
     "fis_bootstrap": made([*POP, weights(q.REPS)], "SELECT population, quantile_cont(t, 0.025) AS lo, quantile_cont(t, 0.975) AS hi FROM (SELECT population, rep, sum(w * b) / nullif(sum(w * (b + c)), 0) AS t FROM st JOIN weights USING (locus_idx) GROUP BY 1, 2) GROUP BY 1", "population lo:d hi:d"),
     "allelic_richness_g16": made(POP, f"SELECT population, 16 AS g, avg(a) AS ar, stddev_samp(a) / sqrt(count(a)) AS ar_se, count(a) AS n_loci FROM (SELECT population, {richness('16')} AS a FROM st) GROUP BY 1", "population g:i ar:d ar_se:d n_loci:i"),
@@ -205,7 +205,7 @@ SQL: dict[str, str] = {
     "kinship_individual": made([*frames("own"), DENSE, KIN], "SELECT frame, s AS sample_idx, avg(kinship) AS mean_kinship, max(kinship) AS max_kinship FROM (SELECT frame, sample_i AS s, kinship FROM kin UNION ALL SELECT frame, sample_j, kinship FROM kin) GROUP BY 1, 2", "frame sample_idx:i mean_kinship:d max_kinship:d"),
     "empirical_null": made([*frames("own"), DENSE, KIN], f"SELECT {tails('kinship')} FROM kin WHERE frame <> 'NATION_0'", TAIL_COLUMNS),
     "matched_n_null": made([*frames("draws"), DENSE, KIN, f"vals AS (SELECT split_part(frame, ':', 1) AS population, 'kinship' AS measure, kinship AS x FROM kin UNION ALL SELECT split_part(frame, ':', 1), 'f_uni', f_uni FROM ({F_ALL}))"], f"SELECT population, measure, {tails('x')} FROM vals GROUP BY 1, 2", "population measure " + TAIL_COLUMNS),
-    "rarefaction": made([*PANEL, draws(5, "p5"), draws(10, "p10"), stats("d5", "draw", "p5"), stats("d10", "draw", "p10")], f"{rarefied(5)} UNION ALL {rarefied(10)}", "population level:i " + " ".join(f"{m}_mean:d {m}_sd:d" for m in ("ho", "he_unbiased", "fis_wc", "n_polymorphic", "ar"))),
+    "rarefaction": made([*POP, *[x for k in q.LEVELS for x in (draws(k, f"p{k}"), stats(f"d{k}", "draw", f"p{k}"))]], 'SELECT r.*, 100 * n_polymorphic_mean / nullif("full", 0) AS pct_of_full FROM (' + " UNION ALL ".join(map(rarefied, q.LEVELS)) + ') r JOIN (SELECT population, count(*) FILTER (poly) AS "full" FROM st GROUP BY 1) USING (population)', "population level:i pct_of_full:d " + " ".join(f"{m}_mean:d {m}_sd:d" for m in ("ho", "he_unbiased", "fis_wc", "n_polymorphic", "ar"))),
     "polymorphism_matched_n": made([*POP, *DRAWN], 'SELECT population, "full", matched, 100 * matched / nullif("full", 0) AS pct FROM (SELECT population, count(*) FILTER (poly) AS "full" FROM st GROUP BY 1) LEFT JOIN (SELECT population, avg(n_polymorphic) AS matched FROM drawn GROUP BY 1) USING (population)', 'population "full":i matched:d pct:d'),
     "folded_sfs": made(POP, spectrum_of("st", "population"), "population mac:i n_loci:i share:d"),
     "sfs_summary": made(POP, f"SELECT population, {SUMMARY}, median(maf) FILTER (poly) AS median_maf FROM st GROUP BY 1", "population n_polymorphic:i mean_maf:d median_maf:d"),
@@ -228,3 +228,46 @@ SQL: dict[str, str] = {
   SELECT 'doses are 1, 2 or missing' AS name, (SELECT count(*) FROM geno WHERE dose NOT IN (1, 2)) AS value, '0' AS expected UNION ALL SELECT 'cells are unique', (SELECT count(*) FROM (SELECT 1 FROM geno GROUP BY sample_idx, locus_idx HAVING count(*) > 1)), '0'
   UNION ALL SELECT 'populations', (SELECT count(DISTINCT population) FROM samples), '25' UNION ALL SELECT 'loci are unique', (SELECT count(*) - count(DISTINCT locus_idx) FROM loci), '0' UNION ALL SELECT 'no call is missing', (SELECT count(*) FROM geno WHERE dose IS NULL), '0')""", "name value expected passed"),
 }
+
+OTHER_DRAWS = f"""draws AS MATERIALIZED (
+  SELECT sample_idx, 'others:' || rep AS draw FROM (SELECT sample_idx, rep, row_number() OVER (PARTITION BY rep ORDER BY {hashed(42, q.N_FOCAL, 'rep', 'sample_idx')}, sample_idx) AS r
+    FROM samples CROSS JOIN (SELECT range AS rep FROM range({q.DRAWS})) WHERE population <> '{q.FOCAL}') WHERE r <= {q.N_FOCAL})"""
+OWN_FOCAL = [*POP, f"members AS (SELECT sample_idx, population AS frame FROM samples WHERE population = '{q.FOCAL}')", "frame AS (SELECT population AS frame, locus_idx, p, n FROM st WHERE poly)", DENSE, KIN, "fk AS (SELECT round(kinship, 9) AS x, kinship FROM kin)"]
+NULLS = [OTHER_DRAWS, stats("ds", "draw", "draws"), "dense2 AS (SELECT draw AS frame, d.sample_idx, f.locus_idx, p, CASE WHEN g.sample_idx IS NULL THEN 0 ELSE g.dose END AS g FROM draws d JOIN (SELECT draw, locus_idx, p FROM ds WHERE poly) f USING (draw) LEFT JOIN geno g ON g.sample_idx = d.sample_idx AND g.locus_idx = f.locus_idx)",
+  "zn AS MATERIALIZED (SELECT frame, sample_idx, locus_idx, coalesce((g - 2 * p) / sqrt(2 * p * (1 - p)), 0) AS z FROM dense2)", "nul AS MATERIALIZED (SELECT x.frame, avg(x.z * y.z) AS kinship FROM zn x JOIN zn y USING (frame, locus_idx) WHERE x.sample_idx < y.sample_idx GROUP BY x.frame, x.sample_idx, y.sample_idx)"]
+JOINT_HWE = hwe("hj", "jt", "panel")
+MODES = [*QUALITY, JOINT, JOINT_HWE, "flags2 AS MATERIALIZED (SELECT f.*, coalesce(j.failures, 0) < 1 AS pass_joint, class NOT IN ('unanchored', 'unaligned') AS pass_anchored FROM flags f LEFT JOIN hj j USING (locus_idx))"]
+
+
+def cascaded(mode: str, unanchored: str) -> str:
+    steps = [*q.STEPS[:2], *(["pass_anchored"] if unanchored == "drop" else []), *q.STEPS[2:]]
+    column = lambda s: "pass_joint" if s == "pass_hwe" and mode == "joint" else s
+    rows = [f"SELECT '{mode}' AS hwe_mode, '{unanchored}' AS unanchored, 0 AS step, 'input' AS name, count(*) AS standalone, count(*) AS cumulative FROM flags2"]
+    rows += [f"SELECT '{mode}', '{unanchored}', {i}, '{s}', count(*) FILTER ({column(s)}), count(*) FILTER ({' AND '.join(map(column, steps[:i]))}) FROM flags2" for i, s in enumerate(steps, 1)]
+    return " UNION ALL ".join(rows)
+
+
+_not_call = " AND ".join(s for s in q.STEPS if s != "pass_call_rate")
+_shift = lambda name, s: f"{name} AS (SELECT population, count(*) AS n, avg(he_unb) AS he FROM st JOIN (SELECT locus_idx FROM flags2 WHERE {s}) USING (locus_idx) GROUP BY 1)"
+ROUNDED = "rf AS (SELECT population_i, population_j, round(fst_wc, 9) AS fst FROM fst)"
+_label = "CASE WHEN fst IS NULL THEN NULL " + " ".join(f"WHEN fst < {v}::DOUBLE THEN '{n}'" for v, n in q.FST_STEPS) + " ELSE 'great' END"
+_uni_rank = f"SELECT sample_idx, f_hom, f_uni, (SELECT count(*) FROM iv o WHERE o.population <> '{q.FOCAL}' AND o.x < iv.x) / (SELECT count(x) FROM iv WHERE population <> '{q.FOCAL}')::DOUBLE AS pct_rank, (SELECT count(*) FROM iv o WHERE o.population <> '{q.FOCAL}' AND o.x >= iv.x) AS n_reaching FROM iv WHERE population = '{q.FOCAL}'"
+
+SQL |= {
+    "focal_kinship_null": made([*OWN_FOCAL, *NULLS], "SELECT (SELECT count(*) FROM fk) AS n, (SELECT avg(kinship) FROM fk) AS mean, (SELECT avg(kinship) FROM nul) AS null_mean, (SELECT avg((round(x, 9) >= (SELECT round(avg(kinship), 9) FROM fk))::INT) FROM (SELECT frame, avg(kinship) AS x FROM nul GROUP BY 1)) AS p, (SELECT count(*) FROM fk WHERE x > (SELECT round(quantile_cont(kinship, 0.95), 9) FROM nul)) AS n_above_p95, (SELECT count(*) FROM fk WHERE x > (SELECT round(quantile_cont(kinship, 0.99), 9) FROM nul)) AS n_above_p99", "n:i mean:d null_mean:d p:d n_above_p95:i n_above_p99:i"),
+    "individual_summary": made([*frames("pooled"), DENSE, f"iv AS MATERIALIZED (SELECT f.*, round(f_uni, 9) AS x, population FROM ({F_ALL}) f JOIN samples USING (sample_idx))"], _uni_rank, "sample_idx:i f_hom:d f_uni:d pct_rank:d n_reaching:i"),
+    "cascade_modes": made(MODES, " UNION ALL ".join(cascaded(m, u) for m in ("each", "joint") for u in ("keep", "drop")), "hwe_mode unanchored step:i name standalone:i cumulative:i"),
+    "callrate_cascade": made([*QUALITY, f"lv AS (SELECT unnest({[float(x) for x in q.CALL_RATES]}::DOUBLE[]) AS threshold)", f"kp AS (SELECT threshold, locus_idx FROM flags CROSS JOIN lv WHERE {_not_call} AND call_rate >= threshold QUALIFY row_number() OVER (PARTITION BY threshold, clone_id ORDER BY call_rate DESC, rep_score DESC, locus_idx) = 1)"], f"SELECT threshold, count(s.locus_idx) AS n_loci, avg(ho) AS ho, avg(he_unb) AS he_unbiased, count(*) FILTER (poly) AS n_polymorphic FROM lv LEFT JOIN kp USING (threshold) LEFT JOIN (SELECT * FROM st WHERE population = '{q.FOCAL}') s ON s.locus_idx = kp.locus_idx GROUP BY 1", "threshold:d n_loci:i ho:d he_unbiased:d n_polymorphic:i"),
+    "hwe_form_shift": made([*MODES, _shift("xe", " AND ".join(q.STEPS)), _shift("xj", " AND ".join([*q.STEPS[:-1], "pass_joint"]))], "SELECT max(xe.n) AS n_each, max(xj.n) AS n_joint, max(abs(xe.he - xj.he)) AS largest_shift FROM xe FULL JOIN xj USING (population)", "n_each:i n_joint:i largest_shift:d"),
+    "chi2_levels": made([*PANEL, JOINT, f"ch AS (SELECT locus_idx, {CHI} AS chi2, sqrt(least({CHI}, 50.0::DOUBLE) / 2) AS x FROM jt)"], f"SELECT locus_idx, chi2, {erfc('x')} AS level FROM ch", "locus_idx:i chi2:d level:d"),
+    "fst_ranked": made([*POP, PAIRS, ROUNDED], f"SELECT *, row_number() OVER (ORDER BY fst DESC NULLS LAST, population_i, population_j) AS rank, {_label} AS label FROM rf", "population_i population_j fst:d rank:i label"),
+    "fst_above_p95": made([*POP, PAIRS, ROUNDED], "SELECT *, row_number() OVER (ORDER BY fst DESC, population_i, population_j) AS rank FROM rf WHERE fst > (SELECT quantile_cont(fst, 0.95) FROM rf)", "population_i population_j fst:d rank:i"),
+    "pair_keys": made([*POP, PAIRS, "ka AS (SELECT DISTINCT least(population_i, population_j) AS i, greatest(population_i, population_j) AS j FROM fst)", f"kb AS (SELECT DISTINCT x.population AS i, y.population AS j FROM samples x JOIN samples y ON x.population < y.population WHERE y.population <> '{q.FOCAL}')"], "SELECT (SELECT count(*) FROM ka) AS n_a, (SELECT count(*) FROM kb) AS n_b, (SELECT count(*) FROM ka ANTI JOIN kb USING (i, j)) AS only_a, (SELECT count(*) FROM kb ANTI JOIN ka USING (i, j)) AS only_b", "n_a:i n_b:i only_a:i only_b:i"),
+    "populations_ordered": made([SAMPLES], "SELECT population, count(*) AS n, row_number() OVER (ORDER BY coalesce(TRY_CAST(regexp_extract(population, '([0-9]+)', 1) AS BIGINT), -1), population) AS rank FROM samples GROUP BY 1", "population n:i rank:i"),
+    "region_lists": made([SAMPLES, "sz AS (SELECT region, population, row_number() OVER (PARTITION BY region ORDER BY count(*) DESC, population) AS r FROM samples GROUP BY 1, 2)"], "SELECT region, count(*) AS n, string_agg(population, ', ' ORDER BY r) FILTER (r <= 3) || CASE WHEN count(*) > 3 THEN ', ...' ELSE '' END AS shown FROM sz GROUP BY 1", "region n:i shown"),
+    "anchor_slice": made([LOCI], "SELECT * FROM (SELECT locus_idx, refseq, row_number() OVER (ORDER BY refseq, locus_idx DESC) AS rank FROM loci WHERE aln_cnt > 10) WHERE rank BETWEEN 11 AND 20", "locus_idx:i refseq rank:i"),
+    "score_histogram": made([LOCI], "SELECT bin, 900 + bin * 50.0::DOUBLE AS lo, 950 + bin * 50.0::DOUBLE AS hi, count(rep_score) AS n FROM (SELECT range AS bin FROM range(24)) LEFT JOIN loci ON least(floor((rep_score - 900) / 50), 23) = bin AND rep_score BETWEEN 900 AND 2100 GROUP BY 1", "bin:i lo:d hi:d n:i"),
+    "score_ranges": made([LOCI], "SELECT CASE WHEN grouping(refseq) = 1 THEN 'total' ELSE refseq END AS refseq, count(rep_score) AS n, min(rep_score) AS least, max(rep_score) AS most, avg(rep_score) AS mean FROM loci GROUP BY ROLLUP (refseq)", "refseq n:i least:d most:d mean:d"),
+    "point_override": made([], "SELECT CASE WHEN c_custkey = 1 THEN 'MOVED' ELSE trim(c_mktsegment) END AS segment, count(*) AS n FROM customer GROUP BY 1", "segment n:i"),
+    "widest_distance": made([XY], "SELECT max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS most FROM pts a CROSS JOIN pts b", "most:d"),
+}
