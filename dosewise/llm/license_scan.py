@@ -141,13 +141,13 @@ def _telling() -> str:
     return "|".join(sorted(found))
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """The rows whose `text`, as a whole, has COVERAGE of the word pairs of any template."""
+def _candidates(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose `text`, as a whole, has COVERAGE of the word pairs of any template: exactly those that a template can confirm."""
     every = [_template_pairs(t) for ts in TEMPLATES.values() for t in ts]
     known = F.array(*map(F.lit, dict.fromkeys(p for tp in every for p in tp)))
     # bound as a lambda's variable, so that the text's pairs are formed once and not for each template
     enough = lambda met: functools.reduce(lambda x, y: x | y, [F.size(F.array_intersect(F.array(*map(F.lit, tp)), met)) >= COVERAGE * len(tp) for tp in every])
-    return rows.where(F.lower("text").rlike(_telling())).where(F.exists(F.array(F.array_intersect(known, pairs(words(F.col("text"))))), enough))
+    return rows.where(F.lower(text).rlike(_telling())).where(F.exists(F.array(F.array_intersect(known, pairs(words(F.col(text))))), enough))
 
 
 def _wrapped(rows: DataFrame) -> DataFrame:
@@ -158,8 +158,11 @@ def _wrapped(rows: DataFrame) -> DataFrame:
     longest = max(len(re.findall("[a-z0-9]+", t.lower())) for ts in TEMPLATES.values() for t in ts)
     lines = rows.select("key", "version", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     lines = lines.withColumn("line", F.regexp_replace("line", r"(?i)^\s*(rem|dnl)\s", "")).withColumn("n", F.size(F.filter(words(F.col("line")), lambda w: w != "")))
-    ahead = W.partitionBy("key", "version").orderBy("paragraph").rowsBetween(0, longest + 1)  # a line has a word at least
-    lines = lines.dropDuplicates(["key", "version", "paragraph"]).withColumn("run", F.collect_list(F.struct("line", "n")).over(ahead)).where("n > 0 and size(run) > 1")
+    of = W.partitionBy("key", "version").orderBy("paragraph")
+    ahead = of.rowsBetween(0, longest + 1)  # a line has a word at least
+    # a run that a template confirms has a telling word in one of its lines
+    lines = lines.dropDuplicates(["key", "version", "paragraph"]).withColumn("tells", F.bool_or(F.lower("line").rlike(_telling())).over(ahead))
+    lines = lines.withColumn("run", F.when(F.col("tells") & (F.col("n") > 0), F.collect_list(F.struct("line", "n")).over(ahead))).where("size(run) > 1")
     runs = lines.select("key", "version", "paragraph", "n", "run", F.explode(F.sequence(F.lit(2), F.size("run"))).alias("k")).withColumn("run", F.slice("run", 1, F.col("k")))
     total = F.aggregate("run", F.lit(0), lambda t, x: t + x["n"])
     runs = runs.where(~F.exists("run", lambda x: x["n"] == 0) & (total - F.col("n") - F.element_at("run", -1)["n"] < longest))
@@ -171,8 +174,8 @@ def license_paragraphs(documents: DataFrame, keys: list[str], text: str = "text"
 
     Paragraphs are lines, counted from 0, and runs of lines without a blank one between them, as notices are wrapped, numbered by their first line;
     of runs only the shortest that hold a notice of a family count, those that overlap as one, and none around a line that holds it alone. Only texts
-    that have COVERAGE of a template in all are cut into paragraphs, for no paragraph of another can have it; where they stand, a paragraph's n-grams
-    (words and pairs of words) are counted and classified by the fitted models. A family is reported if it is the likeliest, its probability reaches the calibrated
+    that have COVERAGE of a template in all are cut into paragraphs, for no paragraph of another can have it, and of the paragraphs, too, only those that
+    have it are classified: their n-grams (words and pairs of words) are counted and weighed by the fitted models. A family is reported if it is the likeliest, its probability reaches the calibrated
     least, and COVERAGE of the word pairs of one of its templates stands in the paragraph.
     Null and empty texts have no paragraphs; rows that are equal in keys and text give one result; an empty table an empty one.
     """
@@ -192,7 +195,9 @@ def license_paragraphs(documents: DataFrame, keys: list[str], text: str = "text"
         return met.where(F.col("coverage") >= COVERAGE).select("key", "version", "paragraph", "last", "family", F.struct("coverage", F.length("template"), "template", "family", "probability").alias("b"))
 
     lines = rows.select("key", "version", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).withColumn("last", F.col("paragraph"))
-    found = confirmed(lines).unionByName(confirmed(_wrapped(rows))).groupBy("key", "version", "family", "paragraph", "last").agg(F.max("b").alias("b"))
+    # saved, so that a paragraph is formed once and not again in each expression that reads it
+    paragraphs = saved(lines.unionByName(_wrapped(rows)), "paragraphs")
+    found = confirmed(saved(_candidates(paragraphs, "line"), "chosen")).groupBy("key", "version", "family", "paragraph", "last").agg(F.max("b").alias("b"))
     of = W.partitionBy("key", "version", "family")
     within = F.min("last").over(of.orderBy(F.desc("paragraph"), "last").rowsBetween(W.unboundedPreceding, -1))
     found = found.withColumn("within", within).where("within is null or within > last")
