@@ -81,7 +81,7 @@ def prefix_tokens(x: str | Column, n: int = 2, sep: str = "_") -> Column:
 def shown(x: str | Column, digits: int = 4, signed: bool = False) -> Column:
     """A number for display: fixed digits, a dash for null."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.coalesce(F.format_string(f"%{'+' if signed else ''}.{digits}f", x), F.lit("—"))
+    return F.when(x.isNull(), F.lit("—")).otherwise(F.format_string(f"%{'+' if signed else ''}.{digits}f", x))
 
 
 def km_to_degrees(km: str | Column, latitude: str | Column) -> Column:
