@@ -70,9 +70,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = token_counts.TOKENIZER) -> DataFrame:
     """Every document's tokens in the token files of `documents`: its file's number, its place there, where it begins and its count."""
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    token_counts.write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer=tokenizer)
+    docs = _table(spark, sf_dir, "documents")
+    token_counts.write_token_files(docs, path, tokenizer=tokenizer)
     found = token_counts.document_tokens(spark, path, pattern="part-*")
-    return found.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("file_no"), "ordinal", "start", "n_tokens", "closed")
+    found = found.withColumn("file_no", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
+    found = found.join(token_counts.places(docs, "doc_id"), ["file_no", "ordinal"])
+    return found.select("doc_id", "file_no", "ordinal", "start", "n_tokens", "closed")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

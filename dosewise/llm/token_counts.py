@@ -8,11 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dosewise.llm.common import saved
+
 BLOCK_BYTES = 1 << 20
+#: Bytes of token files a task scans, and blocks of a run of the prefix scan.
+TASK_BYTES = 64 << 20
+SPAN = 1024
 #: Where the public tokenizers' vocabularies are installed; a parameter of the query.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
@@ -51,21 +57,65 @@ def write_token_files(documents: DataFrame, path: str, text: str = "text", token
     tokens.write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
 
 
+def places(documents: DataFrame, *columns: str) -> DataFrame:
+    """(columns, file_no, ordinal): where write_token_files puts each row of the same DataFrame, which must read files in a fixed order, as a scan does."""
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return documents.select(*columns, F.spark_partition_id().alias("file_no"), row.alias("ordinal"))
+
+
 # ---------------------------------------------------------------- scanning
 
 
+@functools.cache
+def _file_system(root: str):
+    return pafs.FileSystem.from_uri(root)
+
+
+def _read_range(path: str, start: int, length: int) -> memoryview:
+    """Bytes of a file by its Spark path: only this range is read."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        files, name = pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        host, _, inner = rest.removeprefix("//").partition("/")
+        files, top = _file_system(f"{scheme}://{host}/")
+        name = f"{top.rstrip('/')}/{inner}"
+    with files.open_input_file(name) as file:
+        return memoryview(file.read_at(length, start))
+
+
+#: File systems of which a Python task can read a range; of others Spark reads files whole.
+RANGED = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
+
+
+def _scan(raw, end: int, width: int) -> tuple[int, np.ndarray]:
+    ids = np.frombuffer(raw, f"<u{width}")  # an error where a file ends within an id
+    return len(ids), np.flatnonzero(ids == end).astype(np.int32)
+
+
+_FOUND = "file string, block int, is_last boolean, n long, ends array<int>"
+
+
+def _scanned(file, block, is_last, n: int, ends: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), pa.array(ends, pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int32()), pa.array([is_last]), pa.array([n], pa.int64()), lists], ["file", "block", "is_last", "n", "ends"])
+
+
+def _range_scan(end: int, width: int, block_bytes: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                raw = _read_range(x["file"], x["block"] * block_bytes, x["bytes"])
+                yield _scanned(x["file"], x["block"], x["is_last"], *_scan(raw, end, width))
+
+    return scan
+
+
 def _block_scan(end: int, width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, ends = [], []
-            for raw in batch["raw"]:
-                ids = np.frombuffer(raw.as_buffer(), f"<u{width}")  # an error where a file ends within an id
-                tokens.append(len(ids))
-                ends.append(np.flatnonzero(ids == end).astype(np.int32))
-            at = np.concatenate(([0], np.cumsum([len(e) for e in ends])))
-            flat = np.concatenate(ends) if ends else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["file"], batch["block"], pa.array(tokens, pa.int64()), lists], ["file", "block", "n", "ends"])
+            for file, block, is_last, raw in zip(*(batch[c] for c in ("file", "block", "is_last", "raw")), strict=True):
+                yield _scanned(file.as_py(), block.as_py(), is_last.as_py(), *_scan(raw.as_buffer(), end, width))
 
     return scan
 
@@ -74,27 +124,47 @@ def document_tokens(spark: SparkSession, path: str, end: int = END, width: int =
     """(file, ordinal, start, n_tokens, closed) of every document in the files under path, counted from 0 in each file.
 
     A document is what stands before an end id, without it; two ends in a row make one of no tokens. Tokens behind a file's last end are a
-    document that is not closed; an empty file has none. Every block is searched by itself; a running sum over a
-    file's blocks gives the number of ends before it and where its first document began. Blocks hold whole ids.
-    Files are read whole by one task, so they can have up to 2 GB; a file whose length is no multiple of the width is an error.
+    document that is not closed; an empty file has none. Every block is searched by itself, by a task that reads only its range of bytes, so
+    files may have any size and a large one is spread over all tasks. A prefix scan in two levels, within runs of SPAN blocks and over the runs
+    of a file, gives the number of ends before a block and where its first document began. Blocks hold whole ids; a file
+    whose length is no multiple of the width is an error. On a file system outside RANGED, Spark's reader takes files whole, up to 2 GB each.
     """
     if block_bytes % width:
         raise ValueError("a block must hold whole ids")
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).where("length > 0")
     last = F.floor((F.col("length") - 1) / block_bytes).cast("int")
-    blocks = files.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0), last)).alias("block"))
-    blocks = blocks.select("file", "block", F.substring("content", F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("raw"))
-    found = blocks.mapInArrow(_block_scan(end, width), "file string, block int, n long, ends array<int>")
+    listed = files.select("path", "length")
+    total, schemes = listed.agg(F.sum("length"), F.collect_set(F.regexp_extract("path", "^([A-Za-z0-9+.-]*):", 1))).first()
+    blocks = F.explode(F.sequence(F.lit(0), last)).alias("block")
+    is_last = (F.col("block") == F.col("last")).alias("is_last")
+    if set(schemes) <= set(RANGED):
+        blocks = listed.select(F.col("path").alias("file"), "length", last.alias("last"), blocks)
+        size = F.least(F.lit(block_bytes).cast("long"), F.col("length") - F.col("block").cast("long") * block_bytes)
+        tasks = max(spark.sparkContext.defaultParallelism, -(-(total or 0) // TASK_BYTES))
+        blocks = blocks.select("file", "block", is_last, size.alias("bytes")).repartition(tasks, "file", "block")
+        found = blocks.mapInArrow(_range_scan(end, width, block_bytes), _FOUND)
+    else:
+        blocks = files.select(F.col("path").alias("file"), "content", last.alias("last"), blocks)
+        raw = F.substring("content", F.col("block") * block_bytes + 1, F.lit(block_bytes))
+        found = blocks.select("file", "block", is_last, raw.alias("raw")).mapInArrow(_block_scan(end, width), _FOUND)
 
     per = block_bytes // width
-    at = W.partitionBy("file").orderBy("block")
-    before = at.rowsBetween(W.unboundedPreceding, -1)
     first = F.col("block").cast("long") * per
     found = found.withColumns({
-        "ordinal": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)),
-        "begun": F.coalesce(F.last(F.when(F.size("ends") > 0, first + F.element_at("ends", -1) + 1), ignorenulls=True).over(before), F.lit(0)),
-        "is_last": F.lead("block").over(at).isNull(),
+        "span": F.floor(F.col("block") / SPAN).cast("int"),
+        "begins": F.when(F.size("ends") > 0, first + F.element_at("ends", -1) + 1),  # where the document behind the block's last end begins
     })
+    found = saved(found, "blocks")
+
+    def running(df: DataFrame, keys: list[str], by: str, count, name: str) -> DataFrame:
+        """Ends before each row of its key, and the last place where a document begins there."""
+        before = W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumns({f"{name}_ends": F.coalesce(F.sum(count).over(before), F.lit(0)), f"{name}_begins": F.max("begins").over(before)})
+
+    spans = found.groupBy("file", "span").agg(F.sum(F.size("ends")).alias("count"), F.max("begins").alias("begins"))
+    spans = running(spans, ["file"], "span", F.col("count"), "span").select("file", "span", "span_ends", "span_begins")
+    found = running(found, ["file", "span"], "block", F.size("ends"), "block").join(spans, ["file", "span"])
+    found = found.withColumn("ordinal", F.col("span_ends") + F.col("block_ends")).withColumn("begun", F.coalesce("block_begins", "span_begins", F.lit(0)))
     # an unclosed document ends with its file
     stop = F.when(F.col("is_last"), F.array(F.struct((first + F.col("n")).alias("stop"), F.lit(False).alias("closed")))).otherwise(F.array().cast("array<struct<stop:bigint,closed:boolean>>"))
     stops = F.concat(F.transform("ends", lambda e: F.struct((first + e).alias("stop"), F.lit(True).alias("closed"))), stop)
