@@ -33,6 +33,8 @@ FRAGMENTS = 8
 LEAST_CELLS, MOST_CELLS = 18, 22
 #: Partners of one document that are verified in one task.
 CELL_ROWS = 2000
+#: Bytes at most of the sketches by which candidate pairs are held against each other first.
+BRIEF_BYTES = 128
 #: Keys with so many documents at most are paired in a plain join, others in blocks.
 SMALL = 16
 BLOCK = 512
@@ -151,7 +153,8 @@ def _printer(n: int, percent: int, levels):
             at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             flat = (np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64)
             cols = [ids, *(pa.array(x, pa.int64()) for x in (sizes, high, low, common)), listed(flat, at, pa.int64()), pa.array(sketches, pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["id", "n", "sig_a", "sig_b", "common", "keys", "sketch"])
+            cols.append(pa.array([_fold(s, BRIEF_BYTES) for s in sketches], pa.binary()))
+            return pa.RecordBatch.from_arrays(cols, ["id", "n", "sig_a", "sig_b", "common", "keys", "sketch", "brief"])
 
         for batch in batches:
             rows, start, held = [], 0, 0
@@ -273,12 +276,20 @@ def _verified(segments: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return counts.groupBy("a", "b", "total").agg(F.sum("c").alias("c")).where((100 + percent) * F.col("c") >= F.col("total")).select("a", "b")
 
 
-def _sketch_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and the column `sketch` of both allow."""
     a, b = (sizes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where((F.abs(F.col("n_a") - F.col("n_b")) * (100 + percent)) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     return near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_near(percent), "a long, b long, n_a long, n_b long, apart long")
 
 
+def _sketch_filter(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and sketches allow: by brief sketches first, so that whole ones travel only with the pairs that these leave."""
+    left = saved(_compared(pairs, sizes.select("id", "n", F.col("brief").alias("sketch")), percent).select("a", "b"), "brief")
+    ids = saved(left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    return _compared(left, sizes.join(small_or_shuffled(ids), "id", "left_semi"), percent)
+
+
 def _nearest(pairs: DataFrame) -> DataFrame:
     """Of each a the pair with the nearest b."""
     return pairs.groupBy("a").agg(F.min(F.struct("apart", "b", "n_a", "n_b")).alias("best")).select("a", "best.b", "best.n_a", "best.n_b")
@@ -332,7 +343,7 @@ def jaccard_groups(documents: DataFrame, id: str = "doc_id", text: str = "text",
     bound_batches(spark)
     docs = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(docs, n))
-    prints = saved(docs.mapInArrow(_printer(n, percent, levels), "id long, n long, sig_a long, sig_b long, common long, keys array<long>, sketch binary"), "prints")
+    prints = saved(docs.mapInArrow(_printer(n, percent, levels), "id long, n long, sig_a long, sig_b long, common long, keys array<long>, sketch binary, brief binary"), "prints")
     real = prints.where("n > 0 and id is not null")
     # saved, so that adaptive execution can split a class that very many rows are in
     classes = real.groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").drop("last")
@@ -354,7 +365,7 @@ def jaccard_groups(documents: DataFrame, id: str = "doc_id", text: str = "text",
     hub = F.max(F.struct("common", (-F.col("id")).alias("id")))
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), hub.alias("hub")).where("lo < hi").select("key", (-F.col("hub.id")).alias("b"))
     held = saved(keyed.select("key", "id").join(shared.hint("merge"), "key").distinct(), "held")
-    sizes = saved(reps.select("id", "n", "sig_a", "sketch").join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "sizes")
+    sizes = saved(reps.select("id", "n", "sig_a", "sketch", "brief").join(held.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "sizes")
     segments = docs.join(small_or_shuffled(sizes.select("id", "sig_a")), "id").select("id", "sig_a", "text").mapInArrow(_segments(n), "id long, part int, hashes array<long>")
     segments = saved(segments, "segments")
     dropped(prints)
