@@ -26,6 +26,31 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Spans of a kind: matches stand between the pieces that they split the text into, so lengths give places, in code points.
+OP1_SQL = r"""
+WITH kinds(place, kind, pattern, least) AS (VALUES
+  (1, 'assign', '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 8),
+  (2, 'access', 'AKIA[A-Z0-9]+', 16),
+  (3, 'hex', '[0-9a-f]+', 32),
+  (4, 'pem', '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----', 0),
+  (5, 'forge', 'gh[pousr]_[A-Za-z0-9]+', 40)),
+cut AS (
+  SELECT doc_id, place, kind, least, regexp_extract_all(t, pattern) AS m, regexp_split_to_array(t, pattern) AS pieces
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) CROSS JOIN kinds WHERE regexp_matches(t, pattern)),
+each AS (
+  SELECT doc_id, place, kind, least, unnest(m) AS hit, unnest(list_resize(pieces, len(m))) AS piece, generate_subscripts(m, 1) AS i FROM cut),
+placed AS (
+  SELECT doc_id, place, kind, least, hit, sum(length(piece) + length(hit)) OVER (PARTITION BY doc_id, place ORDER BY i) AS stop FROM each),
+spans AS (
+  SELECT doc_id, place, kind, stop - length(hit) AS start, stop FROM placed
+  WHERE length(CASE kind WHEN 'assign' THEN regexp_extract(hit, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1) ELSE hit END) >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place) FILTER (place <= 3), '')) AS base_sha256,
+       coalesce(string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place) FILTER (place IS NOT NULL), '') AS spans
+FROM documents d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 #: (host, path, verdict)
 URL_RULES = [("com", "en/", "block"), ("example.com", "en/7", "allow"), ("net", "de/", "allow"), ("example.net", "de/8", "block"), ("org", "es/", "block")]
 
@@ -53,6 +78,28 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+# Sets as sorted lists of shingles, one of each class; pairs that share a shingle, counted; ids reachable over links.
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])) END AS s
+  FROM words),
+classes AS MATERIALIZED (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+held AS (SELECT rep, n, unnest(s) AS g FROM classes),
+shared AS (
+  SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS c FROM held a JOIN held b ON a.g = b.g AND a.rep < b.rep
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * c >= 90 * (na + nb - c)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+comps AS (SELECT a AS rep, least(a, min(b)) AS comp FROM reach GROUP BY a)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(rep, doc_id) AS class_id, coalesce(comp, rep, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN comps USING (rep)
+"""
+
+
 def op4_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vp_search.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -108,4 +155,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL}
+    return {"op1_secret_scan": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_ngram_join": OP3_SQL}
