@@ -103,11 +103,36 @@ def kinship_by_individual(pairs: DataFrame) -> DataFrame:
     return long.groupBy("frame", "sample_idx").agg(F.avg("kinship").alias("mean_kinship"), F.max("kinship").alias("max_kinship"))
 
 
+def at_quantiles(values: DataFrame, value: str, points: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """(by, q, x): exact quantiles, interpolated between neighbours, nulls apart; no row where there are no values.
+
+    All values are sorted over the cluster by ranges; a row's rank is its place in its partition behind the sizes of those before, so no
+    task holds a group, and what is kept are two rows a quantile. Needs a checkpoint folder."""
+    by = by or []
+    rows = values.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    rows = rows.repartitionByRange(*by, "_x").sortWithinPartitions(*by, "_x").withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_id", 33)
+    sizes = rows.groupBy(*by, part.alias("_part")).agg(F.count("*").alias("_rows"), F.min("_id").alias("_first"))  # a row a group and partition
+    group = W.partitionBy(*(by or [F.lit(1)]))
+    sizes = sizes.withColumn("_n", F.sum("_rows").over(group)).withColumn("_before", F.sum("_rows").over(group.orderBy("_part")) - F.col("_rows"))
+    wanted = sizes.withColumn("_q", F.explode(F.array(*map(F.lit, points)))).withColumn("_at", F.col("_q") * (F.col("_n") - 1))
+    wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
+    wanted = wanted.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_rows")))
+    wanted = wanted.select("_q", "_at", "_rank", *by, (F.col("_first") + F.col("_rank") - F.col("_before")).alias("_id"))
+    found = rows.select("_id", "_x").join(wanted, "_id")
+    share = F.when(F.col("_rank") == F.col("_at"), 1.0).otherwise(1 - F.abs(F.col("_rank") - F.col("_at")))
+    return found.groupBy(*by, F.col("_q").alias("q")).agg(F.sum(share * F.col("_x")).alias("x"))
+
+
 def null_percentiles(values: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Exact percentiles 5, 50, 95, 99 and 99.9, and the largest."""
     points = (0.05, 0.5, 0.95, 0.99, 0.999)
-    aggregates = [F.count(value).alias("n"), *[F.percentile(value, q).alias("p" + f"{q * 100:g}".replace(".", "_")) for q in points], F.max(value).alias("most")]
-    return values.groupBy(*by).agg(*aggregates) if by else values.agg(*aggregates)
+    by = by or []
+    sides = values.groupBy(*by).agg(F.count(value).alias("n"), F.max(value).alias("most"))
+    names = {q: "p" + f"{q * 100:g}".replace(".", "_") for q in points}
+    wide = at_quantiles(values, value, points, by).groupBy(*by).agg(*[F.max(F.when(F.col("q") == q, F.col("x"))).alias(name) for q, name in names.items()])
+    both = sides.join(wide, by, "left") if by else sides.crossJoin(F.broadcast(wide))  # without groups, of one row each
+    return both.select(*by, "n", *names.values(), "most")
 
 
 def against_null(focal: DataFrame, null: DataFrame, value: str) -> DataFrame:
@@ -116,7 +141,8 @@ def against_null(focal: DataFrame, null: DataFrame, value: str) -> DataFrame:
     mean = focal.agg(F.avg(value)).scalar()
     by_draw = null.groupBy("draw").agg(F.avg(value).alias("x"))
     p = by_draw.agg(F.avg((F.round("x", 9) >= F.round(mean, 9)).cast("int"))).scalar()
-    p95, p99, centre = (null.agg(a).scalar() for a in (F.percentile(value, 0.95), F.percentile(value, 0.99), F.avg(value)))
+    ends = null_percentiles(null, value)
+    p95, p99, centre = ends.select("p95").scalar(), ends.select("p99").scalar(), null.agg(F.avg(value)).scalar()
     x = F.round(F.col(value), 9)
     return focal.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.count_if(x > F.round(p95, 9)).alias("n_above_p95"), F.count_if(x > F.round(p99, 9)).alias("n_above_p99")).withColumns({"null_mean": centre, "p": p})
 

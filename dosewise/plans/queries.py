@@ -285,6 +285,7 @@ def kinship_individual(spark, sf_dir):
 @query
 def empirical_null(spark, sf_dir):
     p = panel(spark, sf_dir)
+    checkpointed(spark)
     return individual.null_percentiles(individual.kinship_pairs(p.geno, *own_frame(p)).where(F.col("frame") != FOCAL), "kinship")
 
 
@@ -303,6 +304,7 @@ def matched_n_null(spark, sf_dir):
     picks, stats = draw_stats(p, N_FOCAL)
     members = picks.select("sample_idx", F.col("draw").alias("frame"))
     frame = individual.frame_of(stats, "draw")
+    checkpointed(spark)
     pairs = individual.kinship_pairs(p.geno, members, frame)
     f = individual.individual_f(p.geno, members, frame)
     names = lambda df, v, kind: df.select(F.substring_index("frame", ":", 1).alias("population"), F.lit(kind).alias("measure"), F.col(v).alias("x"))
@@ -460,7 +462,10 @@ def checkpointed(spark: SparkSession) -> None:
     import tempfile
 
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="dosewise-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="dosewise-"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,6 +525,7 @@ def focal_kinship_null(spark, sf_dir):
     members = picks.select("sample_idx", F.col("draw").alias("frame"))
     frame = individual.frame_of(locus_stats(p.geno, picks, p.loci, "draw", stored=True), "draw")
     null = individual.kinship_pairs(p.geno, members, frame).select(F.col("frame").alias("draw"), "kinship")
+    checkpointed(spark)
     return individual.against_null(focal, null, "kinship")
 
 
