@@ -114,9 +114,9 @@ class Texts:
     def __init__(self, first: int, offsets: np.ndarray, buf: np.ndarray):
         self.first, self.offsets, self.buf, self.n = first, offsets, buf, len(offsets) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of all words (runs without space or \\t-\\r), and where each text's words begin."""
-        space = _SPACE[self.buf]
+    def words(self, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all words (runs without space or \\t-\\r, or without the bytes marked in `between`), and where each text's words begin."""
+        space = between[self.buf]
         cuts = self.offsets[(self.offsets > 0) & (self.offsets < len(self.buf))]
         before, after = np.ones(len(space), bool), np.ones(len(space), bool)
         before[1:], after[:-1] = space[:-1], space[1:]
@@ -158,6 +158,26 @@ def word_counts(texts: pa.Array) -> pa.Array:
     return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
 
 
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[buf]
+
+
+def marked(chars: bytes) -> np.ndarray:
+    """A table of all bytes that is true at those given."""
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+def spans_text(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, per_row: int = 1) -> pa.Array:
+    """A string a row from the bytes of per_row spans each, one behind the other."""
+    sizes = ends - starts
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    data = buf[np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(starts) // per_row, [None, pa.py_buffer(at[::per_row].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
+
+
 def listed(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and n + 1 offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))

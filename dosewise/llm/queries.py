@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, secret_scan, token_counts, url_filter, vp_search
+from dosewise.llm import decontaminate, impact_search, language_id, license_scan, line_dedup, mixing, ngram_join, phrases, secret_scan, token_counts, url_filter, vp_search
 from dosewise.llm.common import shared_dir
 
 
@@ -139,6 +139,59 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), F.col("predicted.lang").alias("lang_pred"), F.col("predicted.score").alias("score"))
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH held AS (
+  SELECT doc_id, w, len(w)::BIGINT AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL)
+  WHERE len(w) > 0),
+sizes AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM held),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+counts AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM held) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, sizes GROUP BY term, docs),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term), sizes GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM words
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM words),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+found AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, size, phrase, a, w, k, array_to_string(w[:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM found)),
+scored AS (
+  SELECT c.lang, c.size, c.phrase, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f * y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first AND x.size = c.k JOIN f y ON y.lang = c.lang AND y.phrase = c.rest AND y.size = c.size - c.k),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, phrase, max(a) AS held
+  FROM (SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM found WHERE size = 3 UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM found WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ i ON i.lang = best.lang AND i.phrase = best.phrase AND best.size = 2 WHERE held IS NULL OR 100 * held < 50 * a)
+SELECT kept.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))::INTEGER AS rank FROM kept) kept JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -151,8 +204,10 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_license_scan": op9_license_scan,
         "op10_language_id": op10_language_id,
+        "op11_impact_search": op11_impact_search,
+        "op13_phrases": op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_ngram_join": OP3_SQL}
+    return {"op1_secret_scan": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_ngram_join": OP3_SQL, "op11_impact_search": OP11_SQL, "op13_phrases": OP13_SQL}

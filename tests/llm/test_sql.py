@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dosewise.llm import queries
 
-TABLES = ("documents", "pages")
+TABLES = ("documents", "pages", "benchmark")
 SQL = queries.oracle_sql()
 
 
