@@ -18,7 +18,7 @@ from dosewise.llm.common import bound_batches, hash_filter, lowered, marked, may
 PIECE = marked(b".,;:!?\n\v\f\r")
 BETWEEN = PIECE | marked(b" \t")
 #: Words of one suffix array; a longer text is in one by itself.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Rows of phrases in one Arrow batch.
 BATCH_ROWS = 1 << 16
 #: Parts in which a language's phrases are ranked before the best of them are ranked together.
@@ -138,9 +138,10 @@ def _counter(length: int, bits, most: int):
                 n = np.bincount(shard.lang, minlength=len(names))
                 yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(names), pa.string()), pa.array(np.zeros(len(names), np.int64)), pa.array(n.astype(np.int64))], ["lang", "phrase", "hash", "f"])
             places, f = shard.counted(length, None if bits is None else bits.value)
+            hashes = shard.hashes(length)[places].view(np.int64)
             for a in range(0, len(places), BATCH_ROWS):
                 at = places[a : a + BATCH_ROWS]
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(shard.lang[at])), shard.texts(at, length), pa.array(shard.hashes(length)[at].view(np.int64)), pa.array(f[a : a + BATCH_ROWS])], ["lang", "phrase", "hash", "f"])
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(shard.lang[at])), shard.texts(at, length), pa.array(hashes[a : a + BATCH_ROWS]), pa.array(f[a : a + BATCH_ROWS])], ["lang", "phrase", "hash", "f"])
 
     return count
 
@@ -158,7 +159,8 @@ def frequent(documents: DataFrame, most_words: int, least: int, text: str = "tex
     out, bits = [], None
     for length in range(1, most_words + 1):
         rows = docs.mapInArrow(_counter(length, bits, shard_words), "lang string, phrase string, hash long, f long")
-        merged = rows.groupBy("lang", "phrase").agg(F.first("hash").alias("hash"), F.sum("f").alias("f"))
+        # shards have added up already: a second time before the shuffle would find little
+        merged = rows.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.first("hash").alias("hash"), F.sum("f").alias("f"))
         out.append(saved(merged.where(F.col("phrase").isNull() | (F.col("f") >= least)), f"phrases-{length}"))
         if length < most_words:
             bits = spark.sparkContext.broadcast(hash_filter(out[-1].where("phrase is not null")))

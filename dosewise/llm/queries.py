@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosewise.llm import decontaminate, impact_search, language_id, license_scan, line_dedup, mixing, ngram_join, phrases, secret_scan, token_counts, url_filter, vp_search
+from dosewise.llm import decontaminate, impact_search, katz, language_id, license_scan, line_dedup, mixing, ngram_join, phrases, secret_scan, token_counts, url_filter, vp_search
 from dosewise.llm.common import shared_dir
 
 
@@ -161,6 +161,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 """
 
 
+def op12_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -205,6 +209,7 @@ def queries() -> dict:
         "op9_license_scan": op9_license_scan,
         "op10_language_id": op10_language_id,
         "op11_impact_search": op11_impact_search,
+        "op12_katz_score": op12_katz_score,
         "op13_phrases": op13_phrases,
     }
 
