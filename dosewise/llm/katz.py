@@ -32,7 +32,7 @@ END, START = np.uint64(1), np.uint64(2)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 BODY = "shard long, ids array<long>, held array<boolean>, sizes array<int>, words array<int>, vocabulary array<long>"
-REQUEST = "bucket long, shard long, spread boolean, contexts array<long>, runs array<int>, keys array<long>, learned array<int>, low array<double>"
+REQUEST = "bucket long, shard long, spread boolean, contexts array<long>, runs array<int>, keys array<long>, learned array<int>, below array<double>, lower array<short>"
 ANSWER = "shard long, bucket long, spread boolean, counts array<long>, contexts array<long>, m array<int>, low array<double>, totals array<long>"
 
 
@@ -87,21 +87,32 @@ class Level:
         self.first = self.at[first[order]]
         self.run = np.flatnonzero(np.diff(self.contexts, prepend=~self.contexts[:1]).astype(bool) | np.diff(self.spread, prepend=False).astype(bool) | np.diff(self.bucket, prepend=0).astype(bool) | (np.arange(len(order)) == 0))
 
-    def requests(self, shard: int, low: np.ndarray) -> pa.Table:
-        """A row for each bucket, and one more for its spread contexts."""
+    def requests(self, shard: Shard) -> pa.Table:
+        """A row for each bucket, and one more for its spread contexts. Of the level below go the n-gram's count, and what its context divides it by."""
         block = np.flatnonzero((np.diff(self.bucket.astype(np.int64), prepend=-1) != 0) | (np.diff(self.spread.astype(np.int8), prepend=-1) != 0))
         ends = np.append(block, len(self.keys))
         runs = np.diff(np.append(self.run, len(self.keys)))
         at = np.searchsorted(self.run, ends)
+        lower, below = shard.count_below[self.first], shard.divisor_below[self.first[self.run]]
         return pa.table(
             {
-                "bucket": pa.array(self.bucket[block].astype(np.int64)), "shard": pa.array(np.full(len(block), shard)), "spread": pa.array(self.spread[block]),
+                "bucket": pa.array(self.bucket[block].astype(np.int64)), "shard": pa.array(np.full(len(block), shard.number)), "spread": pa.array(self.spread[block]),
                 "contexts": listed(self.contexts[self.run].view(np.int64), at, pa.int64()), "runs": listed(runs.astype(np.int32), at, pa.int32()),
-                "keys": listed(self.keys.view(np.int64), ends, pa.int64()), "learned": listed(self.learned.astype(np.int32), ends, pa.int32()), "low": listed(low[self.first], ends, pa.float64()),
+                "keys": listed(self.keys.view(np.int64), ends, pa.int64()), "learned": listed(self.learned.astype(np.int32), ends, pa.int32()), "below": listed(below, at, pa.float64()),
+                "lower": listed(np.concatenate([planes(lower[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]), 4 * ends, pa.int16()),
             }
         )
 
 
+def planes(counts: np.ndarray) -> np.ndarray:
+    """The counts' 16-bit parts, all lowest first: the higher ones are nearly all 0, and shuffle files take no room for them."""
+    return counts.astype("<i8").view("<i2").reshape(-1, 4).T.ravel()
+
+
+def unplaned(parts: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(parts.reshape(4, -1).T).view("<i8").ravel()
+
+
 class Shard:
     """A shard's tokens with, level by level, their n-grams, counts and probabilities."""
 
@@ -120,10 +131,12 @@ class Shard:
         self.learned = ~self.held[self.doc]
         self.key, self.context = self.token, np.zeros(len(self.doc), np.uint64)
         self.count, self.context_count = np.zeros(len(self.doc), np.int64), np.zeros(len(self.doc), np.int64)
-        self.p = np.ones(len(self.doc))
+        self.p, self.divisor = np.ones(len(self.doc)), np.ones(len(self.doc))
+        self.count_below, self.divisor_below = self.count, self.divisor
 
     def longer(self) -> None:
         """From n-grams to those of one token more; what stands before a text's first token is START."""
+        self.count_below, self.divisor_below = self.count, self.divisor
         counts = np.roll(self.count, 1)
         counts[self.place == 0] = self.ends_learned
         context = np.roll(self.key, 1)
@@ -140,6 +153,7 @@ class Shard:
         if length == 1:
             self.known, self.ends_learned = counts > 0, int(counts[np.flatnonzero(self.token == END)[0]])
             self.base_count = counts
+            self.divisor = np.full(len(counts), float(model.all_tokens))
             self.p = np.where(counts > 0, discounted(counts, discounts) / model.all_tokens, model.unknown)
             return
         # what each context has: seen n-grams of each low count, and their probability one level below
@@ -161,6 +175,8 @@ class Shard:
         seen_context, c = self.context_count[at], counts[at]
         spare = (m * (1 - discounts) * np.arange(1, DISCOUNTED + 1)).sum(axis=1)[context]
         all_ = np.maximum(seen_context + (spare == 0), 1)  # a context that no discount leaves anything holds one unseen token more
+        self.divisor = np.ones(len(self.doc))
+        self.divisor[at] = all_
         backed = np.maximum(np.where(spare == 0, 1, spare), 0) / all_ / np.maximum(1 - low[context], np.finfo(float).tiny)
         self.p[at] = np.where(seen_context == 0, self.p[at], np.where(c > 0, discounted(c, discounts) / all_, backed * self.p[at]))
 
@@ -211,9 +227,9 @@ class Model:
         return self
 
 
-def _merge(length: int):
+def _merge(length: int, below: np.ndarray | None):
     """Adds up what a bucket's shards learned, and answers each: whole counts, and for contexts that are wholly in this bucket how many n-grams
-    occur once, twice and so on and what probability the level below gives to all; of spread contexts a row each for Spark to add up."""
+    occur once, twice and so on and what probability the level below gives to all; of spread contexts a row each for Spark to add up. below: the discounts of that level."""
 
     def merge(asked: pa.Table) -> pa.Table:
         column = lambda c: asked[c].combine_chunks().flatten().to_numpy()
@@ -226,7 +242,11 @@ def _merge(length: int):
         context = np.repeat(of_run, column("runs"))[first]
         seen = counts > 0
         m = np.bincount(context[seen & (counts <= DISCOUNTED)] * DISCOUNTED + counts[seen & (counts <= DISCOUNTED)] - 1, minlength=len(contexts) * DISCOUNTED).reshape(-1, DISCOUNTED)
-        low = np.bincount(context[seen], column("low")[first][seen], len(contexts))
+        low = np.zeros(len(contexts))
+        if length > 1:
+            lower = np.concatenate([unplaned(x.values.to_numpy()) for x in asked["lower"]])
+            p = discounted(lower[first], below) / np.repeat(column("below"), column("runs"))[first]
+            low = np.bincount(context[seen], p[seen], len(contexts))
         at, run_at = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(runs)))
         spread = asked["spread"].to_numpy(zero_copy_only=False).astype(bool)
         # contexts' numbers go back with the rows whose contexts are wholly here
@@ -297,7 +317,7 @@ def scored(documents: DataFrame, held_out, order: int = ORDER, id: str = "doc_id
             asked = bodies.mapInArrow(lambda batches, work=work: _each(batches, work), REQUEST)
         else:
             asked = _with_answers(bodies, levels, work, REQUEST)
-        levels.append(saved(asked.groupBy("bucket").applyInArrow(_merge(length), ANSWER), f"katz-{length}"))
+        levels.append(saved(asked.groupBy("bucket").applyInArrow(_merge(length, model.discounts[-1] if model.discounts else None), ANSWER), f"katz-{length}"))
         model.learn(_totals(levels[-1]))
     out = saved(_with_answers(bodies, levels, _asker(order + 1, model, 1, 0), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "katz-scores")
     spark.sql(f"DROP TABLE {name}")
@@ -333,7 +353,7 @@ def _asker(length: int, model: Model, buckets: int, common: int):
             return shard.scores(model_at)
         if length > 1:
             shard.longer()
-        return Level(shard, length, *sizes[length - 1]).requests(shard.number, shard.p)
+        return Level(shard, length, *sizes[length - 1]).requests(shard)
 
     model_at = Model(model.tokens, model.types)
     model_at.discounts, model_at.all_tokens, model_at.unknown = discounts, model.all_tokens, model.unknown
