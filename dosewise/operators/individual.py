@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dosewise.functions.expressions import ratio
+from dosewise.operators import gram
 from dosewise.operators.frequency import polymorphic
 from dosewise.operators.resample import weighted_sums
 
@@ -30,7 +31,8 @@ def smlh(ho: DataFrame) -> DataFrame:
     return ho.select("sample_idx", "ho").withColumn("smlh", ratio("ho", mean))
 
 
-def _terms() -> dict:
+def f_terms() -> dict:
+    """What a dose adds to each estimator, and what dose 0 adds, as columns of p, n and dose."""
     p, g = F.col("p"), F.col("dose")
     pq2 = 2 * p * (1 - p)
     return {
@@ -44,7 +46,7 @@ def individual_f(geno: DataFrame, samples: DataFrame, frame: DataFrame) -> DataF
 
     Each estimator is the frame's sum for an all-zero genotype, plus differences at stored cells, less what missing calls would have added.
     """
-    t = _terms()
+    t = f_terms()
     zero = frame.groupBy("frame").agg(F.count("*").alias("loci"), *[F.sum(t[k]).alias(k) for k in ("uni0", "grm0", "hom0")])
     members = samples.select("sample_idx", "frame")
     cells = geno.join(members, "sample_idx").join(frame, ["frame", "locus_idx"])
@@ -59,7 +61,7 @@ def individual_f(geno: DataFrame, samples: DataFrame, frame: DataFrame) -> DataF
 
 def f_uni_bootstrap(geno: DataFrame, samples: DataFrame, frame: DataFrame, weights: DataFrame, reps: int, alpha: float = 0.05) -> DataFrame:
     """(frame, sample_idx, lo, hi) of F_UNI over replicates of loci; weights as bootstrap_weights gives them."""
-    t = _terms()
+    t = f_terms()
     zero = weighted_sums(frame, weights, [t["uni0"], F.lit(1)], ["frame"], reps).select("frame", "rep", F.col("s0").alias("z"), F.col("s1").alias("m"))
     members = samples.select("sample_idx", "frame")
     cells = geno.join(members, "sample_idx").join(frame, ["frame", "locus_idx"])
@@ -74,20 +76,17 @@ def kinship_pairs(geno: DataFrame, samples: DataFrame, frame: DataFrame) -> Data
     """(frame, sample_i, sample_j, kinship, n_loci) of all pairs i < j within a frame.
 
     With doses standardised by the frame's frequencies the products of a pair are a constant of the frame, less a term of each sample, plus
-    products at loci where both have a stored cell; a missing call counts as the mean. The pairs themselves are the result, so their
-    number is the square of a frame's size.
+    products at loci where both have a stored cell; a missing call counts as the mean. Products are summed by tiles of samples and blocks of
+    loci, so a locus that everybody carries costs no more than another. The pairs themselves are the result, so their number is the square
+    of a frame's size. A sample is in a frame once. Needs a checkpoint folder.
     """
-    zero = frame.groupBy("frame").agg(F.count("*").alias("loci"), F.sum(2 * F.col("p") / (1 - F.col("p"))).alias("c"))
-    members = samples.select("sample_idx", "frame")
-    cells = geno.join(members, "sample_idx").join(frame, ["frame", "locus_idx"]).select("frame", "locus_idx", "sample_idx", "p", F.coalesce(F.col("dose"), 2 * F.col("p")).alias("g"))
-    own = cells.groupBy("frame", "sample_idx").agg(F.sum(F.col("g") / (1 - F.col("p"))).alias("a"))
-    x, y = (cells.select("frame", "locus_idx", F.col("sample_idx").alias(f"sample_{s}"), F.col("g").alias(f"g{s}"), F.col("p").alias(f"p{s}")) for s in "ij")
-    both = x.join(y, ["frame", "locus_idx"]).where("sample_i < sample_j")
-    both = both.groupBy("frame", "sample_i", "sample_j").agg(F.sum(F.col("gi") * F.col("gj") / (2 * F.col("pi") * (1 - F.col("pi")))).alias("s"))
-    left = members.join(own, ["frame", "sample_idx"], "left").fillna(0.0, ["a"])
-    i, j = (left.select("frame", F.col("sample_idx").alias(f"sample_{s}"), F.col("a").alias(f"a{s}")) for s in "ij")
-    pairs = i.join(j, "frame").where("sample_i < sample_j").join(both, ["frame", "sample_i", "sample_j"], "left").join(zero, "frame")
-    return pairs.select("frame", "sample_i", "sample_j", ratio(F.col("c") - F.col("ai") - F.col("aj") + F.coalesce("s", F.lit(0.0)), "loci").alias("kinship"), F.col("loci").alias("n_loci"))
+    zero = frame.groupBy(F.col("frame").cast("string").alias("frame")).agg(F.count("*").alias("loci"), F.sum(2 * F.col("p") / (1 - F.col("p"))).alias("c"))
+    members = gram.placed(samples)
+    cells = geno.join(samples.select("sample_idx", "frame"), "sample_idx").join(frame, ["frame", "locus_idx"]).select("frame", "locus_idx", "sample_idx", "p", F.coalesce(F.col("dose"), 2 * F.col("p")).alias("g"))
+    own = cells.groupBy(F.col("frame").cast("string").alias("frame"), "sample_idx").agg(F.sum(F.col("g") / (1 - F.col("p"))).alias("a"))
+    x = F.col("g") / F.sqrt(2 * F.col("p") * (1 - F.col("p")))
+    sums = gram.tiles(cells.select("frame", "sample_idx", "locus_idx", x.alias("x")), members)
+    return gram.centred_pairs(sums, members, own, zero)
 
 
 def kinship_summary(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosewise.functions.expressions import chi2_tail
-from dosewise.operators import checks, differentiation, diversity, geometry, individual, ordination, quality, resample, sensitivity, spectrum, tables
+from dosewise.operators import checks, differentiation, diversity, geometry, individual, ordination, quality, resample, sensitivity, spectrum, streams, tables
 from dosewise.operators.frequency import genotype_counts, locus_stats, polymorphic, whole
 from dosewise.sources import sinks
 from dosewise.sources.star import Panel, panel, table
@@ -267,18 +267,21 @@ def individual_f_bootstrap(spark, sf_dir):
 @query
 def kinship_pairs(spark, sf_dir):
     p = panel(spark, sf_dir)
+    checkpointed(spark)
     return individual.kinship_pairs(p.geno, *own_frame(p))
 
 
 @query
 def kinship_summary(spark, sf_dir):
     p = panel(spark, sf_dir)
+    checkpointed(spark)
     return individual.kinship_summary(individual.kinship_pairs(p.geno, *own_frame(p)))
 
 
 @query
 def kinship_individual(spark, sf_dir):
     p = panel(spark, sf_dir)
+    checkpointed(spark)
     return individual.kinship_by_individual(individual.kinship_pairs(p.geno, *own_frame(p)))
 
 
@@ -289,19 +292,58 @@ def empirical_null(spark, sf_dir):
     return individual.null_percentiles(individual.kinship_pairs(p.geno, *own_frame(p)).where(F.col("frame") != FOCAL), "kinship")
 
 
+# ---------------------------------------------------------------- intervals from numpy's stream, as published
+
+
+@query
+def fis_interval(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    checkpointed(spark)
+    return streams.ratio_interval(stats_of(p), p.loci, F.col("b"), F.col("b") + F.col("c"), ["population"], REPS)
+
+
+@query
+def fst_interval(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    checkpointed(spark)
+    parts = differentiation.with_components(differentiation.locus_pairs(stats_of(p)))
+    return streams.ratio_interval(parts, p.loci, F.col("a"), F.col("a") + F.col("b") + F.col("c"), ["population_i", "population_j"], REPS)
+
+
+@query
+def individual_f_interval(spark, sf_dir):
+    """Against each sample's own population, and against all but the focal one together, whose stream has the next seed."""
+    p = panel(spark, sf_dir)
+    checkpointed(spark)
+    own, pooled = (streams.f_uni_interval(p.geno, *frame, F_REPS, seed) for frame, seed in ((own_frame(p), streams.SEED), (pooled_frame(p), streams.SEED + 1)))
+    return own.withColumn("against", F.lit("own")).union(pooled.withColumn("against", F.lit("pooled")))
+
+
 # ---------------------------------------------------------------- draws of equal size
 
 
-def draw_stats(p: Panel, k: int) -> tuple[DataFrame, DataFrame]:
-    picks = resample.drawn(resample.draws(p.samples, k, DRAWS))
+def draw_stats(p: Panel, k: int, chosen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Draws of k samples with their statistics; `chosen` in place of those by hash."""
+    picks = resample.drawn(resample.draws(p.samples, k, DRAWS) if chosen is None else chosen)
     stats = locus_stats(p.geno, picks, p.loci, "draw", stored=True)
     return picks, stats.withColumn("population", F.substring_index("draw", ":", 1))
 
 
 @query
 def matched_n_null(spark, sf_dir):
+    return null_of(spark, panel(spark, sf_dir))
+
+
+@query
+def matched_n_null_published(spark, sf_dir):
+    """The null of the draws that one numpy generator gives population after population."""
     p = panel(spark, sf_dir)
-    picks, stats = draw_stats(p, N_FOCAL)
+    checkpointed(spark)
+    return null_of(spark, p, streams.choices(p.samples, [N_FOCAL], DRAWS, order="pop_ord").drop("level"))
+
+
+def null_of(spark: SparkSession, p: Panel, chosen: DataFrame | None = None) -> DataFrame:
+    picks, stats = draw_stats(p, N_FOCAL, chosen)
     members = picks.select("sample_idx", F.col("draw").alias("frame"))
     frame = individual.frame_of(stats, "draw")
     checkpointed(spark)
@@ -313,13 +355,24 @@ def matched_n_null(spark, sf_dir):
 
 @query
 def rarefaction(spark, sf_dir):
-    """Means and deviations over draws at each level, and the mean of polymorphic loci in per cent of the whole group's."""
+    return rarefied(panel(spark, sf_dir))
+
+
+@query
+def rarefaction_published(spark, sf_dir):
+    """The draws of one numpy generator, population after population and level after level."""
     p = panel(spark, sf_dir)
+    checkpointed(spark)
+    return rarefied(p, streams.choices(p.samples, list(LEVELS), DRAWS, order="pop_ord").checkpoint())
+
+
+def rarefied(p: Panel, chosen: DataFrame | None = None) -> DataFrame:
+    """Means and deviations over draws at each level, and the mean of polymorphic loci in per cent of the whole group's."""
     full = spectrum.spectrum_summary(stats_of(p)).select("population", F.col("n_polymorphic").alias("full"))
     measures = ("ho", "he_unbiased", "fis_wc", "n_polymorphic", "ar")
     parts = []
     for k in LEVELS:
-        picks, stats = draw_stats(p, k)
+        picks, stats = draw_stats(p, k, None if chosen is None else chosen.where(F.col("level") == k).drop("level"))
         values = resample.draw_summary(stats.drop("population"), picks, p.loci, k).groupBy("population").agg(*[f(m).alias(f"{m}_{n}") for m in measures for f, n in ((F.avg, "mean"), (F.stddev_samp, "sd"))])
         parts.append(values.withColumn("level", F.lit(k)))
     out = parts[0]
@@ -438,7 +491,7 @@ def old_vs_new(spark, sf_dir):
 
 
 def scored(p: Panel) -> tuple[DataFrame, list[float]]:
-    return ordination.pca(p.geno, p.samples, joint(p), k=4, spare=4, rounds=8)
+    return ordination.pca(p.geno, p.samples, joint(p), k=4)
 
 
 @query
