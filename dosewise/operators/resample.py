@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from dosewise.functions.expressions import hashed, rarefied_richness, ratio
 from dosewise.operators.frequency import folded, polymorphic
+from dosewise.operators.gram import numbered
 
 SEED = 42
 
 
 def dense_index(df: DataFrame, key: str) -> DataFrame:
-    """(key, ord): keys numbered from 0 in order, by a distributed sort and the sizes of its partitions."""
-    keys = df.select(F.col(key).cast("long")).distinct().orderBy(key)
-    numbered = keys.rdd.map(lambda r: r[0]).zipWithIndex()
-    return df.sparkSession.createDataFrame(numbered, f"{key} long, ord long")
+    """(key, ord): keys numbered from 0 in order."""
+    return numbered(df.select(F.col(key).cast("long")).distinct(), key)
 
 
 def bootstrap_weights(loci: DataFrame, reps: int, seed: int = SEED) -> DataFrame:

@@ -80,6 +80,7 @@ def fis_jackknife(spark, sf_dir):
 @query
 def fis_bootstrap(spark, sf_dir):
     p = panel(spark, sf_dir)
+    checkpointed(spark)
     weights = resample.bootstrap_weights(p.loci, REPS)
     return resample.bootstrap_ratio(stats_of(p), weights, F.col("b"), F.col("b") + F.col("c"), ["population"], REPS)
 
@@ -220,6 +221,7 @@ def fst_focal_summary(spark, sf_dir):
 @query
 def fst_bootstrap(spark, sf_dir):
     p = panel(spark, sf_dir)
+    checkpointed(spark)
     parts = differentiation.with_components(differentiation.locus_pairs(stats_of(p)))
     return resample.bootstrap_ratio(parts, resample.bootstrap_weights(p.loci, REPS), F.col("a"), F.col("a") + F.col("b") + F.col("c"), ["population_i", "population_j"], REPS)
 
@@ -252,6 +254,18 @@ def individual_f_own(spark, sf_dir):
     return individual.individual_f(p.geno, *own_frame(p))
 
 
+@query
+def points_in_shapes(spark, sf_dir):
+    """How many points of every label lie within the ring of each: all of a label's points, in the order of their angles around its centre."""
+    checkpointed(spark)
+    some = points(spark, sf_dir).where("x is not null and y is not null and label is not null")
+    centre = some.groupBy("label").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    turned = some.join(centre, "label").withColumn("angle", F.round(F.atan2(F.col("y") - F.col("my"), F.col("x") - F.col("mx")), 9))
+    edges = geometry.ring_edges(turned, "label", ["angle", "vec_id"])
+    inside = geometry.points_in_shapes(some, edges, "vec_id", cell=0.05)
+    return inside.join(some.select("vec_id", "label"), "vec_id").groupBy("shape", "label").agg(F.count("*").alias("n_inside"))
+
+
 @query
 def individual_f_pooled(spark, sf_dir):
     p = panel(spark, sf_dir)
@@ -261,6 +275,7 @@ def individual_f_pooled(spark, sf_dir):
 @query
 def individual_f_bootstrap(spark, sf_dir):
     p = panel(spark, sf_dir)
+    checkpointed(spark)
     return individual.f_uni_bootstrap(p.geno, *own_frame(p), resample.bootstrap_weights(p.loci, F_REPS), F_REPS)
 
 

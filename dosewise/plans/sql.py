@@ -270,4 +270,9 @@ SQL |= {
     "score_ranges": made([LOCI], "SELECT CASE WHEN grouping(refseq) = 1 THEN 'total' ELSE refseq END AS refseq, count(rep_score) AS n, min(rep_score) AS least, max(rep_score) AS most, avg(rep_score) AS mean FROM loci GROUP BY ROLLUP (refseq)", "refseq n:i least:d most:d mean:d"),
     "point_override": made([], "SELECT CASE WHEN c_custkey = 1 THEN 'MOVED' ELSE trim(c_mktsegment) END AS segment, count(*) AS n FROM customer GROUP BY 1", "segment n:i"),
     "widest_distance": made([XY], "SELECT max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS most FROM pts a CROSS JOIN pts b", "most:d"),
+    "points_in_shapes": made([
+        XY, "turned AS (SELECT p.*, round(atan2(y - my, x - mx), 9) AS angle FROM pts p JOIN (SELECT label, avg(x) AS mx, avg(y) AS my FROM pts GROUP BY 1) USING (label))",
+        "sides AS (SELECT label AS shape, x AS xa, y AS ya, coalesce(lead(x) OVER o, first_value(x) OVER o) AS xb, coalesce(lead(y) OVER o, first_value(y) OVER o) AS yb FROM turned WINDOW o AS (PARTITION BY label ORDER BY angle, vec_id))",
+        "held AS (SELECT vec_id, label, shape FROM pts JOIN sides ON (ya > y) <> (yb > y) AND x < (xb - xa) * (y - ya) / nullif(yb - ya, 0) + xa GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)",
+    ], "SELECT shape, label, count(*) AS n_inside FROM held GROUP BY 1, 2", "shape:i label:i n_inside:i"),
 }
