@@ -28,12 +28,14 @@ SHARD_TOKENS = 1 << 20
 #: Requests in a bucket, about. A context that was learned more often than a quarter of that is spread over the buckets by n-gram.
 BUCKET_ROWS = 1 << 20
 
-END, START = np.uint64(1), np.uint64(2)
+#: The hash of the end of a text, and the number of its start as a context.
+END, START = np.uint64(1), 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 BODY = "shard long, ids array<long>, held array<boolean>, sizes array<int>, words array<int>, vocabulary array<long>"
-REQUEST = "bucket long, shard long, spread boolean, contexts array<long>, runs array<int>, keys array<long>, learned array<int>, below array<double>, lower array<short>"
-ANSWER = "shard long, bucket long, spread boolean, counts array<long>, contexts array<long>, m array<int>, low array<double>, totals array<long>"
+# Numbers are sent as planes() of 16 bits each.
+REQUEST = "bucket long, shard long, spread boolean, contexts array<short>, runs array<int>, needed array<boolean>, below array<double>, keys array<short>, learned array<int>, lower array<short>"
+ANSWER = "shard long, bucket long, spread boolean, counts array<short>, grams array<short>, flags array<byte>, contexts array<long>, m array<int>, low array<double>, totals array<long>"
 
 
 # ---------------------------------------------------------------- shards
@@ -67,52 +69,69 @@ def _bodies(most: int):
     return form
 
 
+def planes(numbers: np.ndarray) -> np.ndarray:
+    """The numbers' 16-bit parts, all lowest first: the higher ones are nearly all 0, and shuffle files take no room for them."""
+    return numbers.astype("<i8").view("<i2").reshape(-1, 4).T.ravel()
+
+
+def unplaned(rows: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of all rows, one behind the other."""
+    parts = [np.ascontiguousarray(x.values.to_numpy().reshape(4, -1).T).view("<i8").ravel() for x in rows if x.is_valid]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def sliced(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """planes() of each stretch between ends as a list."""
+    return listed(np.concatenate([planes(numbers[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)] or [np.zeros(0, np.int16)]), 4 * ends, pa.int16())
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each different pair, its number at every place, a's own numbering): pairs are compared whole."""
+    of_a, of_b = (np.unique(x, return_inverse=True)[1] for x in (a, b))
+    _, first, inverse = np.unique(of_a << 32 | of_b, return_index=True, return_inverse=True)
+    return first, inverse, of_a
+
+
 class Level:
-    """The n-grams of one length in a shard, each once, in the order in which requests leave and answers return."""
+    """The n-grams of one length in a shard whose context was learned, each once, in the order in which requests leave and answers return."""
 
     def __init__(self, shard: Shard, length: int, buckets: int, common: int):
-        self.at = np.flatnonzero(shard.place >= length - 2)
-        key, context, learned = shard.key[self.at], shard.context[self.at], shard.learned[self.at]
-        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        context, spread = context[first], shard.context_count[self.at][first] > common
+        self.at = np.flatnonzero((shard.place >= length - 2) & ((shard.context_count > 0) | (length == 1)))
+        key, context = shard.key[self.at], shard.context[self.at]
+        first, inverse, _ = paired(context, key)
+        key, context, spread = key[first], context[first], shard.context_count[self.at][first] > common
+        both = mix(context.view(np.uint64) * _STEP + key.view(np.uint64))
         if length == 1:
-            spread = np.ones(len(unique), bool)
-        bucket = np.where(spread, unique, context) % np.uint64(buckets)
-        order = np.lexsort((unique, context, spread, bucket))
+            spread = np.ones(len(first), bool)
+        bucket = (np.where(spread, both, mix(context.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((key, context, spread, bucket))
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.of = back[inverse]  # the n-gram of each token
-        self.keys, self.contexts, self.spread, self.bucket = unique[order], context[order], spread[order], bucket[order]
-        self.learned = np.bincount(self.of[learned], minlength=len(order))
+        self.keys, self.contexts, self.spread, self.bucket = key[order], context[order], spread[order], bucket[order]
+        self.learned = np.bincount(self.of[shard.learned[self.at]], minlength=len(order))
         self.first = self.at[first[order]]
-        self.run = np.flatnonzero(np.diff(self.contexts, prepend=~self.contexts[:1]).astype(bool) | np.diff(self.spread, prepend=False).astype(bool) | np.diff(self.bucket, prepend=0).astype(bool) | (np.arange(len(order)) == 0))
+        new = lambda x: np.diff(x.astype(np.int64), prepend=x[:1].astype(np.int64) - 1) != 0
+        block = new(self.bucket) | new(self.spread)
+        self.block, self.run = np.flatnonzero(block), np.flatnonzero(block | new(self.contexts))
+        self.run_of = np.repeat(np.arange(len(self.run)), np.diff(np.append(self.run, len(order))))
+        #: Contexts of held-out tokens: only there an n-gram can be new.
+        self.needed = np.bincount(self.run_of[self.of[~shard.learned[self.at]]], minlength=len(self.run)) > 0
 
     def requests(self, shard: Shard) -> pa.Table:
         """A row for each bucket, and one more for its spread contexts. Of the level below go the n-gram's count, and what its context divides it by."""
-        block = np.flatnonzero((np.diff(self.bucket.astype(np.int64), prepend=-1) != 0) | (np.diff(self.spread.astype(np.int8), prepend=-1) != 0))
-        ends = np.append(block, len(self.keys))
-        runs = np.diff(np.append(self.run, len(self.keys)))
+        ends = np.append(self.block, len(self.keys))
         at = np.searchsorted(self.run, ends)
-        lower, below = shard.count_below[self.first], shard.divisor_below[self.first[self.run]]
         return pa.table(
             {
-                "bucket": pa.array(self.bucket[block].astype(np.int64)), "shard": pa.array(np.full(len(block), shard.number)), "spread": pa.array(self.spread[block]),
-                "contexts": listed(self.contexts[self.run].view(np.int64), at, pa.int64()), "runs": listed(runs.astype(np.int32), at, pa.int32()),
-                "keys": listed(self.keys.view(np.int64), ends, pa.int64()), "learned": listed(self.learned.astype(np.int32), ends, pa.int32()), "below": listed(below, at, pa.float64()),
-                "lower": listed(np.concatenate([planes(lower[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]), 4 * ends, pa.int16()),
+                "bucket": pa.array(self.bucket[self.block]), "shard": pa.array(np.full(len(self.block), shard.number)), "spread": pa.array(self.spread[self.block]),
+                "contexts": sliced(self.contexts[self.run], at), "runs": listed(np.diff(np.append(self.run, len(self.keys))).astype(np.int32), at, pa.int32()),
+                "needed": listed(self.needed, at, pa.bool_()), "below": listed(shard.divisor_below[self.first[self.run]], at, pa.float64()),
+                "keys": sliced(self.keys, ends), "learned": listed(self.learned.astype(np.int32), ends, pa.int32()), "lower": sliced(shard.count_below[self.first], ends),
             }
         )
 
 
-def planes(counts: np.ndarray) -> np.ndarray:
-    """The counts' 16-bit parts, all lowest first: the higher ones are nearly all 0, and shuffle files take no room for them."""
-    return counts.astype("<i8").view("<i2").reshape(-1, 4).T.ravel()
-
-
-def unplaned(parts: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(parts.reshape(4, -1).T).view("<i8").ravel()
-
-
 class Shard:
     """A shard's tokens with, level by level, their n-grams, counts and probabilities."""
 
@@ -129,7 +148,9 @@ class Shard:
         words[ends - 1] = False
         self.token[words] = column("vocabulary").to_numpy().view(np.uint64)[column("words").to_numpy()]
         self.learned = ~self.held[self.doc]
-        self.key, self.context = self.token, np.zeros(len(self.doc), np.uint64)
+        # numbers of the n-grams that end at each token: hashes of words at first, then as the level below has numbered them; 0 is none that was learned
+        self.key, self.context = self.token.view(np.int64), np.zeros(len(self.doc), np.int64)
+        self.gram = self.key
         self.count, self.context_count = np.zeros(len(self.doc), np.int64), np.zeros(len(self.doc), np.int64)
         self.p, self.divisor = np.ones(len(self.doc)), np.ones(len(self.doc))
         self.count_below, self.divisor_below = self.count, self.divisor
@@ -137,48 +158,54 @@ class Shard:
     def longer(self) -> None:
         """From n-grams to those of one token more; what stands before a text's first token is START."""
         self.count_below, self.divisor_below = self.count, self.divisor
-        counts = np.roll(self.count, 1)
+        counts, context = np.roll(self.count, 1), np.roll(self.gram, 1)
         counts[self.place == 0] = self.ends_learned
-        context = np.roll(self.key, 1)
         context[self.place == 0] = START
-        self.context, self.context_count, self.key = context, counts, mix(context * _STEP + self.token)
+        self.context, self.context_count, self.key = context, counts, self.word
 
     def answered(self, level: Level, length: int, model: Model, answers: pa.Table) -> None:
         """Counts and probabilities of this level, from the buckets' answers."""
         told = answers.filter(pa.compute.is_valid(answers["counts"])).sort_by([("bucket", "ascending"), ("spread", "ascending")])
-        counts = np.zeros(len(self.doc), np.int64)
-        counts[level.at] = told["counts"].combine_chunks().flatten().to_numpy()[level.of]
-        self.count = counts
+        counts, gram = np.zeros(len(self.doc), np.int64), np.zeros(len(self.doc), np.int64)
+        counts[level.at] = unplaned(told["counts"])[level.of]
+        if len(grams := unplaned(told["grams"])):
+            gram[level.at] = grams[level.of]
+        self.count, self.gram = counts, gram
         discounts = model.discounts[length - 1]
         if length == 1:
             self.known, self.ends_learned = counts > 0, int(counts[np.flatnonzero(self.token == END)[0]])
-            self.base_count = counts
+            self.base_count, self.word = counts, gram
             self.divisor = np.full(len(counts), float(model.all_tokens))
             self.p = np.where(counts > 0, discounted(counts, discounts) / model.all_tokens, model.unknown)
             return
-        # what each context has: seen n-grams of each low count, and their probability one level below
-        runs, context_of = level.contexts[level.run], np.repeat(np.arange(len(level.run)), np.diff(np.append(level.run, len(level.keys))))
-        m, low = np.zeros((len(runs), DISCOUNTED)), np.zeros(len(runs))
+        # of each context: which low counts its n-grams have; and if it is needed, how many of each, and what probability the level below gives them
+        runs = level.contexts[level.run]
+        m, low, flags = np.zeros((len(runs), DISCOUNTED)), np.zeros(len(runs)), np.zeros(len(runs), np.int64)
         plain = ~level.spread[level.run]
         own = told.filter(pa.compute.invert(told["spread"]))
-        if plain.any():
-            m[plain] = own["m"].combine_chunks().flatten().to_numpy().reshape(-1, DISCOUNTED)
-            low[plain] = own["low"].combine_chunks().flatten().to_numpy()
+        if len(own):
+            flags[plain] = own["flags"].combine_chunks().flatten().to_numpy()
+            m[plain & level.needed] = own["m"].combine_chunks().flatten().to_numpy().reshape(-1, DISCOUNTED)
+            low[plain & level.needed] = own["low"].combine_chunks().flatten().to_numpy()
         wide = answers.filter(pa.compute.is_null(answers["counts"]))
         if len(wide):
-            contexts = wide["contexts"].combine_chunks().flatten().to_numpy().view(np.uint64)
+            contexts = wide["contexts"].combine_chunks().flatten().to_numpy()
             order = np.argsort(contexts)
             place = order[np.searchsorted(contexts[order], runs[~plain])]
             m[~plain] = wide["m"].combine_chunks().flatten().to_numpy().reshape(-1, DISCOUNTED)[place]
             low[~plain] = wide["low"].combine_chunks().flatten().to_numpy()[place]
+            flags[~plain] = (m[~plain] > 0) @ (1 << np.arange(DISCOUNTED))
+        # nothing to spare: no n-gram of the context has a count that is discounted
+        none = (flags & int((discounts < 1) @ (1 << np.arange(DISCOUNTED)))) == 0
+        context_of = level.run_of
         at, context = level.at, context_of[level.of]
         seen_context, c = self.context_count[at], counts[at]
         spare = (m * (1 - discounts) * np.arange(1, DISCOUNTED + 1)).sum(axis=1)[context]
-        all_ = np.maximum(seen_context + (spare == 0), 1)  # a context that no discount leaves anything holds one unseen token more
+        all_ = seen_context + none[context]  # a context that no discount leaves anything holds one unseen token more
         self.divisor = np.ones(len(self.doc))
         self.divisor[at] = all_
-        backed = np.maximum(np.where(spare == 0, 1, spare), 0) / all_ / np.maximum(1 - low[context], np.finfo(float).tiny)
-        self.p[at] = np.where(seen_context == 0, self.p[at], np.where(c > 0, discounted(c, discounts) / all_, backed * self.p[at]))
+        backed = np.where(none[context], 1, spare) / all_ / np.maximum(1 - low[context], np.finfo(float).tiny)
+        self.p[at] = np.where(c > 0, discounted(c, discounts) / all_, backed * self.p[at])
 
     def scores(self, model: Model) -> pa.Table:
         n = len(self.sizes)
@@ -227,51 +254,54 @@ class Model:
         return self
 
 
-def _merge(length: int, below: np.ndarray | None):
-    """Adds up what a bucket's shards learned, and answers each: whole counts, and for contexts that are wholly in this bucket how many n-grams
-    occur once, twice and so on and what probability the level below gives to all; of spread contexts a row each for Spark to add up. below: the discounts of that level."""
+def _merge(length: int, buckets: int, last: bool, below: np.ndarray | None):
+    """Adds up what a bucket's shards learned, and answers each: whole counts, and the numbers by which the next level names n-grams, small ones for frequent
+    n-grams; for contexts that are wholly in this bucket which low counts there are, and where that is needed how many n-grams have each and what probability
+    the level below gives to all; of spread contexts a row each for Spark to add up. below: the discounts of that level."""
 
     def merge(asked: pa.Table) -> pa.Table:
-        column = lambda c: asked[c].combine_chunks().flatten().to_numpy()
-        sizes = pa.compute.list_value_length(asked["keys"]).to_numpy()
-        runs = pa.compute.list_value_length(asked["contexts"]).to_numpy()
-        unique, first, inverse = np.unique(column("keys"), return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, column("learned"), len(unique)).astype(np.int64)
-        every = column("contexts")
+        column = lambda c: asked[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        keys, every, runs = unplaned(asked["keys"]), unplaned(asked["contexts"]), column("runs")
+        first, inverse, _ = paired(np.repeat(every, runs), keys)
+        counts = np.bincount(inverse, column("learned"), len(first)).astype(np.int64)
         contexts, of_run = np.unique(every, return_inverse=True)
-        context = np.repeat(of_run, column("runs"))[first]
-        seen = counts > 0
-        m = np.bincount(context[seen & (counts <= DISCOUNTED)] * DISCOUNTED + counts[seen & (counts <= DISCOUNTED)] - 1, minlength=len(contexts) * DISCOUNTED).reshape(-1, DISCOUNTED)
-        low = np.zeros(len(contexts))
+        context, seen = np.repeat(of_run, runs)[first], counts > 0
+        few = seen & (counts <= DISCOUNTED)
+        m = np.bincount(context[few] * DISCOUNTED + counts[few] - 1, minlength=len(contexts) * DISCOUNTED).reshape(-1, DISCOUNTED)
+        low, grams = np.zeros(len(contexts)), np.zeros(0, np.int64)
         if length > 1:
-            lower = np.concatenate([unplaned(x.values.to_numpy()) for x in asked["lower"]])
-            p = discounted(lower[first], below) / np.repeat(column("below"), column("runs"))[first]
+            p = discounted(unplaned(asked["lower"])[first], below) / np.repeat(column("below"), runs)[first]
             low = np.bincount(context[seen], p[seen], len(contexts))
-        at, run_at = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(runs)))
-        spread = asked["spread"].to_numpy(zero_copy_only=False).astype(bool)
-        # contexts' numbers go back with the rows whose contexts are wholly here
-        back = np.repeat(~spread, runs) if length > 1 else np.zeros(len(of_run), bool)
-        back_at = np.concatenate(([0], np.cumsum(back)))[run_at]
-        asked_wide = np.repeat(spread, runs) if length > 1 else back
-        wide_at = np.concatenate(([0], np.cumsum(asked_wide)))[run_at]
+        at, run_at = (np.concatenate(([0], np.cumsum(pa.compute.list_value_length(asked[c]).to_numpy(zero_copy_only=False) // of))) for c, of in (("keys", 4), ("runs", 1)))
+        if not last:
+            rank = np.empty(len(first), np.int64)
+            rank[np.lexsort((keys[first], -counts))] = np.arange(len(first))
+            grams = np.where(seen, rank * buckets + asked["bucket"][0].as_py() + 2, 0)[inverse]
+        spread = np.repeat(column_of(asked["spread"]), np.diff(run_at)) | (length == 1)
+        wide, own = spread & (length > 1), ~spread
+        needed = own & column("needed").astype(bool)
+        upto = lambda chosen: np.concatenate(([0], np.cumsum(chosen)))[run_at]
+        flags = ((m > 0) @ (1 << np.arange(DISCOUNTED)))[of_run[own]].astype(np.int8)
         out = [
-            pa.table({"shard": asked["shard"], "bucket": asked["bucket"], "spread": asked["spread"], "counts": listed(counts[inverse], at, pa.int64()), "contexts": listed(every[asked_wide], wide_at, pa.int64()),
-                      "m": listed(m[of_run[back]].ravel(), back_at * DISCOUNTED, pa.int32()), "low": listed(low[of_run[back]], back_at, pa.float64()), "totals": pa.nulls(len(asked), pa.list_(pa.int64()))})
+            pa.table({"shard": asked["shard"], "bucket": asked["bucket"], "spread": asked["spread"], "counts": sliced(counts[inverse], at), "grams": sliced(grams, at if len(grams) else at * 0),
+                      "flags": listed(flags, upto(own), pa.int8()), "contexts": listed(every[wide], upto(wide), pa.int64()),
+                      "m": listed(m[of_run[needed]].ravel(), upto(needed) * DISCOUNTED, pa.int32()), "low": listed(low[of_run[needed]], upto(needed), pa.float64()), "totals": pa.nulls(len(asked), pa.list_(pa.int64()))})
         ]
-        wide = np.unique(of_run[asked_wide])
-        n = len(wide)
-        out.append(
-            pa.table({"shard": pa.nulls(n, pa.int64()), "bucket": pa.nulls(n, pa.int64()), "spread": pa.array(np.ones(n, bool)), "counts": pa.nulls(n, pa.list_(pa.int64())), "contexts": listed(contexts[wide], np.arange(n + 1), pa.int64()),
-                      "m": listed(m[wide].ravel(), np.arange(n + 1) * DISCOUNTED, pa.int32()), "low": listed(low[wide], np.arange(n + 1), pa.float64()), "totals": pa.nulls(n, pa.list_(pa.int64()))})
-        )
+        schema, held = out[0].schema, np.unique(of_run[wide])
+        rest = lambda n, **given: pa.table([given[c] if c in given else pa.nulls(n, schema.field(c).type) for c in schema.names], schema=schema)
+        each = np.arange(len(held) + 1)
+        out.append(rest(len(held), contexts=listed(contexts[held], each, pa.int64()), m=listed(m[held].ravel(), each * DISCOUNTED, pa.int32()), low=listed(low[held], each, pa.float64())))
         totals = [int(seen.sum()), int(counts.sum()), *(int(x) for x in np.bincount(counts[seen & (counts <= DISCOUNTED + 1)], minlength=DISCOUNTED + 2)[1:])]
-        schema = out[0].schema
-        out.append(pa.table([pa.array([None], schema.field(c).type) if c != "totals" else pa.array([totals], pa.list_(pa.int64())) for c in schema.names], schema=schema))
-        return pa.concat_tables([x.cast(schema) for x in out])
+        out.append(rest(1, totals=pa.array([totals], pa.list_(pa.int64()))))
+        return pa.concat_tables(out)
 
     return merge
 
 
+def column_of(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(bool)
+
+
 def _totals(answers: DataFrame) -> list[int]:
     """One row: the sums of the buckets' totals."""
     row = answers.where("totals is not null").agg(*[F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in range(DISCOUNTED + 3)]).first()
@@ -284,7 +314,7 @@ def _wide(answers: DataFrame) -> DataFrame:
     sums = parts.groupBy("context").agg(*[F.sum(f"m{i}").cast("int").alias(f"m{i}") for i in range(DISCOUNTED)], F.sum("low").alias("low"))
     asked = answers.where("shard is not null and size(contexts) > 0").select("shard", F.explode("contexts").alias("context")).distinct()
     none = F.lit(None)
-    return asked.join(sums, "context").select("shard", none.cast("long").alias("bucket"), F.lit(True).alias("spread"), none.cast("array<long>").alias("counts"), F.array("context").alias("contexts"), F.array(*[f"m{i}" for i in range(DISCOUNTED)]).alias("m"), F.array("low").alias("low"), none.cast("array<long>").alias("totals"))
+    return asked.join(sums, "context").select("shard", none.cast("long").alias("bucket"), F.lit(True).alias("spread"), none.cast("array<short>").alias("counts"), none.cast("array<short>").alias("grams"), none.cast("array<byte>").alias("flags"), F.array("context").alias("contexts"), F.array(*[f"m{i}" for i in range(DISCOUNTED)]).alias("m"), F.array("low").alias("low"), none.cast("array<long>").alias("totals"))
 
 
 def scored(documents: DataFrame, held_out, order: int = ORDER, id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -317,7 +347,7 @@ def scored(documents: DataFrame, held_out, order: int = ORDER, id: str = "doc_id
             asked = bodies.mapInArrow(lambda batches, work=work: _each(batches, work), REQUEST)
         else:
             asked = _with_answers(bodies, levels, work, REQUEST)
-        levels.append(saved(asked.groupBy("bucket").applyInArrow(_merge(length, model.discounts[-1] if model.discounts else None), ANSWER), f"katz-{length}"))
+        levels.append(saved(asked.groupBy("bucket").applyInArrow(_merge(length, buckets, length == order, model.discounts[-1] if model.discounts else None), ANSWER), f"katz-{length}"))
         model.learn(_totals(levels[-1]))
     out = saved(_with_answers(bodies, levels, _asker(order + 1, model, 1, 0), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "katz-scores")
     spark.sql(f"DROP TABLE {name}")
