@@ -24,9 +24,9 @@ ORDER = 2
 #: Counts up to this one are discounted, if the counts of counts allow it.
 DISCOUNTED = 5
 #: Tokens of a shard; a longer text is one by itself.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 19
 #: Requests in a bucket, about. A context that was learned more often than a quarter of that is spread over the buckets by n-gram.
-BUCKET_ROWS = 1 << 20
+BUCKET_ROWS = 1 << 19
 
 #: The hash of the end of a text, and the number of its start as a context.
 END, START = np.uint64(1), 1
