@@ -25,7 +25,7 @@ ORDER = 2
 DISCOUNTED = 5
 #: Tokens of a shard; a longer text is one by itself.
 SHARD_TOKENS = 1 << 19
-#: Requests in a bucket, about. A context that was learned more often than a quarter of that is spread over the buckets by n-gram.
+#: Requests in a bucket, about. A context that was learned more often than that is spread over the buckets by n-gram.
 BUCKET_ROWS = 1 << 19
 
 #: The hash of the end of a text, and the number of its start as a context.
@@ -85,11 +85,11 @@ def sliced(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
     return listed(np.concatenate([planes(numbers[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)] or [np.zeros(0, np.int16)]), 4 * ends, pa.int16())
 
 
-def paired(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place of each different pair, its number at every place, a's own numbering): pairs are compared whole."""
-    of_a, of_b = (np.unique(x, return_inverse=True)[1] for x in (a, b))
-    _, first, inverse = np.unique(of_a << 32 | of_b, return_index=True, return_inverse=True)
-    return first, inverse, of_a
+def first_places(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the numbers below n, all of which occur, stands first."""
+    out = np.empty(n, np.int64)
+    out[numbers[::-1]] = np.arange(len(numbers) - 1, -1, -1)
+    return out
 
 
 class Level:
@@ -97,16 +97,20 @@ class Level:
 
     def __init__(self, shard: Shard, length: int, buckets: int, common: int):
         self.at = np.flatnonzero((shard.place >= length - 2) & ((shard.context_count > 0) | (length == 1)))
-        key, context = shard.key[self.at], shard.context[self.at]
-        first, inverse, _ = paired(context, key)
-        key, context, spread = key[first], context[first], shard.context_count[self.at][first] > common
-        both = mix(context.view(np.uint64) * _STEP + key.view(np.uint64))
         if length == 1:
-            spread = np.ones(len(first), bool)
+            inverse, n = shard.word_no, int(shard.word_no.max()) + 1
+        else:  # pairs of numbers within the shard, so that no hash stands for a pair
+            unique, inverse = np.unique(shard.context_no[self.at] * (len(shard.doc) + 2) + shard.known_no[self.at], return_inverse=True)
+            n = len(unique)
+        first = first_places(inverse, n)
+        key, context, spread = (x[self.at][first] for x in (shard.key, shard.context, shard.context_count > common))
+        if length == 1:
+            spread = np.ones(n, bool)
+        both = mix(context.view(np.uint64) * _STEP + key.view(np.uint64))
         bucket = (np.where(spread, both, mix(context.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((key, context, spread, bucket))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        order = np.argsort(bucket * 2 + spread, kind="stable")  # within a bucket as the shard numbers them: by context
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
         self.of = back[inverse]  # the n-gram of each token
         self.keys, self.contexts, self.spread, self.bucket = key[order], context[order], spread[order], bucket[order]
         self.learned = np.bincount(self.of[shard.learned[self.at]], minlength=len(order))
@@ -117,6 +121,9 @@ class Level:
         self.run_of = np.repeat(np.arange(len(self.run)), np.diff(np.append(self.run, len(order))))
         #: Contexts of held-out tokens: only there an n-gram can be new.
         self.needed = np.bincount(self.run_of[self.of[~shard.learned[self.at]]], minlength=len(self.run)) > 0
+        wide = np.flatnonzero(self.spread[self.run])  # a spread context is asked for once, whatever the buckets that it is in
+        self.needed[wide] = False
+        self.needed[wide[np.unique(self.contexts[self.run[wide]], return_index=True)[1]]] = True
 
     def requests(self, shard: Shard) -> pa.Table:
         """A row for each bucket, and one more for its spread contexts. Of the level below go the n-gram's count, and what its context divides it by."""
@@ -146,11 +153,14 @@ class Shard:
         self.token = np.full(len(self.doc), END, np.uint64)
         words = np.ones(len(self.doc), bool)
         words[ends - 1] = False
-        self.token[words] = column("vocabulary").to_numpy().view(np.uint64)[column("words").to_numpy()]
+        vocabulary = column("vocabulary").to_numpy().view(np.uint64)
+        self.word_no = np.full(len(self.doc), len(vocabulary))
+        self.word_no[words] = column("words").to_numpy()
+        self.token[words] = vocabulary[self.word_no[words]]
         self.learned = ~self.held[self.doc]
         # numbers of the n-grams that end at each token: hashes of words at first, then as the level below has numbered them; 0 is none that was learned
         self.key, self.context = self.token.view(np.int64), np.zeros(len(self.doc), np.int64)
-        self.gram = self.key
+        self.gram, self.gram_no = self.key, self.word_no
         self.count, self.context_count = np.zeros(len(self.doc), np.int64), np.zeros(len(self.doc), np.int64)
         self.p, self.divisor = np.ones(len(self.doc)), np.ones(len(self.doc))
         self.count_below, self.divisor_below = self.count, self.divisor
@@ -162,6 +172,8 @@ class Shard:
         counts[self.place == 0] = self.ends_learned
         context[self.place == 0] = START
         self.context, self.context_count, self.key = context, counts, self.word
+        self.context_no = np.roll(self.gram_no, 1)
+        self.context_no[self.place == 0] = len(self.doc)
 
     def answered(self, level: Level, length: int, model: Model, answers: pa.Table) -> None:
         """Counts and probabilities of this level, from the buckets' answers."""
@@ -171,10 +183,14 @@ class Shard:
         if len(grams := unplaned(told["grams"])):
             gram[level.at] = grams[level.of]
         self.count, self.gram = counts, gram
+        if length > 1:
+            self.gram_no = np.zeros(len(self.doc), np.int64)
+            self.gram_no[level.at] = level.of
         discounts = model.discounts[length - 1]
         if length == 1:
             self.known, self.ends_learned = counts > 0, int(counts[np.flatnonzero(self.token == END)[0]])
             self.base_count, self.word = counts, gram
+            self.known_no = np.where(counts > 0, self.word_no, len(self.doc))
             self.divisor = np.full(len(counts), float(model.all_tokens))
             self.p = np.where(counts > 0, discounted(counts, discounts) / model.all_tokens, model.unknown)
             return
@@ -262,9 +278,14 @@ def _merge(length: int, buckets: int, last: bool, below: np.ndarray | None):
     def merge(asked: pa.Table) -> pa.Table:
         column = lambda c: asked[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         keys, every, runs = unplaned(asked["keys"]), unplaned(asked["contexts"]), column("runs")
-        first, inverse, _ = paired(np.repeat(every, runs), keys)
-        counts = np.bincount(inverse, column("learned"), len(first)).astype(np.int64)
         contexts, of_run = np.unique(every, return_inverse=True)
+        if len(contexts) > 1:
+            key = keys if keys.max() < 1 << 32 else np.unique(keys, return_inverse=True)[1]
+            unique, inverse = np.unique(np.repeat(of_run, runs) << 32 | key, return_inverse=True)
+        else:
+            unique, inverse = np.unique(keys, return_inverse=True)
+        first = first_places(inverse, len(unique))
+        counts = np.bincount(inverse, column("learned"), len(first)).astype(np.int64)
         context, seen = np.repeat(of_run, runs)[first], counts > 0
         few = seen & (counts <= DISCOUNTED)
         m = np.bincount(context[few] * DISCOUNTED + counts[few] - 1, minlength=len(contexts) * DISCOUNTED).reshape(-1, DISCOUNTED)
@@ -279,12 +300,12 @@ def _merge(length: int, buckets: int, last: bool, below: np.ndarray | None):
             grams = np.where(seen, rank * buckets + asked["bucket"][0].as_py() + 2, 0)[inverse]
         spread = np.repeat(column_of(asked["spread"]), np.diff(run_at)) | (length == 1)
         wide, own = spread & (length > 1), ~spread
-        needed = own & column("needed").astype(bool)
+        needed, asks = own & column("needed").astype(bool), wide & column("needed").astype(bool)
         upto = lambda chosen: np.concatenate(([0], np.cumsum(chosen)))[run_at]
         flags = ((m > 0) @ (1 << np.arange(DISCOUNTED)))[of_run[own]].astype(np.int8)
         out = [
             pa.table({"shard": asked["shard"], "bucket": asked["bucket"], "spread": asked["spread"], "counts": sliced(counts[inverse], at), "grams": sliced(grams, at if len(grams) else at * 0),
-                      "flags": listed(flags, upto(own), pa.int8()), "contexts": listed(every[wide], upto(wide), pa.int64()),
+                      "flags": listed(flags, upto(own), pa.int8()), "contexts": listed(every[asks], upto(asks), pa.int64()),
                       "m": listed(m[of_run[needed]].ravel(), upto(needed) * DISCOUNTED, pa.int32()), "low": listed(low[of_run[needed]], upto(needed), pa.float64()), "totals": pa.nulls(len(asked), pa.list_(pa.int64()))})
         ]
         schema, held = out[0].schema, np.unique(of_run[wide])
@@ -342,7 +363,7 @@ def scored(documents: DataFrame, held_out, order: int = ORDER, id: str = "doc_id
     levels: list[DataFrame] = []
     for length in range(1, order + 1):
         buckets = max(1, -(-(n_words if length == 1 else n_tokens) // bucket_rows))
-        work = _asker(length, model, buckets, bucket_rows // 4)
+        work = _asker(length, model, buckets, bucket_rows)
         if length == 1:
             asked = bodies.mapInArrow(lambda batches, work=work: _each(batches, work), REQUEST)
         else:
