@@ -32,7 +32,8 @@ def test_equals_sql(spark, name, sf):
 @pytest.fixture(scope="module")
 def planted(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("planted"))
-    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").write.parquet(f"{folder}/pages.parquet")
+    for t in ("pages", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
     hex_ = "0123456789abcdef" * 2
     base = " ".join(f"w{i}" for i in range(300))
     texts = [
