@@ -135,6 +135,42 @@ def quality_flags(loci: DataFrame, calls: DataFrame, hwe: DataFrame, least_rep:
     )
 
 
+def cascade_variants(loci: DataFrame, calls: DataFrame, stats: DataFrame, joint: DataFrame, least_rep: float, least_aln: int, call_rates: list[float], group: str = "population", least_size: int = 19, family: float = 0.05) -> DataFrame:
+    """(call_rate, unanchored, hwe_mode, alpha, n_before, n_failed, n_final): the whole cascade for every call rate, with unanchored loci kept or dropped, and the
+    Hardy-Weinberg test by group (two failures of the larger groups remove a locus) or of all samples at once.
+
+    A variant's level is the family's over the loci that its own earlier filters leave, times the groups that are tested; so a first pass counts those, a row a
+    variant comes to the driver, and the second passes on what a locus needs for every level: the second largest of its groups' statistics,
+    and that of all samples. Of a clone one locus stays, with the largest call rate, then rep_score, then the smallest number. A variant without loci has no level.
+    loci are annotated with `class`; calls has call_rate.
+    """
+    spark = loci.sparkSession
+    large = stats.groupBy(group).agg(F.max("n").alias("size")).where(F.col("size") >= least_size).select(group)
+    each = stats.join(large, group, "left_semi").groupBy("locus_idx").agg(F.sort_array(F.collect_list(hwe_chi2()), asc=False).alias("chi"))  # a number a group
+    each = each.select("locus_idx", F.try_element_at("chi", F.lit(2)).alias("second"))
+    base = loci.where((F.nanvl("rep_score", F.lit(None)) >= least_rep) & (F.col("aln_cnt") >= least_aln) & (F.col("class") != "sex"))
+    rows = base.select("locus_idx", "clone_id", "rep_score", "class").join(calls.select("locus_idx", F.col("call_rate").alias("called")), "locus_idx").join(each, "locus_idx", "left").join(joint.select("locus_idx", hwe_chi2().alias("once")), "locus_idx", "left")
+    variant = ["call_rate", "unanchored", "hwe_mode"]
+    variants = F.array(*[F.struct(F.lit(float(c)).alias("call_rate"), F.lit(u).alias("unanchored"), F.lit(m).alias("hwe_mode")) for c in call_rates for u in ("keep", "drop") for m in ("each", "joint")])
+    left = rows.withColumn("v", F.explode(variants)).select("*", *[F.col(f"v.{c}") for c in variant]).drop("v").where((F.col("called") >= F.col("call_rate")) & ((F.col("unanchored") == "keep") | (F.col("class") != "unanchored")))
+    groups = large.count()
+    known = {tuple(r[c] for c in variant): r["n"] for r in left.groupBy(*variant).agg(F.count("*").alias("n")).collect()}  # a row a variant
+    levels = []
+    for c in call_rates:
+        for u in ("keep", "drop"):
+            for m in ("each", "joint"):
+                n = known.get((float(c), u, m), 0)
+                tests = n * (groups if m == "each" else 1)
+                alpha = family / tests if tests else None
+                levels.append((float(c), u, m, alpha, n, chi2_critical(alpha) if alpha else None))
+    levels = F.broadcast(spark.createDataFrame(levels, "call_rate double, unanchored string, hwe_mode string, alpha double, n_before long, critical double"))
+    failed = F.coalesce(F.when(F.col("hwe_mode") == "each", F.col("second")).otherwise(F.col("once")) > F.col("critical"), F.lit(False))
+    tested = left.join(levels.select(*variant, "critical"), variant).withColumn("failed", failed)
+    best = W.partitionBy(*variant, "clone_id", "failed").orderBy(F.desc("called"), F.desc("rep_score"), "locus_idx")
+    counts = tested.withColumn("first", F.row_number().over(best) == 1).groupBy(*variant).agg(F.count_if("failed").alias("n_failed"), F.count_if(~F.col("failed") & F.col("first")).alias("n_final"))
+    return levels.drop("critical").join(counts, variant, "left").fillna(0, ["n_failed", "n_final"])
+
+
 def class_counts(by_batch: DataFrame, by_focal: DataFrame, sets: DataFrame, batches: tuple[str, str]) -> DataFrame:
     """(locus_set, n_loci, eight classes): polymorphism by batch and by focal group over sets of loci that overlap.
 

@@ -647,6 +647,14 @@ def callrate_cascade(spark, sf_dir):
     return every.join(out, "threshold", "left").fillna(0, ["n_loci", "n_polymorphic"])
 
 
+@query
+def cascade_published(spark, sf_dir):
+    """Every variant of the cascade, each with the Hardy-Weinberg level of the loci that its own filters leave."""
+    p = panel(spark, sf_dir)
+    out = quality.cascade_variants(placed(p), genotype_counts(*p), stats_of(p), joint(p), LEAST_REP, LEAST_ALN, CALL_RATES)
+    return out.withColumn("alpha", F.col("alpha") * 1e6)  # in millionths
+
+
 @query
 def hwe_form_shift(spark, sf_dir):
     """Loci left under each form of the Hardy-Weinberg test, and the largest change of a group's expected heterozygosity between them."""

@@ -275,4 +275,15 @@ SQL |= {
         "sides AS (SELECT label AS shape, x AS xa, y AS ya, coalesce(lead(x) OVER o, first_value(x) OVER o) AS xb, coalesce(lead(y) OVER o, first_value(y) OVER o) AS yb FROM turned WINDOW o AS (PARTITION BY label ORDER BY angle, vec_id))",
         "held AS (SELECT vec_id, label, shape FROM pts JOIN sides ON (ya > y) <> (yb > y) AND x < (xb - xa) * (y - ya) / nullif(yb - ya, 0) + xa GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)",
     ], "SELECT shape, label, count(*) AS n_inside FROM held GROUP BY 1, 2", "shape:i label:i n_inside:i"),
+    "cascade_published": made([
+        *POP, WALK, CALLS, JOINT,
+        "large AS (SELECT population FROM st GROUP BY 1 HAVING max(n) >= 19)",
+        f"each AS (SELECT locus_idx, list_sort(list(sqrt({CHI} / 2)), 'DESC')[2] AS x FROM st SEMI JOIN large USING (population) GROUP BY 1)",
+        f"base AS (SELECT l.locus_idx, clone_id, rep_score, w.class, c.call_rate AS called, e.x AS second, o.x AS once FROM loci l JOIN walk w USING (scaffold) JOIN calls c USING (locus_idx) LEFT JOIN each e USING (locus_idx) LEFT JOIN (SELECT locus_idx, sqrt({CHI} / 2) AS x FROM jt) o USING (locus_idx) WHERE rep_score >= {q.LEAST_REP} AND aln_cnt >= {q.LEAST_ALN} AND w.class <> 'sex')",
+        f"variants AS (SELECT c AS call_rate, u AS unanchored, m AS hwe_mode FROM (SELECT unnest({[float(x) for x in q.CALL_RATES]}::DOUBLE[]) AS c), (SELECT unnest(['keep', 'drop']) AS u), (SELECT unnest(['each', 'joint']) AS m))",
+        "rest AS (SELECT v.*, b.locus_idx, clone_id, rep_score, called, CASE hwe_mode WHEN 'each' THEN second ELSE once END AS x FROM variants v JOIN base b ON called >= v.call_rate AND (unanchored = 'keep' OR class <> 'unanchored'))",
+        "sizes AS (SELECT v.call_rate, v.unanchored, v.hwe_mode, count(locus_idx) AS n_before, 0.05::DOUBLE / nullif(count(locus_idx) * CASE v.hwe_mode WHEN 'each' THEN (SELECT count(*) FROM large) ELSE 1 END, 0) AS alpha FROM variants v LEFT JOIN rest r ON r.call_rate = v.call_rate AND r.unanchored = v.unanchored AND r.hwe_mode = v.hwe_mode GROUP BY v.call_rate, v.unanchored, v.hwe_mode)",
+        f"judged AS (SELECT r.*, coalesce(x > 0.5 AND {erfc('x')} < alpha, false) AS failed FROM rest r JOIN sizes s ON r.call_rate = s.call_rate AND r.unanchored = s.unanchored AND r.hwe_mode = s.hwe_mode)",
+        "ranked_ AS (SELECT *, row_number() OVER (PARTITION BY call_rate, unanchored, hwe_mode, clone_id, failed ORDER BY called DESC, rep_score DESC, locus_idx) AS place FROM judged)",
+    ], "SELECT s.call_rate, s.unanchored, s.hwe_mode, s.alpha * 1e6 AS alpha, n_before, count(*) FILTER (failed) AS n_failed, count(*) FILTER (NOT failed AND place = 1) AS n_final FROM sizes s LEFT JOIN ranked_ r ON r.call_rate = s.call_rate AND r.unanchored = s.unanchored AND r.hwe_mode = s.hwe_mode GROUP BY ALL", "call_rate:d unanchored hwe_mode alpha:d n_before:i n_failed:i n_final:i"),
 }
