@@ -158,3 +158,39 @@ def percentile_ranks(values: DataFrame, value: str, focal: Column) -> DataFrame:
     below = steps.withColumn("below", F.coalesce(F.sum("k").over(W.partitionBy(F.lit(1)).orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ranks = below.select(F.col("x").alias("_x"), ratio("below", total).alias("pct_rank"), (total - F.col("below")).alias("n_reaching"))
     return values.where(focal).withColumn("_x", x).join(ranks, "_x", "left").drop("_x")
+
+
+def against_matched(focal: DataFrame, null: DataFrame, value: str) -> DataFrame:
+    """Focal values against all values of the null together, one row: how many are above its 95 % point and its largest, the share of the null that reaches
+    the largest focal value, and how many are above 1/8 and 1/4. Needs a checkpoint folder.
+
+    Values within 1e-9 count as equal. Without a null its columns are null and nothing is above it."""
+    x = F.round(F.col(value), 9)
+    null = null.select(F.col(value), x.alias("_x"))
+    most = focal.agg(F.max(x)).scalar()
+    ends = null_percentiles(null, value).select("n", "p95", "most")
+    sides = null.agg(F.avg(value).alias("null_mean"), F.stddev_samp(value).alias("null_sd"), F.avg((F.col("_x") >= most).cast("int")).alias("p_largest"))
+    p95, largest = ends.select(F.round("p95", 9)).scalar(), ends.select(F.round("most", 9)).scalar()
+    above = lambda c: F.count_if(x > c)
+    out = focal.agg(F.count(value).alias("n_pairs"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("largest"), above(p95).alias("n_above_p95"), above(largest).alias("n_above_null"), above(F.lit(0.125)).alias("n_above_0125"), above(F.lit(0.25)).alias("n_above_025"))
+    return out.withColumns({"null_n": ends.select("n").scalar(), "null_mean": sides.select("null_mean").scalar(), "null_sd": sides.select("null_sd").scalar(), "p_largest": sides.select("p_largest").scalar()})
+
+
+def ranges(values: DataFrame, value: str, focal: str) -> DataFrame:
+    """One row of focal values against all others (focal is a boolean column): both ranges and means, focal values below and above all others, others
+    below the largest focal value, the per cent of others below the focal mean, and the others' 95 % point. Nulls apart; values within 1e-9
+    count as equal. Needs a checkpoint folder."""
+    x, mine = F.round(F.col(value), 9), F.col(focal)
+    both = values.where(x.isNotNull()).select(x.alias("_x"), F.col(value).cast("double").alias("_v"), mine.alias("_f"))
+    side = lambda f, ok: f(F.when(ok, F.col("_v")))
+    own, other = F.col("_f"), ~F.col("_f")
+    s = both.agg(*[side(f, ok).alias(f"{who}_{name}") for who, ok in (("focal", own), ("other", other)) for f, name in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))], F.count_if(other).alias("n_other"))
+    at = s.select(*[F.round(c, 9).alias(c) for c in ("focal_max", "focal_mean", "other_min", "other_max")])
+    bound = {c: at.select(c).scalar() for c in at.columns}
+    counts = both.agg(
+        F.count_if(own & (F.col("_x") < bound["other_min"])).alias("n_below_others"), F.count_if(own & (F.col("_x") > bound["other_max"])).alias("n_above_others"),
+        F.count_if(other & (F.col("_x") < bound["focal_max"])).alias("n_others_below_max"), F.count_if(other & (F.col("_x") < bound["focal_mean"])).alias("_below"),
+    )
+    p95 = at_quantiles(both.where(other), "_v", (0.95,)).agg(F.max("x").alias("other_p95"))
+    out = s.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(p95))  # of one row each
+    return out.withColumn("pct_below_mean", 100 * ratio("_below", "n_other")).drop("_below", "n_other")

@@ -47,3 +47,15 @@ def call_rate_sets(calls: DataFrame, thresholds: list[float]) -> DataFrame:
     rows = calls.select("call_rate", "p", F.explode(levels).alias("threshold"))
     ok = F.col("call_rate") >= F.col("threshold")
     return rows.groupBy("threshold").agg(F.count_if(ok).alias("n_loci"), F.count_if(ok & polymorphic()).alias("n_polymorphic"))
+
+
+def character(joint: DataFrame, sides: DataFrame, sets: DataFrame) -> DataFrame:
+    """(locus_set, ...): of each set (locus_idx, locus_set) the mean and median frequency of the rarer allele among all samples, the per cent of loci
+    below 0.01 and of those that do not vary, their mean expected heterozygosity, and how many and which share vary among the focal samples and
+    the rest (`side`). Loci that nobody is called at count as neither."""
+    maf, p = F.least(F.col("p"), 1 - F.col("p")), F.col("p")
+    pct = lambda ok: 100 * F.avg(ok.cast("int"))
+    all_ = joint.join(sets, "locus_idx").groupBy("locus_set").agg(F.count("*").alias("n_loci"), F.avg(maf).alias("mean_maf"), F.median(maf).alias("median_maf"), pct(maf < 0.01).alias("pct_below_001"), pct((p == 0) | (p == 1)).alias("pct_monomorphic"), F.avg("he_unb").alias("mean_he"))
+    varies = lambda side: F.count_if((F.col("side") == side) & polymorphic())
+    by_side = sides.join(sets, "locus_idx").groupBy("locus_set").agg(varies("focal").alias("n_poly_focal"), varies("rest").alias("n_poly_rest"))
+    return all_.join(by_side, "locus_set").select("*", *[F.try_divide(F.col(f"n_poly_{s}"), F.col("n_loci")).alias(f"prop_poly_{s}") for s in ("focal", "rest")])

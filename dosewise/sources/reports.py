@@ -103,9 +103,3 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
-
-
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, modified, sha256) of every file under a path; files are read by the executors, and can have up to 2 GB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))

@@ -69,3 +69,40 @@ def test_distances_equal_brute_force(spark, cell):
     d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
     assert ordination.nearest_cross(df, cell).first()["least"] == pytest.approx(d[:40, 40:].min(), abs=1e-12)
     assert ordination.widest_pair(df).first()["most"] == pytest.approx(d.max(), abs=1e-12)
+
+
+def _circle(n: int) -> np.ndarray:
+    a = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    return np.column_stack([np.cos(a), np.sin(a)]) * 3 + 100
+
+
+WIDE = {
+    "none": np.zeros((0, 2)), "one": np.array([[2.0, 3.0]]), "two": np.array([[0.0, 0.0], [3.0, 4.0]]), "one place": np.ones((50, 2)), "a line": np.column_stack([np.arange(60.0), 2 * np.arange(60.0)]),
+    "a square": np.array([(x, y) for x in range(8) for y in range(8)], float), "odd circle": _circle(4001), "thin": np.random.default_rng(1).normal(size=(3000, 2)) * [100, 1e-6],
+    "cloud": np.random.default_rng(2).normal(size=(3000, 2)), "far away": np.random.default_rng(3).normal(size=(500, 2)) + 1e7,
+}
+
+
+@pytest.mark.parametrize("name", WIDE)
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_widest_pair_equals_brute_force(spark, name, partitions):
+    checkpointed(spark)
+    xy = WIDE[name]
+    df = spark.createDataFrame([*map(tuple, xy.tolist()), (None, 1.0), (float("nan"), 1.0)], "x double, y double").repartition(partitions)
+    got = ordination.widest_pair(df, sector_points=100).first()["most"]
+    if not len(xy):
+        assert got is None
+    else:
+        want = max(np.hypot(*(xy - p).T).max() for p in xy)
+        assert got == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
+def test_no_sector_of_a_circle_has_all_corners(spark):
+    """As many corners as points: sectors get shares of them, and the work is near linear."""
+    checkpointed(spark)
+    df = spark.range(0, 200_000, numPartitions=8).select((F.cos(F.col("id") * 2 * np.pi / 200_000)).alias("x"), F.sin(F.col("id") * 2 * np.pi / 200_000).alias("y"))
+    corners = df.mapInArrow(ordination._corners, "x double, y double, lo double, hi double").checkpoint()
+    begins = [i * np.pi / 40 for i in range(40)]
+    sizes = [r["count"] for r in corners.mapInArrow(ordination._dealt(begins), "sector int, x double, y double").groupBy("sector").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 2 * 200_000 / 40 + 50
+    assert ordination.widest_pair(df).first()["most"] == pytest.approx(2.0, abs=1e-12)
