@@ -124,3 +124,36 @@ def test_queries_run(spark, tiny):
     rows = QUERIES["rarefaction_published"](spark, tiny).collect()
     assert rows and all(r["ho_mean"] is not None for r in rows)
     assert FOCAL
+
+
+def test_focal_kinship_published_equals_numpy(spark, tiny):
+    """The focal group's pairs against those of numpy's own draws within every other population that has as many samples."""
+    p = panel(spark, tiny)
+    geno = {(r["sample_idx"], r["locus_idx"]): r["dose"] for r in p.geno.collect()}
+    samples = p.samples.select("sample_idx", "population", "pop_ord").collect()
+    loci = sorted(r[0] for r in p.loci.select("locus_idx").collect())
+    names = sorted({(r["pop_ord"], r["population"]) for r in samples})
+
+    def pairs(ids):
+        g = np.array([[geno.get((s, x), 0) for x in loci] for s in ids], dtype=float)  # None, a missing call, is NaN
+        n = np.isfinite(g).sum(0)
+        f = np.nansum(g, 0) / np.where(n > 0, 2 * n, np.nan)
+        use = (f > 0) & (f < 1)
+        z = np.nan_to_num((g[:, use] - 2 * f[use]) / np.sqrt(2 * f[use] * (1 - f[use])))
+        k = z @ z.T / use.sum() if use.any() else np.zeros((0, 0))
+        return k[np.triu_indices(len(ids), 1)] if use.any() else np.zeros(0)
+
+    members = {name: np.array(sorted(r["sample_idx"] for r in samples if r["population"] == name)) for _, name in names}
+    size, rng, null = len(members[FOCAL]), np.random.default_rng(42), []
+    for _, name in names:
+        for _ in range(200 if name != FOCAL and len(members[name]) >= size else 0):
+            null.append(pairs(np.sort(members[name][rng.choice(len(members[name]), size, replace=False)])))
+    mine, null = pairs(members[FOCAL]), np.concatenate(null)
+    want = {
+        "n_pairs": len(mine), "mean": mine.mean(), "least": mine.min(), "largest": mine.max(), "n_above_p95": (mine > np.percentile(null, 95)).sum(), "n_above_null": (mine > null.max()).sum(),
+        "n_above_0125": (mine > 0.125).sum(), "n_above_025": (mine > 0.25).sum(), "null_n": len(null), "null_mean": null.mean(), "null_sd": null.std(ddof=1), "p_largest": (null >= mine.max() - 1e-9).mean(),
+    }
+    got = QUERIES["focal_kinship_published"](spark, tiny).first().asDict()
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=2e-6), k
