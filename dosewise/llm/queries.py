@@ -118,10 +118,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = token_co
     """Every document's tokens in the token files of `documents`: its file's number, its place there, where it begins and its count."""
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     docs = _table(spark, sf_dir, "documents")
-    token_counts.write_token_files(docs, path, tokenizer=tokenizer)
-    found = token_counts.document_tokens(spark, path, pattern="part-*")
-    found = found.withColumn("file_no", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
-    found = found.join(token_counts.places(docs, "doc_id"), ["file_no", "ordinal"])
+    at = token_counts.write_with_places(docs, path, "doc_id", tokenizer=tokenizer)
+    found = token_counts.with_columns(token_counts.document_tokens(spark, path, pattern="part-*"), at)
     return found.select("doc_id", "file_no", "ordinal", "start", "n_tokens", "closed")
 
 

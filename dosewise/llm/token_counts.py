@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
 from collections.abc import Iterator
 
@@ -58,11 +59,44 @@ def write_token_files(documents: DataFrame, path: str, text: str = "text", token
 
 
 def places(documents: DataFrame, *columns: str) -> DataFrame:
-    """(columns, file_no, ordinal): where write_token_files puts each row of the same DataFrame, which must read files in a fixed order, as a scan does."""
+    """(columns, file_no, ordinal): where write_token_files puts each row of the same DataFrame, which must read files in a fixed order, as a scan does.
+
+    Right only if its scan is cut into the same partitions as that of the write, which depends on the executors at that time: see write_with_places."""
     row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     return documents.select(*columns, F.spark_partition_id().alias("file_no"), row.alias("ordinal"))
 
 
+@contextlib.contextmanager
+def _same_splits(spark: SparkSession):
+    """Scans of the same files are cut alike meanwhile, whether executors come or go: the number of partitions that Spark aims at is fixed once."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    if before is None:
+        spark.conf.set(name, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
+def write_with_places(documents: DataFrame, path: str, *columns: str, **options) -> DataFrame:
+    """write_token_files, and the table of places (columns, file_no, ordinal), written in the same go with the same partitions, so that what comes later, such as
+    another parallelism, cannot part them. Options are those of write_token_files."""
+    with _same_splits(documents.sparkSession):
+        write_token_files(documents, path, **options)
+        return saved(places(documents, *columns), "places")
+
+
+def with_columns(found: DataFrame, at: DataFrame) -> DataFrame:
+    """Documents found by document_tokens in files of write_with_places with the columns of their places; a document without a place, or a place
+    without a document, is an error."""
+    found = found.withColumns({"file_no": F.regexp_extract("file", r"part-(\d+)", 1).cast("int"), "_found": F.lit(True)})
+    both = found.join(at.withColumn("_placed", F.lit(True)), ["file_no", "ordinal"], "full")
+    whole = F.when(F.col("_found") & F.col("_placed"), F.lit(True)).otherwise(F.raise_error(F.lit("token files and places do not fit each other")).cast("boolean"))
+    return both.where(whole).drop("_found", "_placed")
+
+
 # ---------------------------------------------------------------- scanning
 
 

@@ -48,3 +48,45 @@ def test_messy(spark, messy, none, tmp_path):
     assert token_counts.document_tokens(spark, f"file://{tmp_path}/a", pattern="part-*").count() == messy.count()
     token_counts.write_token_files(none, f"file://{tmp_path}/b")
     assert token_counts.document_tokens(spark, f"file://{tmp_path}/b", pattern="part-*").count() == 0
+
+
+PARALLELISM = "spark.sql.leafNodeDefaultParallelism"
+
+
+@pytest.fixture
+def parallelism(spark):
+    """Sets how many partitions scans aim at; small files are split."""
+    sizes = {"spark.sql.files.openCostInBytes": "1000"}
+    before = {k: spark.conf.get(k, None) for k in (*sizes, PARALLELISM)}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    yield lambda n: spark.conf.set(PARALLELISM, str(n))
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_doc_ids_whatever_the_parallelism(spark, tmp_path, parallelism):
+    """Another parallelism between writing and counting, and between both and reading the result."""
+    words = [" ".join(["word"] * (i % 13 + 1)) for i in range(300)]
+    spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").repartitionByRange(30, "doc_id").write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    parallelism(3)
+    parts = docs.rdd.getNumPartitions()
+    at = token_counts.write_with_places(docs, f"file://{tmp_path}/tokens", "doc_id")
+    parallelism(30)
+    assert spark.read.parquet(f"file://{tmp_path}/docs").rdd.getNumPartitions() != parts  # the scan would be cut otherwise
+    found = token_counts.with_columns(token_counts.document_tokens(spark, f"file://{tmp_path}/tokens", pattern="part-*"), at)
+    parallelism(7)
+    counts = {r["doc_id"]: r["n_tokens"] for r in found.collect()}
+    one = len(token_counts._encoding(token_counts.TOKENIZER).encode_ordinary("word word")) // 2
+    assert counts == {i: (i % 13 + 1) * one for i in range(300)}
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_places_of_other_files_are_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "some words") for i in range(20)], "doc_id long, text string")
+    at = token_counts.write_with_places(docs, f"file://{tmp_path}/a", "doc_id")
+    token_counts.write_token_files(docs.where("doc_id < 19"), f"file://{tmp_path}/b")
+    found = token_counts.document_tokens(spark, f"file://{tmp_path}/b", pattern="part-*")
+    with pytest.raises(Exception, match="do not fit each other"):
+        token_counts.with_columns(found, at).collect()
