@@ -58,3 +58,19 @@ def old_against_new(new: DataFrame, old: DataFrame, group: str, measures: list[s
     out = new.join(before, group, "left")
     columns = [c for m in measures for c in (F.col(m), F.col(f"{m}_old"), (F.col(m) - F.col(f"{m}_old")).alias(f"{m}_delta"), (100 * (ratio(m, f"{m}_old") - 1)).alias(f"{m}_pct"))]
     return out.select(group, *columns)
+
+
+def published_table(stats: DataFrame, samples: DataFrame, intervals: DataFrame, g: int = 16, group: str = "population") -> DataFrame:
+    """A row a group with its region, sizes, heterozygosities, F_IS with its jackknife error and the interval of `intervals` (group, lo, hi), polymorphism, richness
+    among g genes with its error, and folded frequency. A group whose samples are of several regions has the first by name."""
+    where = samples.where(F.col(group).isNotNull()).groupBy(group).agg(F.min("region").alias("region"), F.count("*").alias("n_samples"))
+    error = fis_jackknife(stats, group).select(group, "fis_jack_se")
+    rich = allelic_richness(stats, g, group).select(group, F.col("ar").alias(f"ar_g{g}"), F.col("ar_se").alias(f"ar_g{g}_se"))
+    ends = intervals.select(group, F.col("lo").alias("fis_boot_lo"), F.col("hi").alias("fis_boot_hi"))
+    out = diversity(stats, group).drop("n")
+    for more in (where, error, rich, ends):  # a row a group each
+        out = out.join(more, group, "left")
+    return out.select(
+        group, "region", F.col("n_samples").alias("n"), "n_loci", "ho", "ho_se", "he_unbiased", "he_se", "he_hw", "fis_wc", "fis_jack_se", "fis_boot_lo", "fis_boot_hi",
+        "n_polymorphic", "prop_polymorphic", f"ar_g{g}", f"ar_g{g}_se", "mean_folded_maf",
+    )

@@ -877,3 +877,23 @@ def individual_ranges(spark, sf_dir):
     checkpointed(spark)
     parts = [individual.ranges(v.join(group, "sample_idx"), "x", "focal").withColumn("measure", F.lit(name)) for name, v in (("ho", ho), ("f_uni", uni))]
     return parts[0].union(parts[1])
+
+
+@query
+def diversity_table(spark, sf_dir):
+    """The whole published row of each population, with intervals over draws by hash."""
+    p = panel(spark, sf_dir)
+    checkpointed(spark)
+    stats = stats_of(p).checkpoint()  # read for each of its figures
+    ends = resample.bootstrap_ratio(stats, resample.bootstrap_weights(p.loci, REPS), F.col("b"), F.col("b") + F.col("c"), ["population"], REPS)
+    return diversity.published_table(stats, p.samples, ends)
+
+
+@query
+def diversity_table_published(spark, sf_dir):
+    """The same with the intervals of numpy's generator."""
+    p = panel(spark, sf_dir)
+    checkpointed(spark)
+    stats = stats_of(p).checkpoint()
+    ends = streams.ratio_interval(stats, p.loci, F.col("b"), F.col("b") + F.col("c"), ["population"], REPS)
+    return diversity.published_table(stats, p.samples, ends)

@@ -329,3 +329,13 @@ SQL |= {
         "SELECT measure, focal_min, focal_max, focal_mean, other_min, other_max, other_mean, other_p95, count(*) FILTER (focal AND x < round(other_min, 9)) AS n_below_others, count(*) FILTER (focal AND x > round(other_max, 9)) AS n_above_others, count(*) FILTER (NOT focal AND x < round(focal_max, 9)) AS n_others_below_max, 100 * count(*) FILTER (NOT focal AND x < round(focal_mean, 9)) / any_value(n_other)::DOUBLE AS pct_below_mean FROM iw JOIN ag USING (measure) GROUP BY ALL",
         "measure focal_min:d focal_max:d focal_mean:d other_min:d other_max:d other_mean:d other_p95:d n_below_others:i n_above_others:i n_others_below_max:i pct_below_mean:d"),
 }
+
+SQL |= {
+    "diversity_table": made([*POP, weights(q.REPS),
+        "wh AS (SELECT population, min(region) AS region, count(*) AS n FROM samples GROUP BY 1)", f"dv AS (SELECT population, {DIVERSITY} FROM st GROUP BY 1)",
+        "jk AS (SELECT population, sqrt((count(theta) - 1) * var_pop(theta)) AS fis_jack_se FROM (SELECT population, (sum(b) OVER w - b) / nullif(sum(b + c) OVER w - b - c, 0) AS theta FROM st WINDOW w AS (PARTITION BY population)) GROUP BY 1)",
+        f"rc AS (SELECT population, avg(a) AS ar_g16, stddev_samp(a) / sqrt(count(a)) AS ar_g16_se FROM (SELECT population, {richness('16')} AS a FROM st) GROUP BY 1)",
+        "bt AS (SELECT population, quantile_cont(t, 0.025) AS fis_boot_lo, quantile_cont(t, 0.975) AS fis_boot_hi FROM (SELECT population, rep, sum(w * b) / nullif(sum(w * (b + c)), 0) AS t FROM st JOIN weights USING (locus_idx) GROUP BY 1, 2) GROUP BY 1)"],
+        "SELECT wh.*, dv.* EXCLUDE (population, n), fis_jack_se, ar_g16, ar_g16_se, fis_boot_lo, fis_boot_hi FROM wh JOIN dv USING (population) LEFT JOIN jk USING (population) LEFT JOIN rc USING (population) LEFT JOIN bt USING (population)",
+        "population region n:i n_loci:i ho:d ho_se:d he_unbiased:d he_se:d he_hw:d fis_wc:d fis_jack_se:d fis_boot_lo:d fis_boot_hi:d n_polymorphic:i prop_polymorphic:d ar_g16:d ar_g16_se:d mean_folded_maf:d"),
+}

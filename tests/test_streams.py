@@ -157,3 +157,13 @@ def test_focal_kinship_published_equals_numpy(spark, tiny):
     assert got.keys() == want.keys()
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=2e-6), k
+
+
+def test_published_table_has_numpys_intervals(spark, tiny):
+    rows = {r["population"]: r.asDict() for r in QUERIES["diversity_table_published"](spark, tiny).collect()}
+    ends = {r["population"]: r for r in QUERIES["fis_interval"](spark, tiny).collect()}
+    plain = {r["population"]: r.asDict() for r in QUERIES["diversity_by_population"](spark, tiny).collect()}
+    assert rows.keys() == ends.keys() == plain.keys() and all(len(r) == 18 for r in rows.values())
+    for name, r in rows.items():
+        assert (r["fis_boot_lo"], r["fis_boot_hi"]) == (ends[name]["lo"], ends[name]["hi"])
+        assert all(r[k] == v for k, v in plain[name].items() if k != "n")
