@@ -1,6 +1,7 @@
 """Line dedup by content-defined chunks and windows of lines: rolling hashes over line hashes set the chunks' boundaries, so that equal passages
 fall into equal chunks wherever they stand, and multi-line chunks that are repeated anywhere are removed after a comparison of bytes. Windows, the
-shortest runs of more than LONG_WORDS words that begin or end at a line, find every longer repeated passage line by line."""
+shortest runs of more than LONG_WORDS words that begin or end at a line, find every longer repeated passage line by line; as they overlap, SHA-256
+digests of their bytes are compared instead of the bytes."""
 
 from __future__ import annotations
 
@@ -43,10 +44,11 @@ class _Lines:
         self.words = np.searchsorted(word_starts, self.ends) - np.searchsorted(word_starts, self.starts)
 
 
-def _windows(t: Texts, at: _Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, bare, hash) of each window of two lines or more: from each line, to it, the shortest run of more than LONG_WORDS words.
+def _windows(t: Texts, at: _Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, last line, hash) of each window of two lines or more: from each line, to it, the shortest run of more than LONG_WORDS words.
 
-    A run of lines with more words is made up of the windows within it, whatever stands around it. bare is the end without the line break.
+    A run of lines with more words is made up of the windows within it, whatever stands around it. A window's far end has words, so that lines
+    without a word stand at one end of it at most.
     """
     n = len(at.ends)
     total, line = np.concatenate(([0], np.cumsum(at.words))), np.arange(n)
@@ -57,8 +59,29 @@ def _windows(t: Texts, at: _Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     b, e = b[ok], e[ok]
     inside = at.doc[b] == at.doc[e]
     b, e = np.divmod(np.unique(b[inside] * n + e[inside]), max(n, 1))
-    row, first = at.doc[b], t.offsets[at.doc[b]]
-    return t.first + row, at.starts[b] - first, at.ends[e] - first, at.bare[e] - first, span_hashes(t.buf, at.starts[b], at.bare[e])
+    return b, e, span_hashes(t.buf, at.starts[b], at.bare[e])
+
+
+def _digests(t: Texts, at: _Lines, b: np.ndarray, e: np.ndarray) -> list[bytes]:
+    """A SHA-256 digest of each window from line b to line e, equal for equal bytes alone.
+
+    What lies between a window's first and last line with words is hashed once; each line without words outside of it is hashed onto the digest
+    of the window that is shorter by that line. So all windows over n such lines together read them once, and other bytes at most some
+    2 * LONG_WORDS times.
+    """
+    worded = np.flatnonzero(at.words)
+    low, high = worded[np.searchsorted(worded, b)], worded[np.searchsorted(worded, e, "right") - 1]
+    out, reached, raw = [b""] * len(b), {}, memoryview(np.ascontiguousarray(t.buf))
+    for k in np.argsort((low - b) + (e - high), kind="stable").tolist():
+        lo, hi, ahead = int(low[k]), int(high[k]), bool(b[k] < low[k])
+        if (lo, hi) not in reached:
+            reached[lo, hi] = hashlib.sha256(raw[at.starts[lo] : at.bare[hi]]).digest()
+        line, digest = reached.get((lo, hi, ahead), (lo if ahead else hi, reached[lo, hi]))
+        for j in range(line - 1, int(b[k]) - 1, -1) if ahead else range(line + 1, int(e[k]) + 1):
+            digest = hashlib.sha256(b"<>"[1 - ahead : 2 - ahead] + digest + raw[at.starts[j] : at.bare[j]]).digest()
+        reached[lo, hi, ahead] = (int(b[k]) if ahead else int(e[k]), digest)
+        out[k] = digest
+    return out
 
 
 def _chunks(t: Texts, at_: _Lines, window: int) -> Iterator[tuple[int, int, int, int, int, bool]]:
@@ -101,14 +124,15 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in steps(batch["text"]):
             at = _Lines(t)
             rows = np.array([(i, a, h) for i, _, a, _, h, ok in _chunks(t, at, WINDOW) if ok], np.int64).reshape(-1, 3)
-            row, start, _, _, hashes = _windows(t, at)
+            first, _, hashes = _windows(t, at)
+            row, start = t.first + at.doc[first], at.starts[first] - t.offsets[at.doc[first]]
             take = pa.array(np.concatenate((rows[:, 0], row)), pa.int64())
             found = [pa.array(np.concatenate((rows[:, 1], start)), pa.int32()), pa.array(np.concatenate((rows[:, 2], hashes.view(np.int64))), pa.int64())]
             yield pa.RecordBatch.from_arrays([batch["id"].take(take), batch["row"].take(take), *found], ["id", "row", "start", "hash"])
 
 
 def _bodies(bits):
-    """Bytes of the removable chunks whose hash may be repeated; of such windows, which overlap, a SHA-256 of the bytes."""
+    """Bytes of the removable chunks whose hash may be repeated; of such windows, which overlap, a digest."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,16 +149,19 @@ def _bodies(bits):
             size = 0
             for t in steps(texts):
                 at, last, raw = _Lines(t), None, b""
-                row, start, stop, bare, hashes = _windows(t, at)
+                lo, hi, hashes = _windows(t, at)
                 may = may_hold(bits.value, hashes)
-                found = zip(*(x[may].tolist() for x in (row, start, stop, bare, hashes.view(np.int64))), strict=True)
-                units = [(i, a, b, b, h, True) for i, _, a, b, h, ok in _chunks(t, at, WINDOW) if ok and may_hold(bits.value, np.uint64(h & (1 << 64) - 1))]
-                for i, a, b, end, h, chunk in sorted(units + [(*x, False) for x in found]):
+                lo, hi, hashes = lo[may], hi[may], hashes[may]
+                first = t.offsets[at.doc[lo]]
+                spans = (t.first + at.doc[lo], at.starts[lo] - first, at.ends[hi] - first, hashes.view(np.int64))
+                found = zip(*(x.tolist() for x in spans), _digests(t, at, lo, hi), strict=True)
+                units = [(i, a, b, h, b"") for i, _, a, b, h, ok in _chunks(t, at, WINDOW) if ok and may_hold(bits.value, np.uint64(h & (1 << 64) - 1))]
+                for i, a, b, h, body in sorted([*units, *found]):
                     if i != last:
                         last, raw = i, texts[i].as_buffer().to_pybytes()
-                    body = raw[a:b].removesuffix(b"\n") if chunk else hashlib.sha256(raw[a:end]).digest()
-                    rows.append((i, a, b, chunk, h, body))
-                    size += len(body) + 40
+                    chunk = not body
+                    rows.append((i, a, b, chunk, h, raw[a:b].removesuffix(b"\n") if chunk else body))
+                    size += len(rows[-1][5]) + 40
                     if size > 1 << 22:
                         yield out()
                         rows, size = [], 0
@@ -192,7 +219,7 @@ def remove_repeated(documents: DataFrame, id: str = "doc_id", text: str = "text"
     further pieces taken from the row.
 
     A chunk of several lines, or a line of more than LONG_WORDS words, that occurs elsewhere, in any row or in its own, stays where id, row and place
-    come first and goes everywhere else, if its bytes (but for a line break at its end) are the same. Chunks are
+    come first and goes everywhere else, if its bytes (but for a line break at its end) are the same; of windows, if their digests are. Chunks are
     cut by content, so a passage inserted before them does not move their bounds. Besides, every line goes that stands in a run of lines with
     more than LONG_WORDS words in all that occurs before; of runs that overlap their own first occurrence only what is behind it goes.
     Nulls stay null and empty texts empty; a text that is all repeats becomes empty; rows equal in id and text are one for
