@@ -72,6 +72,8 @@ UNKNOWN = "unknown"
 #: A template confirms if so much of its word pairs stand in the paragraph.
 COVERAGE = 0.8
 VOCABULARY = 4000
+#: Words that mark a line as a comment; other marks are no words.
+MARKS = r"(?i)^[\s&&[^\n]]*(rem|dnl)[\s&&[^\n]]"
 
 
 def words(text: Column) -> Column:
@@ -142,12 +144,16 @@ def _telling() -> str:
 
 
 def _candidates(rows: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose `text`, as a whole, has COVERAGE of the word pairs of any template: exactly those that a template can confirm."""
+    """The rows whose `text`, as a whole and without marks of comments at its lines, has COVERAGE of the word pairs of any template.
+
+    Marks stand in no template, so a line has no fewer pairs without them, and runs of lines, joined without them, have no others: a text that is
+    left out has no paragraph that a template can confirm.
+    """
     every = [_template_pairs(t) for ts in TEMPLATES.values() for t in ts]
     known = F.array(*map(F.lit, dict.fromkeys(p for tp in every for p in tp)))
     # bound as a lambda's variable, so that the text's pairs are formed once and not for each template
     enough = lambda met: functools.reduce(lambda x, y: x | y, [F.size(F.array_intersect(F.array(*map(F.lit, tp)), met)) >= COVERAGE * len(tp) for tp in every])
-    return rows.where(F.lower(text).rlike(_telling())).where(F.exists(F.array(F.array_intersect(known, pairs(words(F.col(text))))), enough))
+    return rows.where(F.lower(text).rlike(_telling())).where(F.exists(F.array(F.array_intersect(known, pairs(words(F.regexp_replace(text, f"(?dm){MARKS}", ""))))), enough))
 
 
 def _wrapped(rows: DataFrame) -> DataFrame:
@@ -157,7 +163,7 @@ def _wrapped(rows: DataFrame) -> DataFrame:
     """
     longest = max(len(re.findall("[a-z0-9]+", t.lower())) for ts in TEMPLATES.values() for t in ts)
     lines = rows.select("key", "version", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"(?i)^\s*(rem|dnl)\s", "")).withColumn("n", F.size(F.filter(words(F.col("line")), lambda w: w != "")))
+    lines = lines.withColumn("line", F.regexp_replace("line", MARKS, "")).withColumn("n", F.size(F.filter(words(F.col("line")), lambda w: w != "")))
     of = W.partitionBy("key", "version").orderBy("paragraph")
     ahead = of.rowsBetween(0, longest + 1)  # a line has a word at least
     # a run that a template confirms has a telling word in one of its lines
@@ -174,8 +180,8 @@ def license_paragraphs(documents: DataFrame, keys: list[str], text: str = "text"
 
     Paragraphs are lines, counted from 0, and runs of lines without a blank one between them, as notices are wrapped, numbered by their first line;
     of runs only the shortest that hold a notice of a family count, those that overlap as one, and none around a line that holds it alone. Only texts
-    that have COVERAGE of a template in all are cut into paragraphs, for no paragraph of another can have it, and of the paragraphs, too, only those that
-    have it are classified: their n-grams (words and pairs of words) are counted and weighed by the fitted models. A family is reported if it is the likeliest, its probability reaches the calibrated
+    that have COVERAGE of a template in all, with marks of comments (REM, dnl) taken off their lines, are cut into paragraphs, for no paragraph of
+    another can have it, and of the paragraphs, too, only those that have it are classified: their n-grams (words and pairs of words) are counted and weighed by the fitted models. A family is reported if it is the likeliest, its probability reaches the calibrated
     least, and COVERAGE of the word pairs of one of its templates stands in the paragraph.
     Null and empty texts have no paragraphs; rows that are equal in keys and text give one result; an empty table an empty one.
     """

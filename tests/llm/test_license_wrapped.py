@@ -8,10 +8,10 @@ from dosewise.llm import license_scan
 LONG = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts if len(t.split()) > 12]
 
 
-@pytest.mark.parametrize("mark", ["", "# ", " * ", "REM "])
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "REM ", "dnl ", "\trem\t"])
 def test_wrapped_notices(spark, mark):
     rows, want = [], {}
-    for width in (34, 60, 76):
+    for width in (20, 24, 28, 34, 60, 76):
         for family, notice in LONG:
             body = [mark + x for x in textwrap.wrap(notice + ".", width)]
             rows.append((len(rows), "\n".join(["The weather was fine.", mark.rstrip(), *body, mark.rstrip(), "It rained later."])))
@@ -32,3 +32,9 @@ def test_within_other_lines_and_apart(spark):
     assert found == {0: ("mit", 1), 1: ("", 0), 2: ("mit", 2), 3: ("mit", 1), 4: ("mit", 1), 5: ("", 0), 6: ("mit", 2)}
     at = license_scan.license_paragraphs(df.where(F.col("doc_id") == 6), ["doc_id"]).collect()
     assert sorted(r["paragraph"] for r in at) == [0, 4]
+
+
+def test_short_notices_behind_marks_and_line_breaks_of_other_kinds(spark):
+    rows = [(0, "REM Released under\nREM the MIT\nREM License"), (1, "REM Released under\r\nREM the MIT\r\nREM License"), (2, "REM\nReleased under the\nREM MIT License"), (3, "rem Released\nremnants under\nrem the MIT License")]
+    found = {r["doc_id"]: r["licences"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: "mit", 1: "mit", 2: "mit", 3: ""}
