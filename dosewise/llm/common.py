@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextvars
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    if (on_the_way := _ON_THE_WAY.get()) is not None:
+        on_the_way.append(out)
+    return out
+
+
+#: The tables saved within the innermost call of `settled`.
+_ON_THE_WAY: contextvars.ContextVar[list | None] = contextvars.ContextVar("on_the_way", default=None)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """saved(make(), name); the tables that were saved on the way to it are deleted, for nothing else can read them."""
+    token = _ON_THE_WAY.set([])
+    try:
+        out = saved(make(), name)
+        on_the_way = _ON_THE_WAY.get()
+    finally:
+        _ON_THE_WAY.reset(token)
+    dropped(*(t for t in on_the_way if t is not out))
+    if (outer := _ON_THE_WAY.get()) is not None:
+        outer.append(out)
     return out
 
 

@@ -18,6 +18,7 @@ Any order is exact; this one keeps passages and words that many documents share
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.llm.common import bound_batches, connected_components, dropped, listed, mix, saved, small_or_shuffled, steps
+from dosewise.llm.common import bound_batches, connected_components, dropped, listed, mix, saved, settled, small_or_shuffled, steps
 
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 8
@@ -300,14 +301,16 @@ def _open(marked: DataFrame) -> tuple[DataFrame, float, float]:
     keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     keys = saved(keys.select("key", "members"), "open")
     rows, squares = keys.agg(F.sum("members"), F.sum(F.col("members").cast("double") * F.col("members"))).first()
-    return saved(marked.join(small_or_shuffled(keys), "key"), "rest"), rows or 0, squares or 0
+    rest = saved(marked.join(small_or_shuffled(keys), "key"), "rest")
+    dropped(keys)
+    return rest, rows or 0, squares or 0
 
 
 def _hub_links(segments: DataFrame, rest: DataFrame, sizes: DataFrame, percent: int, turn: int) -> DataFrame:
     """Links (a, b) of documents with the nearest hub of their keys; a key's hub is its first document in this turn's order."""
     hubs = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("place"), "id", "comp")).alias("hub"))
     faced = rest.join(small_or_shuffled(saved(hubs, "hubs")), "key").where("comp <> hub.comp").select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
-    return saved(_verified(segments, saved(_nearest(_sketch_filter(faced, sizes, percent)), "faced"), percent), "links")
+    return _verified(segments, saved(_nearest(_sketch_filter(faced, sizes, percent)), "faced"), percent)
 
 
 def _merged(rest: DataFrame, links: DataFrame) -> DataFrame:
@@ -315,7 +318,15 @@ def _merged(rest: DataFrame, links: DataFrame) -> DataFrame:
     named = rest.select("id", "comp").distinct()
     ends = links.join(named.select(F.col("id").alias("a"), F.col("comp").alias("u")), "a").join(named.select(F.col("id").alias("b"), F.col("comp").alias("v")), "b")
     new = connected_components(ends.select("u", "v"), "u", "v").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-    return saved(rest.join(small_or_shuffled(saved(new, "joined")), "comp", "left").select("key", "id", F.coalesce("to", "comp").alias("comp")), "marked")
+    return rest.join(small_or_shuffled(saved(new, "joined")), "comp", "left").select("key", "id", F.coalesce("to", "comp").alias("comp"))
+
+
+def _after(rest: DataFrame, found: DataFrame) -> tuple[DataFrame, float, float]:
+    """`_open` of rest after the links found; rest itself is deleted."""
+    marked = settled(lambda: _merged(rest, found), "marked")
+    after = _open(marked)
+    dropped(rest, marked)
+    return after
 
 
 def _across(rest: DataFrame, sizes: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -372,31 +383,36 @@ def jaccard_groups(documents: DataFrame, id: str = "doc_id", text: str = "text",
 
     stars = held.where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("keys"))
     stars = stars.groupBy("a").agg(F.max(F.struct("keys", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-    links = saved(_verified(segments, saved(_sketch_filter(stars, sizes, percent), "stars"), percent), "links")
+    linked = lambda pairs, name: settled(lambda: _verified(segments, saved(pairs(), name), percent), "links")
+    tables = [linked(lambda: _sketch_filter(stars, sizes, percent), "stars")]
 
-    comps = saved(connected_components(links), "comps")
+    comps = settled(lambda: connected_components(tables[0]), "comps")
     marked = held.select("key", "id").join(small_or_shuffled(comps), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     rest, rows, squares = _open(marked)
+    dropped(held, comps)
     for turn in range(ROUNDS):
         if squares <= SMALL * rows:
             break
-        found, before = _hub_links(segments, rest, sizes, percent, turn), squares
+        found, before = settled(lambda: _hub_links(segments, rest, sizes, percent, turn), "links"), squares  # noqa: B023
         if found.isEmpty():
             break
-        links = links.union(found)
-        rest, rows, squares = _open(_merged(rest, found))
+        tables.append(found)
+        rest, rows, squares = _after(rest, found)
         if squares > PAYS * before:
             break
     while squares > SMALL * rows:
-        found = saved(_verified(segments, saved(_across(rest, sizes, percent, nearest=True), "nearest"), percent), "links")
+        found = linked(lambda: _across(rest, sizes, percent, nearest=True), "nearest")  # noqa: B023
         if found.isEmpty():
             break
-        links = links.union(found)
-        rest, rows, squares = _open(_merged(rest, found))
+        tables.append(found)
+        rest, rows, squares = _after(rest, found)
     if rows:
-        links = links.union(saved(_verified(segments, saved(_across(rest, sizes, percent, nearest=False), "pairs"), percent), "links"))
+        tables.append(linked(lambda: _across(rest, sizes, percent, nearest=False), "pairs"))
+    dropped(segments, sizes, rest)
 
-    comps = connected_components(links.union(same)).select(F.col("id").alias("rep"), "comp")
+    links = functools.reduce(DataFrame.union, tables)
+    comps = connected_components(links.union(same)).select(F.col("id").alias("rep"), "comp")  # saved by its rounds
+    dropped(classes, several, *tables)
     return member.join(comps, "rep", "left").select(
         F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("class_id"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id")).alias("component_id")
     )

@@ -1,10 +1,11 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
-from dosewise.llm import ngram_join, queries
+from dosewise.llm import common, ngram_join, queries
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -105,3 +106,11 @@ def test_unrelated_sets_share_no_candidates_at_80_percent(spark):
 
     keys = Counter(k for s in ngram_join._sets(pa.array([f"{t} {shared}" for t in texts.values()]), 5) for k in ngram_join.prefix(s, levels, 80)[0].tolist())
     assert max(keys.values()) == 1
+
+
+def test_only_what_the_result_reads_stays_on_disk(spark, documents):
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    out = ngram_join.jaccard_groups(documents.select("doc_id", "text"))
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p not in before}
+    assert left <= {"members", "edges", "least", "large"} and out.count() == documents.count()
