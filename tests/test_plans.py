@@ -2,6 +2,7 @@
 
 import re
 
+from dosewise.operators import individual
 from dosewise.plans import queries
 from dosewise.sources.star import panel
 
@@ -29,3 +30,10 @@ def test_the_grid_of_groups_and_loci_is_never_broadcast(spark, tiny):
     plan = explained(queries.stats_of(panel(spark, tiny)))
     assert "Generate explode" in plan
     assert not [x for x in under(plan, "BroadcastExchange") if "Generate explode" in x]
+
+
+def test_ranges_read_their_values_once(spark):
+    values = spark.range(50).selectExpr("id % 7 / 3.0 AS x", "id % 5 = 0 AS focal")
+    got = individual.ranges(values, "x", "focal")
+    assert "Range (" in explained(values) and "Range (" not in explained(got)
+    assert got.first()["focal_max"] == 2.0
