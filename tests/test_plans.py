@@ -37,3 +37,9 @@ def test_ranges_read_their_values_once(spark):
     got = individual.ranges(values, "x", "focal")
     assert "Range (" in explained(values) and "Range (" not in explained(got)
     assert got.first()["focal_max"] == 2.0
+
+
+def test_the_null_reads_genotypes_and_draws_once(spark, tiny, monkeypatch):
+    monkeypatch.setattr(queries, "DRAWS", 2)
+    got = explained(queries.QUERIES["matched_n_null_published"](spark, tiny))
+    assert "FileScan" not in got and "MapInArrow" not in got
