@@ -43,3 +43,10 @@ def test_the_null_reads_genotypes_and_draws_once(spark, tiny, monkeypatch):
     monkeypatch.setattr(queries, "DRAWS", 2)
     got = explained(queries.QUERIES["matched_n_null_published"](spark, tiny))
     assert "FileScan" not in got and "MapInArrow" not in got
+
+
+def test_cells_are_counted_in_parts_that_grow_in_number_with_the_input(spark, tiny, monkeypatch):
+    monkeypatch.setattr(queries, "PART_CELLS", 100)
+    rows = spark.read.parquet(f"{tiny}/lineitem.parquet").count()
+    parts = rows // 100 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {parts}), REPARTITION_BY_NUM" in explained(queries.QUERIES["assertion_ledger"](spark, tiny))
