@@ -1,10 +1,12 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The n-grams of all documents have one global order, rarest first: by their counts in a count sketch of a bounded size, then by hash.
-Any order is exact; this one keeps passages and words that many documents share out of the candidates.
+The n-grams' hashes are cut into parts, and with them each set. All parts of sets of about one size have one global order, rarest first:
+by their number of n-grams, each weighed by its rarity in a count sketch of a bounded size. Any order is exact; this one keeps passages
+and words that many documents share out of the candidates.
 
-1. Candidates. A set that links shares percent of its n-grams at least with its partner, so both hold a common one among the first
-   n - ceil(percent * n) + 1 of their own in the global order. These are a document's keys.
+1. Candidates. Two sets that link differ in so few n-grams that most of their parts are equal: of parts many, all but apart, if apart
+   is the most that they can differ in. So both hold an equal one among the first apart + 1 of their own in the global order. These are a
+   document's keys. A part holds several n-grams, so that texts which share single n-grams by chance have no key in common.
 2. Stars. Each document is held against one partner, that with which it has most keys in common among the hubs of its keys. A key's hub
    is the document whose n-grams are commonest on average: the one that copies were made from, or nearest to it. This joins dense groups
    without their quadratic number of pairs.
@@ -12,7 +14,7 @@ Any order is exact; this one keeps passages and words that many documents share
    nearest, by sketch, of the documents that come first in its open keys by an order drawn anew each round.
 4. Rest. Only keys that are still open are looked at again, across components and in blocks, thinned by a parity sketch whose
    distance never exceeds that of the sets: first the nearest partner of each document, until no round finds a link, then all that remain.
-5. Overlaps. The global order of hashes is cut into fragments, and with it each set; for candidate pairs, the overlap is counted in
+5. Overlaps. The order of hashes is cut into fragments, and with it each set; for candidate pairs, the overlap is counted in
    each fragment separately and summed per pair.
 """
 
@@ -32,6 +34,8 @@ from dosewise.llm.common import bound_batches, connected_components, dropped, li
 FRAGMENTS = 8
 #: log2 of the cells of the count sketch: as many as documents, within these bounds (one byte a cell is sent to all tasks).
 LEAST_CELLS, MOST_CELLS = 18, 22
+#: Parts into which sets of a band are cut, for two n-grams in which the largest of them may differ.
+PARTS = 3
 #: Partners of one document that are verified in one task.
 CELL_ROWS = 2000
 #: Bytes at most of the sketches by which candidate pairs are held against each other first.
@@ -79,11 +83,6 @@ def sketch_bits(size: int) -> int:
     return 1 << max(9, int(4 * size).bit_length())
 
 
-def least_common(n: int, percent: int) -> int:
-    """N-grams that a set of n shares with any partner at least."""
-    return -(-percent * n // 100)
-
-
 def _cells(values: np.ndarray, cells: int) -> np.ndarray:
     return (values & np.uint64(cells - 1)).astype(np.int64)
 
@@ -140,16 +139,40 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
     return (4 * np.log2(np.maximum(total.ravel(), 1))).astype(np.uint8)
 
 
-def prefix(values: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The keys of a set, in no order, and how common its n-grams are on average."""
+@functools.cache
+def _bands(percent: int) -> np.ndarray:
+    """The least sizes of the bands of sizes, so wide that a set and its partners are of two bands at most, but of sets of a few n-grams."""
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(max(least[-1] + 1, 10_000 * least[-1] // percent**2 + 1, 21 * least[-1] // 20 + 1))
+    return np.array(least)
+
+
+def prefix(values: np.ndarray, levels: np.ndarray, percent: int, top: int | None = None) -> tuple[np.ndarray, int]:
+    """The keys of a set, in no order, and how common its n-grams are on average. `top` is the highest level, looked up where it is not given.
+
+    Sets are cut alike only within a band of sizes: a set is cut anew for each band in which a partner as large or larger may be."""
     if not len(values):
         return values, 0
     level = levels[_cells(values, len(levels))]
-    return values[np.argsort(level, kind="stable")[: len(values) - least_common(len(values), percent) + 1]], int(16 * level.mean(dtype=np.float64))
+    rare = np.concatenate(([0], np.cumsum((levels.max() if top is None else top) - level.astype(np.int64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values), dtype=np.uint64)))
+    bands, most, keys = _bands(percent), 100 * len(values) // percent, []
+    for band in range(int(np.searchsorted(bands, len(values), "right")) - 1, int(np.searchsorted(bands, most, "right"))):
+        largest = int(bands[band + 1]) - 1
+        parts = PARTS * most_apart(largest, largest, percent) // 2 + 1
+        of = (values >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        at = np.concatenate(([0], np.cumsum(np.bincount(of.astype(np.int64), minlength=parts))))
+        names = mix(sums[at[1:]] - sums[at[:-1]] + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)))
+        order = np.argsort(rare[at[:-1]] - rare[at[1:]], kind="stable")
+        keys.append(names[order[: most_apart(len(values), min(most, largest), percent) + 1]])
+    return np.concatenate(keys), int(16 * level.mean(dtype=np.float64))
 
 
 def _printer(n: int, percent: int, levels):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = int(levels.value.max())
+
         def out(ids, sizes, high, low, common, keys, sketches):
             at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
             flat = (np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64)
@@ -160,7 +183,7 @@ def _printer(n: int, percent: int, levels):
         for batch in batches:
             rows, start, held = [], 0, 0
             for i, values in enumerate(_sets(batch["text"], n)):
-                keys, common = prefix(values, levels.value, percent)
+                keys, common = prefix(values, levels.value, percent, top)
                 rows.append((len(values), signature(values), signature(values, 0x89ABCDE), common, keys, _sketch(values, sketch_bits(len(values))).tobytes()))
                 held += len(keys)
                 if held > 1 << 19:  # no larger batches than that

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from dosewise.llm import common, ngram_join, queries
@@ -114,3 +115,26 @@ def test_only_what_the_result_reads_stays_on_disk(spark, documents):
     out = ngram_join.jaccard_groups(documents.select("doc_id", "text"))
     left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p not in before}
     assert left <= {"members", "edges", "least", "large"} and out.count() == documents.count()
+
+
+def test_chance_n_grams_make_no_candidates():
+    """Texts of few words share single n-grams, the more the more texts there are, but no keys."""
+    rng = np.random.default_rng(5)
+    grams = ngram_join.mix(np.arange(8000, dtype=np.uint64))
+    sets = [np.sort(rng.choice(grams, 200, replace=False)) for _ in range(600)]
+    counts = np.bincount(ngram_join._cells(np.concatenate(sets), 1 << 18), minlength=1 << 18)
+    levels = (4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+    keys = Counter(k for s in sets for k in ngram_join.prefix(s, levels, 90)[0].tolist())
+    assert sum(c for c in keys.values() if c > 1) < 6
+
+
+@pytest.mark.parametrize("percent", [30, 60, 80, 90, 97, 100])
+def test_sets_that_link_have_a_key_in_common(percent):
+    rng = np.random.default_rng(percent)
+    levels = rng.integers(0, 60, 1 << 18).astype(np.uint8)
+    for _ in range(1500):
+        union = ngram_join.mix(rng.integers(0, 1 << 62, rng.choice([1, 2, 5, 10, 11, 19, 20, 40, 130, 600])).astype(np.uint64))
+        only = (len(union) - -(-percent * len(union) // 100)) * (rng.random() < 0.7)  # as far apart as links go, else equal
+        mine = rng.integers(0, only + 1)
+        a, b = np.sort(np.delete(union, np.arange(mine))), np.sort(np.delete(union, np.arange(mine, only)))
+        assert set(ngram_join.prefix(a, levels, percent)[0].tolist()) & set(ngram_join.prefix(b, levels, percent)[0].tolist())
