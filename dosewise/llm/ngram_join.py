@@ -13,7 +13,8 @@ and words that many documents share out of the candidates.
 3. Hubs. While keys with many documents stay open, that is, hold several components, each document is held against the
    nearest, by sketch, of the documents that come first in its open keys by an order drawn anew each round.
 4. Rest. Only keys that are still open are looked at again, across components and in blocks, thinned by a parity sketch whose
-   distance never exceeds that of the sets: first the nearest partner of each document, until no round finds a link, then all that remain.
+   distance never exceeds that of the sets: first, for keys with many documents, the nearest partner of each, until no round finds a link,
+   then all that remain.
 5. Overlaps. The order of hashes is cut into fragments, and with it each set; for candidate pairs, the overlap is counted in
    each fragment separately and summed per pair.
 """
@@ -353,15 +354,17 @@ def _after(rest: DataFrame, found: DataFrame) -> tuple[DataFrame, float, float]:
 
 
 def _across(rest: DataFrame, sizes: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """(a, b, n_a, n_b) of the pairs across components that share an open key and whose sketches allow a link; of each a all or the nearest."""
-    few = rest.where(F.col("members") <= SMALL).select("key", "id", "comp")
-    pairs = few.alias("x").join(few.alias("y"), "key").where("x.id > y.id and x.comp <> y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = _sketch_filter(pairs, sizes, percent).select("a", "n_a", "b", "n_b", "apart")
+    """(a, b, n_a, n_b) of the pairs across components that share an open key and whose sketches allow a link; with nearest, only those of keys with
+    many documents, of each a the nearest: rounds are repeated to make such keys smaller, while the others are paired once, at the end."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     many = rest.where(F.col("members") > SMALL).join(sizes, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "id", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pairs = pairs.union(many.groupBy("key", "i", "j").applyInArrow(_blocks(percent, nearest), "a long, n_a long, b long, n_b long, apart long"))
-    return _nearest(pairs) if nearest else pairs.select("a", "b", "n_a", "n_b").distinct()
+    pairs = many.groupBy("key", "i", "j").applyInArrow(_blocks(percent, nearest), "a long, n_a long, b long, n_b long, apart long")
+    if nearest:
+        return _nearest(pairs)
+    few = rest.where(F.col("members") <= SMALL).select("key", "id", "comp")
+    close = few.alias("x").join(few.alias("y"), "key").where("x.id > y.id and x.comp <> y.comp").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return pairs.select("a", "b", "n_a", "n_b").union(_sketch_filter(close, sizes, percent).select("a", "b", "n_a", "n_b")).distinct()
 
 
 def jaccard_groups(documents: DataFrame, id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:

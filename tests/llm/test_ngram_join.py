@@ -138,3 +138,13 @@ def test_sets_that_link_have_a_key_in_common(percent):
         mine = rng.integers(0, only + 1)
         a, b = np.sort(np.delete(union, np.arange(mine))), np.sort(np.delete(union, np.arange(mine, only)))
         assert set(ngram_join.prefix(a, levels, percent)[0].tolist()) & set(ngram_join.prefix(b, levels, percent)[0].tolist())
+
+
+def test_rounds_of_nearest_partners_leave_small_keys_to_the_end(spark):
+    """Else every round would pair the documents of all small keys anew."""
+    sketch = bytearray(64)
+    rest = spark.createDataFrame([(1, i, i, 3) for i in range(3)] + [(2, i, i, 20) for i in range(10, 30)], "key long, id long, comp long, members long")
+    sizes = spark.createDataFrame([(i, 40, sketch, sketch) for i in [*range(3), *range(10, 30)]], "id long, n long, sketch binary, brief binary")
+    pairs = {nearest: [(r["a"], r["b"]) for r in ngram_join._across(rest, sizes, 90, nearest).collect()] for nearest in (True, False)}
+    assert sorted(a for a, _ in pairs[True]) == list(range(10, 30)) and all(b >= 10 for _, b in pairs[True])
+    assert sorted(pairs[False]) == sorted((a, b) for few in (range(3), range(10, 30)) for a in few for b in few if a > b)
