@@ -40,7 +40,8 @@ def crosswalk(loci: DataFrame, anchors: DataFrame, sex: list[str], unplaced_pref
     equal ones that seen first by row; a scaffold without anchors is unanchored, with an empty reference.
     """
     scaffolds = loci.where("scaffold <> ''").select("scaffold", "locus_idx")
-    votes = scaffolds.join(anchors.where("refseq <> ''").select("locus_idx", "refseq"), "locus_idx")
+    # anchors grow with the loci: where their columns count as small they would be broadcast
+    votes = scaffolds.join(anchors.where("refseq <> ''").select("locus_idx", "refseq").hint("merge"), "locus_idx")
     votes = votes.groupBy("scaffold", "refseq").agg(F.count("*").alias("votes"), F.min("locus_idx").alias("seen"))
     best = votes.groupBy("scaffold").agg(F.max_by("refseq", F.struct("votes", -F.col("seen"))).alias("refseq_majority"), F.max("votes").alias("most"), F.sum("votes").alias("n_anchor_loci"))
     out = scaffolds.select("scaffold").distinct().join(best, "scaffold", "left")

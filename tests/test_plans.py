@@ -50,3 +50,8 @@ def test_cells_are_counted_in_parts_that_grow_in_number_with_the_input(spark, ti
     rows = spark.read.parquet(f"{tiny}/lineitem.parquet").count()
     parts = rows // 100 + int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert f", {parts}), REPARTITION_BY_NUM" in explained(queries.QUERIES["assertion_ledger"](spark, tiny))
+
+
+def test_anchors_are_not_broadcast_to_place_loci(spark, tiny):
+    below = under(explained(queries.placed(panel(spark, tiny))), "BroadcastExchange")
+    assert all("Aggregate" in x for x in below)  # scaffolds alone
