@@ -31,8 +31,9 @@ def retained_by_rule(loci: DataFrame, earlier: DataFrame) -> DataFrame:
     Both have clone_id, snp and row; of several rows of a clone the first counts.
     """
     now, then = (first_per_key(df, "clone_id", "snp", "row").withColumnRenamed("snp", name) for df, name in ((loci, "now"), (earlier, "then")))
-    kept = now.join(then, "clone_id").where(F.col("now") == F.col("then")).select("clone_id", F.lit("retained").alias("locus_set"))
-    return loci.join(kept, "clone_id", "left").select("locus_idx", F.coalesce("locus_set", F.lit("lost")).alias("locus_set"))
+    # clones grow with the loci: where their columns count as small they would be broadcast
+    kept = now.join(then.hint("merge"), "clone_id").where(F.col("now") == F.col("then")).select("clone_id", F.lit("retained").alias("locus_set"))
+    return loci.join(kept.hint("merge"), "clone_id", "left").select("locus_idx", F.coalesce("locus_set", F.lit("lost")).alias("locus_set"))
 
 
 def inflation(by_set: DataFrame, all_loci: DataFrame, group: str, measures: list[str]) -> DataFrame:

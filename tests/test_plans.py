@@ -55,3 +55,7 @@ def test_cells_are_counted_in_parts_that_grow_in_number_with_the_input(spark, ti
 def test_anchors_are_not_broadcast_to_place_loci(spark, tiny):
     below = under(explained(queries.placed(panel(spark, tiny))), "BroadcastExchange")
     assert all("Aggregate" in x for x in below)  # scaffolds alone
+
+
+def test_clones_are_not_broadcast_for_the_rule_on_two_reports(spark, tiny):
+    assert not under(explained(queries.rule_sets(panel(spark, tiny))), "BroadcastExchange")
