@@ -2,9 +2,12 @@
 
 import re
 
+import pytest
+
 from dosewise.operators import individual
 from dosewise.plans import queries
 from dosewise.sources.star import panel
+from tests.conftest import DATA
 
 
 def under(plan: str, node: str) -> list[str]:
@@ -59,3 +62,19 @@ def test_anchors_are_not_broadcast_to_place_loci(spark, tiny):
 
 def test_clones_are_not_broadcast_for_the_rule_on_two_reports(spark, tiny):
     assert not under(explained(queries.rule_sets(panel(spark, tiny))), "BroadcastExchange")
+
+
+#: Queries whose driver once held a table that grows with the input.
+LEAN = ["diversity_by_population"]
+
+
+@pytest.mark.parametrize("name", LEAN)
+def test_only_nations_and_regions_are_broadcast_as_read(spark, monkeypatch, name):
+    """At sf0.01 every table is below the threshold, so whatever a plan leaves to it is broadcast there; nations and regions are the smallest."""
+    monkeypatch.setattr(queries, "DRAWS", 2)
+    monkeypatch.setattr(queries, "REPS", 2)
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df: df)  # the plan of what is written, too
+    below = under(explained(queries.QUERIES[name](spark, f"{DATA}/sf0.01")), "BroadcastExchange")
+    # what is summed by group is small
+    read = {x for b in below if "Aggregate" not in b for x in re.findall(r"FileScan parquet \[(\w)_", b)}
+    assert read <= {"n", "r"}
