@@ -65,7 +65,7 @@ def test_clones_are_not_broadcast_for_the_rule_on_two_reports(spark, tiny):
 
 
 #: Queries whose driver once held a table that grows with the input.
-LEAN = ["diversity_by_population"]
+LEAN = ["allelic_richness_g16", "diversity_by_population"]
 
 
 @pytest.mark.parametrize("name", LEAN)
