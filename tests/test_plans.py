@@ -65,7 +65,7 @@ def test_clones_are_not_broadcast_for_the_rule_on_two_reports(spark, tiny):
 
 
 #: Queries whose driver once held a table that grows with the input.
-LEAN = ["allelic_richness_g16", "diversity_by_population", "fis_jackknife", "focal_ratios", "folded_sfs", "fst_above_p95", "fst_focal_summary", "fst_matrix", "fst_pairwise", "fst_ranked", "gap_decomposition", "gst_pairwise", "hwe_fail_counts", "hwe_sensitivity"]
+LEAN = ["allelic_richness_g16", "diversity_by_population", "diversity_table", "fis_jackknife", "focal_ratios", "folded_sfs", "fst_above_p95", "fst_focal_summary", "fst_matrix", "fst_pairwise", "fst_ranked", "gap_decomposition", "gst_pairwise", "hwe_fail_counts", "hwe_sensitivity"]
 
 
 @pytest.mark.parametrize("name", LEAN)
