@@ -96,7 +96,7 @@ def test_products_however_dense(monkeypatch, share, strip):
     assert np.allclose(gram._products_of(cells(x), cells(y)), x @ y.T)
 
 
-@pytest.mark.parametrize("name", ["kinship_summary", "kinship_individual", "empirical_null", "kinship_pairs"])
+@pytest.mark.parametrize("name", ["kinship_summary", "kinship_individual", "empirical_null", "kinship_pairs", "focal_kinship_null"])
 def test_no_product_of_pairs_is_shuffled(spark, tiny, monkeypatch, name):
     """What tasks make of pairs is reduced before an exchange: neither arrays of products nor pairs are sent."""
     seen = []
@@ -104,3 +104,11 @@ def test_no_product_of_pairs_is_shuffled(spark, tiny, monkeypatch, name):
     monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df: (seen.append(explained(df)), real(df))[1])
     seen.append(explained(QUERIES[name](spark, tiny)))
     assert not [x for x in seen if "sums#" in x or "FlatMapGroupsInArrow" in x]
+
+
+def test_focal_pairs_against_a_null_without_draws(spark, panel_and_values):
+    args, values = panel_and_values
+    null = spark.createDataFrame([], "draw string, kinship double")
+    r = individual.against_null(individual.kinship_sides(*args), null, "kinship").first()
+    x = np.concatenate([k[np.triu_indices(len(k), 1)] for k in values.values()])
+    assert (r["n"], r["n_above_p95"], r["n_above_p99"], r["null_mean"], r["p"]) == (len(x), 0, 0, None, None) and r["mean"] == pytest.approx(x.mean())
