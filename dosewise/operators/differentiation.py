@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,32 @@ def with_components(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"a": a, "b": b, "c": h / 2}).drop("_m", "_nc", "_p", "_h", "_s2")
 
 
+def components(n1: np.ndarray, n2: np.ndarray, p1: np.ndarray, p2: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of arrays; NaN for null."""
+    total, m = n1 + n2, (n1 + n2) / 2
+    nc, p, h = total - (n1 * n1 + n2 * n2) / total, (n1 * p1 + n2 * p2) / total, (n1 * h1 + n2 * h2) / total
+    s2 = (n1 * (p1 - p) * (p1 - p) + n2 * (p2 - p) * (p2 - p)) / m
+    spread = p * (1 - p) - s2 / 2
+    less, nc = np.where(m == 1, np.nan, m - 1), np.where(nc == 0, np.nan, nc)
+    return m / nc * (s2 - (spread - h / 4) / less), m / less * (spread - (2 * m - 1) / (4 * m) * h), h / 2
+
+
+def expanded(group: str):
+    """What replicates.block_sums() makes of groups (group, ord) with n, p and ho: a and a + b + c of each two, in declared order."""
+
+    def work(names: list[str], values: np.ndarray) -> Iterator[tuple[list[str], np.ndarray]]:
+        groups = [json.loads(x) for x in names]
+        order = sorted(range(len(groups)), key=lambda i: groups[i]["ord"])
+        n, p, h = values
+        for k, i in enumerate(order):
+            later = [j for j in order[k + 1 :] if groups[j]["ord"] > groups[i]["ord"]]
+            if later:
+                a, b, c = components(n[i], n[later], p[i], p[later], h[i], h[later])
+                yield [json.dumps({f"{group}_i": groups[i][group], f"{group}_j": groups[j][group]}) for j in later], np.stack([a, a + b + c])
+
+    return work
+
+
 def fst_pairwise(stats: DataFrame, group: str = "population") -> DataFrame:
     """(group_i, group_j, n_i, n_j, n_loci, fst_wc): a ratio of sums over loci."""
     parts = with_components(locus_pairs(stats, group))
