@@ -81,3 +81,15 @@ def test_draws_are_packed_before_they_are_sent(spark, tiny, name):
     """No list of replicates by locus, and no copies of weights by part."""
     plan = explained(QUERIES[name](spark, tiny))
     assert "picks#" not in plan and "times#" not in plan and "w#" in plan
+
+
+@pytest.mark.parametrize("name", ["individual_f_bootstrap", "individual_f_interval"])
+def test_no_sums_of_samples_are_sent(spark, tiny, name):
+    """Arrays of a sample's replicates stay in the task that makes them."""
+    assert "sums#" not in explained(QUERIES[name](spark, tiny))
+
+
+def test_intervals_leave_out_what_is_not_finite():
+    theta = np.array([[1.0, 2.0, 3.0, 4.0], [np.nan, 2.0, np.inf, 4.0], [np.nan] * 4])
+    got = replicates.interval(theta, 0.5).to_pylist()
+    assert got == [{"lo": 1.75, "hi": 3.25}, {"lo": 2.5, "hi": 3.5}, {"lo": None, "hi": None}]
