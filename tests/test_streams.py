@@ -167,3 +167,12 @@ def test_published_table_has_numpys_intervals(spark, tiny):
     for name, r in rows.items():
         assert (r["fis_boot_lo"], r["fis_boot_hi"]) == (ends[name]["lo"], ends[name]["hi"])
         assert all(r[k] == v for k, v in plain[name].items() if k != "n")
+
+
+def test_intervals_in_chunks_of_any_size(spark, tiny, monkeypatch):
+    p = panel(spark, tiny)
+    rows = lambda: {tuple(r) for r in streams.f_uni_interval(p.geno, *own_frame(p), 20).select("frame", "sample_idx", F.round("lo", 9), F.round("hi", 9)).collect()}
+    want = rows()
+    monkeypatch.setattr(streams, "CHUNK", 3)
+    monkeypatch.setattr(streams, "LISTED", 16)
+    assert rows() == want and len(want) > 100
