@@ -76,9 +76,9 @@ def exact_folded(stats: DataFrame) -> DataFrame:
 
 
 def ks_by_draw(drawn: DataFrame, focal: DataFrame, by: str = "draw") -> DataFrame:
-    """(by, ks_d): the largest distance of each draw's distribution function (by, x) from the focal one (x); only distinct values with their numbers meet."""
+    """(by, ks_d): the largest distance of each draw's distribution function (by, x, k), k loci of value x, from the focal one (x); only distinct values with their numbers meet."""
     mine = focal.groupBy("x").agg(F.count("*").alias("k1")).agg(F.collect_list(F.struct("x", "k1"))).scalar()  # distinct frequencies: ratios of counts within one group
-    theirs = drawn.groupBy(by, "x").agg(F.count("*").alias("k2"))
+    theirs = drawn.groupBy(by, "x").agg(F.sum("k").alias("k2"))
     steps = theirs.select(by).distinct().select(by, F.explode(mine).alias("s")).select(by, "s.x", "s.k1", F.lit(0).cast("long").alias("k2"))
     steps = steps.union(theirs.select(by, "x", F.lit(0).cast("long"), "k2")).groupBy(by, "x").agg(F.sum("k1").alias("k1"), F.sum("k2").alias("k2"))
     up, all_ = W.partitionBy(by).orderBy("x").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(by)
@@ -87,11 +87,11 @@ def ks_by_draw(drawn: DataFrame, focal: DataFrame, by: str = "draw") -> DataFram
 
 
 def matched_table(draws: DataFrame, drawn: DataFrame, focal: DataFrame, full: DataFrame) -> DataFrame:
-    """A row a population: of its draws (population, draw) the mean folded frequency with deviation and 95 % range, polymorphic loci, distance from the focal
+    """A row a population: of its draws (population, draw), whose values are in drawn (draw, x, k), k loci of value x, the mean folded frequency with deviation and 95 % range, polymorphic loci, distance from the focal
     spectrum, the share that reaches the focal mean; the whole population's mean (population, unmatched) and the per cent of its difference from the
     focal one that is due to size; and, the same in all rows, the envelope of the populations' means and whether the focal one is within."""
     mean = focal.agg(F.avg("x")).scalar()
-    each = drawn.groupBy("draw").agg(F.count("*").alias("n"), F.avg("x").alias("m")).join(ks_by_draw(drawn, focal), "draw")
+    each = drawn.groupBy("draw").agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.col("x")) / F.sum("k")).alias("m")).join(ks_by_draw(drawn, focal), "draw")
     each = draws.join(each, "draw", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     reaches = F.when(F.col("m").isNotNull(), (F.round("m", 9) >= F.round("focal_mean", 9)).cast("int"))
     out = each.withColumn("focal_mean", mean).groupBy("population").agg(
