@@ -96,7 +96,7 @@ def test_products_however_dense(monkeypatch, share, strip):
     assert np.allclose(gram._products_of(cells(x), cells(y)), x @ y.T)
 
 
-@pytest.mark.parametrize("name", ["kinship_summary", "kinship_individual", "empirical_null", "kinship_pairs", "focal_kinship_null"])
+@pytest.mark.parametrize("name", ["kinship_summary", "kinship_individual", "empirical_null", "kinship_pairs", "focal_kinship_null", "focal_kinship_published"])
 def test_no_product_of_pairs_is_shuffled(spark, tiny, monkeypatch, name):
     """What tasks make of pairs is reduced before an exchange: neither arrays of products nor pairs are sent."""
     seen = []
@@ -112,3 +112,13 @@ def test_focal_pairs_against_a_null_without_draws(spark, panel_and_values):
     r = individual.against_null(individual.kinship_sides(*args), null, "kinship").first()
     x = np.concatenate([k[np.triu_indices(len(k), 1)] for k in values.values()])
     assert (r["n"], r["n_above_p95"], r["n_above_p99"], r["null_mean"], r["p"]) == (len(x), 0, 0, None, None) and r["mean"] == pytest.approx(x.mean())
+
+
+def test_matched_null_without_pairs(spark, panel_and_values):
+    args, values = panel_and_values
+    none = individual.kinship_sides(args[0], args[1].where("false"), args[2])
+    r = individual.against_matched(individual.kinship_sides(*args), none).first()
+    x = np.concatenate([k[np.triu_indices(len(k), 1)] for k in values.values()])
+    assert (r["n_pairs"], r["n_above_p95"], r["n_above_null"], r["null_n"], r["null_mean"], r["p_largest"]) == (len(x), 0, 0, 0, None, None)
+    r = individual.against_matched(none, individual.kinship_sides(*args)).first()
+    assert (r["n_pairs"], r["largest"], r["null_n"], r["p_largest"]) == (0, None, len(x), None) and r["null_sd"] == pytest.approx(x.std(ddof=1))
